@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import sample_id
 from ..functions.ranking import SINGLE_WINDOW_ROWS, first_rows, index_within
-from .validate import shared_samples
+from .validate import matrix_samples, metadata_samples
 
 # Genes per vector block: the most cells one row of `sample_vectors` can hold.
 BLOCK_GENES = 4096
@@ -36,13 +36,14 @@ def obs_table(sequencing: DataFrame, metadata: DataFrame, order: list[str | Colu
     ``order`` names the ingest order; without one "first" would depend on the scan.
     """
     named = metadata.withColumn("sequenced_id", sample_id()).filter(F.col("sequenced_id").isNotNull())
-    kept = named.join(shared_samples(sequencing, metadata), ["job_id", "sequenced_id"], "left_semi")
-    return first_rows(kept, ["job_id", "sequenced_id"], order)
+    # Cut repeated samples to one row before the join: the cut starts in the map tasks.
+    once = first_rows(named, ["job_id", "sequenced_id"], order)
+    return once.join(matrix_samples(sequencing), ["job_id", "sequenced_id"], "left_semi")
 
 
 def sample_cells(sequencing: DataFrame, metadata: DataFrame, var: DataFrame) -> DataFrame:
     """The matrix turned to samples x genes: (job, sample, gene position, value) of shared samples."""
-    kept = sequencing.join(shared_samples(sequencing, metadata), ["job_id", "sequenced_id"], "left_semi")
+    kept = sequencing.join(metadata_samples(metadata), ["job_id", "sequenced_id"], "left_semi")
     return kept.join(var.select("job_id", "gene_id", "gene_idx"), ["job_id", "gene_id"]).select(
         "job_id", sample_id(), "gene_idx", "value"
     )

@@ -2,7 +2,8 @@
 
 All work on the long matrix (`job_id`, `gene_id`, `sequenced_id`, `value`), so releases
 are combined by a union and any number of them is handled by one job.  `to_long` and
-`to_wide` convert at the edges.
+`to_wide` convert at the edges.  In the long matrix an unknown gene id is the empty text,
+never NULL, so plain equality on the keys is right and keeps bucketed tables aligned.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,8 @@ BYTES_PER_CELL = 8
 # Columns a wide frame may have; Spark's own ceiling for pivot values is the same.
 MAX_WIDE_SAMPLES = 10_000
 
+NO_GENE_ID = ""
+
 
 # --- gene column of a wide frame (schema only, no job) -------------------------------
 
@@ -58,6 +61,10 @@ def gene_column(schema: T.StructType) -> str:
 # --- wide <-> long -------------------------------------------------------------------
 
 
+def known_gene(gene: Column) -> Column:
+    return F.coalesce(gene.cast("string"), F.lit(NO_GENE_ID))
+
+
 def to_long(
     wide: DataFrame,
     gene_col: str | None = None,
@@ -73,7 +80,7 @@ def to_long(
     gene_col = gene_col or gene_column(wide.schema)
     if samples is None:
         samples = [c for c in wide.columns if c != gene_col]
-    gene = F.col(f"`{gene_col}`").cast("string").alias("gene_id")
+    gene = known_gene(F.col(f"`{gene_col}`")).alias("gene_id")
     job = F.lit(job_id).cast("string").alias("job_id")
     if not samples:
         return conform_to(wide.select(job, gene).limit(0), SEQUENCING)
@@ -134,8 +141,8 @@ def to_wide(
     if samples is not None:
         columns = list(samples)
 
-    # NULL gene ids of two releases are not the same gene.
-    unnamed_in = F.when(F.col("gene_id").isNull(), F.col("job_id")).alias("__unnamed_in")
+    # Unknown genes of two releases are not the same gene.
+    unnamed_in = F.when(F.col("gene_id") == NO_GENE_ID, F.col("job_id")).alias("__unnamed_in")
     cells = (
         long.filter(F.col("sequenced_id").isin(columns) if samples is not None else F.lit(True))
         .groupBy("gene_id", unnamed_in, "sequenced_id")
@@ -153,8 +160,9 @@ def to_wide(
     wide = cells.groupBy("gene_id", "__unnamed_in").pivot("sequenced_id", columns).agg(F.first("value"))
     wide = wide.drop("__unnamed_in")
     if extra_genes is not None:
-        missing = extra_genes.select("gene_id").distinct().join(wide.select("gene_id"), "gene_id", "left_anti")
+        missing = extra_genes.select("gene_id").distinct().join(long.select("gene_id"), "gene_id", "left_anti")
         wide = wide.unionByName(missing, allowMissingColumns=True)
+    wide = wide.withColumn("gene_id", F.nullif("gene_id", F.lit(NO_GENE_ID)))
     if fill_value is not None:
         wide = wide.fillna(fill_value, subset=columns)
     return wide, False
@@ -203,10 +211,7 @@ def drop_unexpressed(long: DataFrame, scope: str = "release") -> DataFrame:
 
     By default a gene is judged in each release on its own.
     """
-    keys = _gene_keys(scope)
-    genes = expressed_genes(long, scope).select(*[F.col(k).alias(f"__{k}") for k in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) if k == "gene_id" else F.col(k) == F.col(f"__{k}") for k in keys]
-    return long.join(genes, reduce(lambda a, b: a & b, same), "left_semi")
+    return long.join(expressed_genes(long, scope), _gene_keys(scope), "left_semi").select(*long.columns)
 
 
 def drop_unexpressed_wide(wide: DataFrame, gene_col: str | None = None) -> DataFrame:

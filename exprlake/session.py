@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # What the library expects of a session.  Names of samples may differ only in case
 # (`a1`, `A1`) and `"name"` has to mean an identifier, as in the SQL users know.
@@ -72,3 +75,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """Driver rows as a relation whose size the planner knows.
+
+    A frame made from a plain list has no size estimate, so joins with it would be planned
+    as shuffles; handed over as Arrow it is broadcast if it is below the threshold.
+    """
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) if rows else [() for _ in arrow]
+    return spark.createDataFrame(
+        pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), schema
+    )

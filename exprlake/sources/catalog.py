@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import conform_to
 from ..schemas import CATALOG
+from ..session import small_frame
 
 # Ids quoted in the message for an ambiguous name.
 MESSAGE_IDS = 20
@@ -79,7 +80,8 @@ def select_releases(catalog: DataFrame, names: list[str]) -> tuple[DataFrame, li
     """Releases whose id or name is wanted, and the wanted names nothing matches."""
     spark = catalog.sparkSession
     chosen = catalog.filter(F.col("job_id").isin(*names) | F.col("job_name").isin(*names))
-    wanted = spark.createDataFrame([(n,) for n in sorted(set(names))], "job string")
+    job = T.StructType([T.StructField("job", T.StringType())])
+    wanted = small_frame(spark, [(n,) for n in sorted(set(names))], job)
     known = chosen.select(F.explode(F.array("job_id", "job_name")).alias("job"))
     unknown = wanted.join(known, "job", "left_anti")
     # At most as many rows as names were given.

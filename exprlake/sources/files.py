@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,7 @@ from ..operators.matrix import gene_column, to_long
 from ..operators.union import concat_metadata, empty_chemistry
 from ..operators.validate import GENE_COLUMN_MISSING, LOAD_FAILED, SAMPLE_COLUMN_MISSING
 from ..schemas import CHEMISTRY, METADATA, PROBLEMS, SEQUENCING
+from ..session import small_frame
 from .catalog import list_datasets, read_documents, resolve_dataset_url, resolve_job
 
 logger = logging.getLogger(__name__)
@@ -30,6 +31,7 @@ logger = logging.getLogger(__name__)
 LOOKUP_THREADS = 16
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
+PARTS = ("data_path", "metadata_path", "chemistry_path")
 LONG_COLUMNS = {"gene_id", "sequenced_id", "value"}
 
 
@@ -70,7 +72,8 @@ def _release_of(df: DataFrame, entries: list[Entry]) -> DataFrame:
         rows = [(plain_path(e.path), e.job_id) for e in entries if e.is_folder == folder]
         if rows:
             name = f"__release_{int(folder)}"
-            owners = spark.createDataFrame(rows, f"__path string, {name} string")
+            owner = T.StructType([T.StructField("__path", T.StringType()), T.StructField(name, T.StringType())])
+            owners = small_frame(spark, rows, owner)
             df = df.join(owners, at == F.col("__path"), "left").drop("__path")
             found.append(name)
     return df.withColumn("__release", F.coalesce(*found)).drop(*found)
@@ -183,6 +186,7 @@ class ReleaseFiles:
     def __init__(self, catalog_path: str):
         self.catalog_path = catalog_path
         self._catalog: DataFrame | None = None
+        self._manifest: list[Row] | None = None
 
     def catalog(self, spark: SparkSession) -> DataFrame:
         """The catalog, read once and kept until `refresh`."""
@@ -193,13 +197,14 @@ class ReleaseFiles:
     def refresh(self) -> None:
         if self._catalog is not None:
             self._catalog.unpersist()
-            self._catalog = None
+        self._catalog = None
+        self._manifest = None
 
     def resolve(self, spark: SparkSession, job: str) -> str:
         return resolve_job(self.catalog(spark), job)
 
     def is_empty(self, spark: SparkSession) -> bool:
-        return self._listed(spark).isEmpty()
+        return not self._releases(spark)
 
     def metadata(
         self, spark: SparkSession, job_ids: list[str] | None = None, with_ordinal: bool = False
@@ -225,14 +230,14 @@ class ReleaseFiles:
         for entry, header in zip(samples, _map(lambda e: _header(spark, e.path), samples)):
             if header and "sequenced_id" not in header:
                 rows.append((entry.job_id, SAMPLE_COLUMN_MISSING, f"columns are {list(header)[:5]}"))
-        return spark.createDataFrame(rows, PROBLEMS)
+        return small_frame(spark, rows, PROBLEMS)
 
     def source_errors(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
         """One row per part of a release that could not be found."""
         rows = []
-        for part in ("data_path", "metadata_path", "chemistry_path"):
+        for part in PARTS:
             rows += [(job, part, message) for job, message in self._entries(spark, part, job_ids)[1]]
-        return spark.createDataFrame(rows, PROBLEMS)
+        return small_frame(spark, rows, PROBLEMS)
 
     def require(self, spark: SparkSession, job_ids: list[str]) -> None:
         """Raise unless every given release has its matrix."""
@@ -250,22 +255,24 @@ class ReleaseFiles:
     def load_chem(self, spark: SparkSession, job: str) -> DataFrame:
         return conform_to(self.chemistry(spark, [self.resolve(spark, job)]), CHEMISTRY)
 
-    def _listed(self, spark: SparkSession) -> DataFrame:
-        return self.catalog(spark).filter(F.col("job_id").isNotNull() & (F.col("job_id") != ""))
+    def _releases(self, spark: SparkSession) -> list[Row]:
+        """Ids and paths of all releases.  A scan is built from its paths, so the driver has to
+        know them; rows without an id are left out."""
+        if self._manifest is None:
+            listed = self.catalog(spark).filter(F.col("job_id").isNotNull() & (F.col("job_id") != ""))
+            self._manifest = listed.select("job_id", *PARTS).orderBy("job_id").collect()
+        return self._manifest
 
     def _entries(
         self, spark: SparkSession, part: str, job_ids: list[str] | None
     ) -> tuple[list[Entry], list[tuple[str, str]]]:
         """The files of one part that exist, and (job, message) for the others."""
-        listed = self._listed(spark)
-        if job_ids is not None:
-            listed = listed.filter(F.col("job_id").isin(list(job_ids)))
-        # One path per release: the driver needs them to build the scan.
-        rows = listed.select("job_id", F.col(part).alias("path")).orderBy("job_id").collect()
-        found = _map(lambda r: find_path(spark, r["path"]) if r["path"] else None, rows)
+        wanted = None if job_ids is None else set(job_ids)
+        rows = [r for r in self._releases(spark) if wanted is None or r["job_id"] in wanted]
+        found = _map(lambda r: find_path(spark, r[part]) if r[part] else None, rows)
         present = [Entry(r["job_id"], *at) for r, at in zip(rows, found) if at]
         missing = [
-            (r["job_id"], f"nothing at {r['path']}" if r["path"] else "no path recorded")
+            (r["job_id"], f"nothing at {r[part]}" if r[part] else "no path recorded")
             for r, at in zip(rows, found)
             if not at
         ]

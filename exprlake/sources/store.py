@@ -1,18 +1,28 @@
-"""Write releases in the file layout that `ReleaseFiles` reads."""
+"""Write releases: as files that `ReleaseFiles` reads, or as one ingested Parquet store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import conform_to
-from ..operators.matrix import LIMIT_BYTES, to_wide
+from ..operators.matrix import LIMIT_BYTES, known_gene, to_wide
 from ..schemas import CATALOG, CHEMISTRY, CHEMISTRY_COLUMNS, SEQUENCING
-from .files import CSV_OPTIONS
+from .files import CSV_OPTIONS, ReleaseFiles
+from .frames import ReleaseFrames
 
+CHEMISTRY_BY_JOB = T.StructType([T.StructField("job_id", T.StringType()), *CHEMISTRY.fields])
 
-def write_matrix(sequencing: DataFrame, path: str) -> None:
+# Wide releases taken into the store per job: each is a scan of its own in the plan.
+RELEASES_PER_JOB = 32
+
+
+def _canonical(sequencing: DataFrame) -> DataFrame:
+    return conform_to(sequencing, SEQUENCING).withColumn("gene_id", known_gene(F.col("gene_id")))
+
+
+def write_matrix(sequencing: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The long matrix, one folder per release.
 
     Ranges over (release, gene, sample) split a large release over many tasks and keep
@@ -20,14 +30,32 @@ def write_matrix(sequencing: DataFrame, path: str) -> None:
     """
     keys = ["job_id", "gene_id", "sequenced_id"]
     (
-        conform_to(sequencing, SEQUENCING)
+        _canonical(sequencing)
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .write.partitionBy("job_id")
+        .write.mode(mode)
+        .partitionBy("job_id")
         .parquet(path)
     )
 
 
+def write_matrix_table(sequencing: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """The long matrix as a catalog table bucketed by (release, gene).
+
+    Dropping unexpressed genes, counting genes and looking for duplicate cells then run
+    without a shuffle of the matrix.  Choose buckets of a few hundred MB.
+    """
+    writer = (
+        _canonical(sequencing)
+        .repartition(buckets, "job_id", "gene_id")
+        .write.bucketBy(buckets, "job_id", "gene_id")
+        .sortBy("job_id", "gene_id")
+    )
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
 def write_wide(sequencing: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> None:
     """One release as a wide matrix; long if that would be too large."""
     frame, too_large = to_wide(sequencing, limit_bytes=limit_bytes)
@@ -48,9 +76,8 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
 
 def write_chemistry(chemistry: DataFrame, path: str) -> None:
     """`{"compounds": [...]}` documents, one compound each, so that nothing is collected."""
-    with_release = T.StructType([T.StructField("job_id", T.StringType()), *CHEMISTRY.fields])
     (
-        conform_to(chemistry, with_release)
+        conform_to(chemistry, CHEMISTRY_BY_JOB)
         .select(F.col("job_id").alias("release"), F.array(F.struct(*CHEMISTRY_COLUMNS)).alias("compounds"))
         .write.partitionBy("release")
         .json(path)
@@ -60,3 +87,32 @@ def write_chemistry(chemistry: DataFrame, path: str) -> None:
 def write_catalog(catalog: DataFrame, path: str) -> None:
     """`{"datasets": [...]}` documents, one release each."""
     conform_to(catalog, CATALOG).select(F.array(F.struct("*")).alias("datasets")).write.json(path)
+
+
+def ingest(spark: SparkSession, files: ReleaseFiles, root: str) -> ReleaseFrames:
+    """Take file releases into one Parquet store below ``root``, which must be new.
+
+    Wide matrices are turned long once, here; later reads are single scans that prune by
+    release.  Releases go in groups, as each wide one adds its own scan to the plan.
+    """
+    listed = files.catalog(spark)
+    job_ids = [r["job_id"] for r in listed.select("job_id").distinct().orderBy("job_id").collect()]
+    for start in range(0, len(job_ids), RELEASES_PER_JOB):
+        group = job_ids[start : start + RELEASES_PER_JOB]
+        write_matrix(files.sequencing(spark, group), f"{root}/matrix", mode="append")
+    files.metadata(spark).repartitionByRange("job_id", "sequenced_id").write.parquet(f"{root}/metadata")
+    chemistry = conform_to(files.chemistry(spark), CHEMISTRY_BY_JOB)
+    chemistry.repartitionByRange("job_id", "compound").write.parquet(f"{root}/chemistry")
+    listed.write.parquet(f"{root}/catalog")
+    return open_store(root)
+
+
+def open_store(root: str) -> ReleaseFrames:
+    """The releases of an ingested store."""
+    return ReleaseFrames(
+        catalog=lambda spark: spark.read.parquet(f"{root}/catalog"),
+        metadata_table=lambda spark: spark.read.parquet(f"{root}/metadata"),
+        chemistry_table=lambda spark: spark.read.parquet(f"{root}/chemistry"),
+        # With a declared schema the release folders stay text and need not be looked at.
+        sequencing_table=lambda spark: conform_to(spark.read.schema(SEQUENCING).parquet(f"{root}/matrix"), SEQUENCING),
+    )
