@@ -24,7 +24,8 @@ def query(
 
     Tables: ``metadata``, ``chemistry``, and ``chemistry_by_job``, which also has `job_id` to
     join on, as ``chemistry`` repeats a compound for each release that used it.  The long
-    matrix ``sequencing`` is only there with ``with_sequencing=True``.
+    matrix ``sequencing`` is only there with ``with_sequencing=True``; names then have to match
+    in case.
 
     The statement runs on a session of its own, so it sees no other temp views and leaves
     none behind.  It is executed as given: do not pass untrusted text.
@@ -33,9 +34,12 @@ def query(
     if job is not None:
         job_ids = [source.resolve(spark, job)]
         source.require(spark, job_ids)
-    # Column names match in any case and "name" is an identifier, as SQL users expect.
+    # Column names match in any case and "name" is an identifier, as SQL users expect.  Names
+    # of samples may differ only in case, so with the matrix at hand case counts.
     session = sibling_session(
-        spark, spark__sql__caseSensitive="false", spark__sql__ansi__doubleQuotedIdentifiers="true"
+        spark,
+        spark__sql__caseSensitive="true" if with_sequencing else "false",
+        spark__sql__ansi__doubleQuotedIdentifiers="true",
     )
     if source.is_empty(spark):
         logger.warning("query(): the catalog lists no release; the result is empty")
