@@ -9,9 +9,10 @@ never NULL, so plain equality on the keys is right and keeps bucketed tables ali
 from __future__ import annotations
 
 import warnings
+from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,8 +89,9 @@ def to_long(
         F.lit(list(samples)).alias("sequenced_id"),
         F.array(*[F.col(f"`{s}`").cast("double") for s in samples]).alias("value"),
     )
-    long = wide.select(job, gene, F.inline(cells).alias("sequenced_id", "value"))
-    return long if keep_nulls else long.filter(F.col("value").isNotNull())
+    if not keep_nulls:
+        cells = F.filter(cells, lambda cell: cell["value"].isNotNull())
+    return wide.select(job, gene, F.inline(cells).alias("sequenced_id", "value"))
 
 
 def to_wide(
@@ -107,32 +109,24 @@ def to_wide(
     Raises if one sample id occurs in two releases; a duplicate (gene, sample) cell raises
     when the frame is computed.
     """
-    size = _total_bytes(long)
-    if size > limit_bytes:
-        warnings.warn(
-            f"combined matrix estimated at {size / 1024**3:.1f} GB, above the limit of "
-            f"{limit_bytes / 1024**3:.1f} GB; returning the long frame",
-            ResourceWarning,
-            stacklevel=2,
-        )
-        return long, True
-    if size > WARN_BYTES:
-        warnings.warn(
-            f"combined matrix estimated at {size / 1024**3:.1f} GB; the wide frame may be slow",
-            ResourceWarning,
-            stacklevel=2,
-        )
-
     owners = long.select("job_id", "sequenced_id").distinct()
     if samples is not None:
         owners = owners.filter(F.col("sequenced_id").isin(list(samples)))
     # Bounded fetch: names become columns, so they have to be known here.
     names = owners.take(max_samples + 1)
     if len(names) > max_samples:
-        warnings.warn(
-            f"more than {max_samples} samples; returning the long frame", ResourceWarning, stacklevel=2
+        _warn(f"more than {max_samples} samples; returning the long frame")
+        return long, True
+    size = _wide_bytes(long, names)
+    if size > limit_bytes:
+        _warn(
+            f"combined matrix estimated at {size / 1024**3:.1f} GB, above the limit of "
+            f"{limit_bytes / 1024**3:.1f} GB; returning the long frame"
         )
         return long, True
+    if size > WARN_BYTES:
+        _warn(f"combined matrix estimated at {size / 1024**3:.1f} GB; the wide frame may be slow")
+
     found = sorted((r["job_id"] or "", r["sequenced_id"]) for r in names)
     columns = [s for _, s in found]
     if len(set(columns)) != len(columns):
@@ -140,6 +134,8 @@ def to_wide(
         raise ValueError(f"sample ids occur in more than one release: {twice[:5]}")
     if samples is not None:
         columns = list(samples)
+    if not columns:
+        return long.select(F.nullif("gene_id", F.lit(NO_GENE_ID)).alias("gene_id")).distinct(), False
 
     # Unknown genes of two releases are not the same gene.
     unnamed_in = F.when(F.col("gene_id") == NO_GENE_ID, F.col("job_id")).alias("__unnamed_in")
@@ -233,13 +229,17 @@ def combine(*longs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [conform_to(d, SEQUENCING) for d in longs])
 
 
+def gene_counts(long: DataFrame) -> DataFrame:
+    """Genes of each release."""
+    return long.select("job_id", "gene_id").distinct().groupBy("job_id").agg(F.count(F.lit(1)).alias("n_genes"))
+
+
 def estimate_size(long: DataFrame) -> DataFrame:
     """Genes, samples and bytes of each release's wide matrix."""
-    genes = long.select("job_id", "gene_id").distinct().groupBy("job_id").agg(F.count(F.lit(1)).alias("n_genes"))
     samples = (
         long.select("job_id", "sequenced_id").distinct().groupBy("job_id").agg(F.count(F.lit(1)).alias("n_samples"))
     )
-    return genes.join(samples, "job_id").withColumn(
+    return gene_counts(long).join(samples, "job_id").withColumn(
         "estimated_bytes", F.col("n_genes") * F.col("n_samples") * F.lit(BYTES_PER_CELL).cast("bigint")
     )
 
@@ -258,5 +258,13 @@ def size_guard(sizes: DataFrame, warn_bytes: int = WARN_BYTES, limit_bytes: int
     )
 
 
-def _total_bytes(long: DataFrame) -> int:
-    return size_guard(estimate_size(long)).first()["estimated_bytes"]
+def _wide_bytes(long: DataFrame, names: list[Row]) -> int:
+    """The size `estimate_size` gives, with the samples already known."""
+    samples = Counter(r["job_id"] for r in names)
+    # No more rows than releases, which `names` bounds.
+    genes = gene_counts(long).filter(F.col("job_id").isin(list(samples))).collect()
+    return sum(r["n_genes"] * samples[r["job_id"]] * BYTES_PER_CELL for r in genes)
+
+
+def _warn(message: str) -> None:
+    warnings.warn(message, ResourceWarning, stacklevel=3)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import sample_id
 from ..functions.ranking import first_rows
 from ..schemas import REPORT
+from .matrix import gene_counts
 
 PREVIEW_IDS = 5
 
@@ -68,12 +69,6 @@ def side_counts(sides: DataFrame) -> DataFrame:
     )
 
 
-def gene_counts(sequencing: DataFrame) -> DataFrame:
-    return (
-        sequencing.select("job_id", "gene_id").distinct().groupBy("job_id").agg(F.count(F.lit(1)).alias("n_genes"))
-    )
-
-
 def metadata_counts(metadata: DataFrame) -> DataFrame:
     """All rows, and rows that carry a sample id (duplicates included)."""
     return metadata.groupBy("job_id").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.columns import conform_to
 from ..operators.matrix import (
@@ -41,6 +42,10 @@ class Combined:
     job_ids: list[str]
     unfiltered: DataFrame
 
+    def release(self, job_id: str) -> DataFrame:
+        """The cells of one of the releases."""
+        return self.data.filter(F.col("job_id") == job_id)
+
     def to_wide(
         self,
         limit_bytes: int = LIMIT_BYTES,

@@ -89,8 +89,7 @@ def list_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every release's wide matrix, read back and made long."""
-    long = _store(spark, sf_dir, "b").files.sequencing(spark)
-    return long.filter(F.col("value").isNotNull())
+    return _store(spark, sf_dir, "b").files.sequencing(spark, keep_nulls=False)
 
 
 def load_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

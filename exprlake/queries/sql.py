@@ -83,7 +83,7 @@ SHARED = {
         SELECT 'rollup', COALESCE(job_id, 'all'), COALESCE(cell_line, 'all'), COUNT(*)
         FROM metadata GROUP BY ROLLUP (job_id, cell_line)""",
     "sql_window_rank": """
-        SELECT cell_line, sequenced_id, total_sequenced_reads, place FROM (
+        SELECT cell_line, sequenced_id, total_sequenced_reads, CAST(place AS BIGINT) AS place FROM (
             SELECT cell_line, sequenced_id, total_sequenced_reads,
                    ROW_NUMBER() OVER (PARTITION BY cell_line
                                       ORDER BY total_sequenced_reads DESC, sequenced_id) AS place
@@ -95,7 +95,7 @@ SHARED = {
                CAST(SUM(n) OVER (PARTITION BY cell_line ORDER BY sampled_month
                                  ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS around,
                LAG(n) OVER (PARTITION BY cell_line ORDER BY sampled_month) AS before,
-               DENSE_RANK() OVER (PARTITION BY cell_line ORDER BY n DESC) AS busiest
+               CAST(DENSE_RANK() OVER (PARTITION BY cell_line ORDER BY n DESC) AS BIGINT) AS busiest
         FROM (SELECT cell_line, substr(sampled_on, 1, 7) AS sampled_month, COUNT(*) AS n
               FROM metadata GROUP BY cell_line, substr(sampled_on, 1, 7)) monthly""",
     "sql_topk": """
@@ -121,7 +121,7 @@ SHARED = {
         SELECT k, total, (SELECT COUNT(*) FROM metadata) AS of_all FROM running""",
     "sql_strings": """
         SELECT sequenced_id, LOWER(cell_line) AS line, substr(user_compound_id, 10) AS tail,
-               LENGTH(user_compound_id) AS len, CONCAT(job_id, '/', sequenced_id) AS path,
+               CAST(LENGTH(user_compound_id) AS BIGINT) AS len, CONCAT(job_id, '/', sequenced_id) AS path,
                REPLACE(timepoint, 'h', ' hours') AS hours, LPAD(compound, 8, '0') AS padded,
                SPLIT_PART(user_compound_id, '#', 1) AS kind, TRIM(CONCAT(' ', cell_line, ' ')) AS trimmed
         FROM metadata""",

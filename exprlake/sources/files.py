@@ -140,7 +140,9 @@ def is_long(schema: T.StructType) -> bool:
     return LONG_COLUMNS <= set(schema.fieldNames())
 
 
-def read_sequencing(spark: SparkSession, entries: list[Entry]) -> tuple[DataFrame, list[tuple[str, str]]]:
+def read_sequencing(
+    spark: SparkSession, entries: list[Entry], keep_nulls: bool = True
+) -> tuple[DataFrame, list[tuple[str, str]]]:
     """The long matrix of all given releases, and (job, message) of those without a gene column.
 
     Long releases in `job_id=...` folders of one store are a single scan with `job_id` as
@@ -164,13 +166,14 @@ def read_sequencing(spark: SparkSession, entries: list[Entry]) -> tuple[DataFram
         except ValueError as exc:
             failed.append((entry.job_id, str(exc)))
             continue
-        frames.append(to_long(spark.read.parquet(entry.path), gene, job_id=entry.job_id))
+        frames.append(to_long(spark.read.parquet(entry.path), gene, job_id=entry.job_id, keep_nulls=keep_nulls))
     for root, paths in stores.items():
         rows = spark.read.schema(SEQUENCING).option("basePath", root).parquet(*paths)
         frames.append(conform_to(rows, SEQUENCING))
     if not frames:
         return spark.createDataFrame([], SEQUENCING), failed
-    return reduce(DataFrame.unionByName, frames), failed
+    long = reduce(DataFrame.unionByName, frames)
+    return long if keep_nulls else long.filter(F.col("value").isNotNull()), failed
 
 
 # --- the source ----------------------------------------------------------------------
@@ -216,9 +219,11 @@ class ReleaseFiles:
         present, _ = self._entries(spark, "chemistry_path", job_ids)
         return read_chemistry(spark, present)
 
-    def sequencing(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
+    def sequencing(
+        self, spark: SparkSession, job_ids: list[str] | None = None, keep_nulls: bool = True
+    ) -> DataFrame:
         present, _ = self._entries(spark, "data_path", job_ids)
-        return read_sequencing(spark, present)[0]
+        return read_sequencing(spark, present, keep_nulls)[0]
 
     def problems(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
         """What keeps a release from being checked: matrix missing, columns missing."""

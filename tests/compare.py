@@ -52,22 +52,28 @@ def _bag(rows, columns) -> Counter:
     return Counter(tuple(_plain(r[i]) for i in order) for r in rows)
 
 
-def spark_bag(df: DataFrame) -> tuple[list[str], Counter]:
-    return sorted(df.columns), _bag([tuple(r) for r in df.collect()], df.columns)
+# The type each DuckDB type has in Spark.
+SAME_TYPE = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "DOUBLE": "double",
+    "VARCHAR": "string",
+    "BOOLEAN": "boolean",
+}
 
 
-def duck_bag(con: duckdb.DuckDBPyConnection, sql: str) -> tuple[list[str], Counter]:
+def duck_bag(con: duckdb.DuckDBPyConnection, sql: str) -> tuple[dict[str, str], Counter]:
     cur = con.execute(sql)
-    columns = [d[0] for d in cur.description]
-    return sorted(columns), _bag(cur.fetchall(), columns)
+    types = {d[0]: SAME_TYPE.get(str(d[1]), str(d[1])) for d in cur.description}
+    return types, _bag(cur.fetchall(), list(types))
 
 
 def mismatch(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     """What differs, or None."""
-    got_columns, got = spark_bag(df)
-    want_columns, want = duck_bag(con, sql)
-    if got_columns != want_columns:
-        return f"columns {got_columns[:8]} != {want_columns[:8]}"
+    got = _bag([tuple(r) for r in df.collect()], df.columns)
+    types, want = duck_bag(con, sql)
+    if sorted(df.columns) != sorted(types):
+        return f"columns {sorted(df.columns)[:8]} != {sorted(types)[:8]}"
     if got != want:
         return (
             f"rows {sum(got.values())} / {sum(want.values())}; only Spark {list((got - want).items())[:2]}; "
@@ -75,12 +81,8 @@ def mismatch(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str | N
         )
     if not got:
         return "both sides are empty"
-    kinds = [{type(v) for row in bag for v in [row[i]]} - {type(None)} for bag in (got, want) for i in range(len(got_columns))]
-    half = len(got_columns)
-    for i, name in enumerate(got_columns):
-        if kinds[i] != kinds[half + i]:
-            return f"types of {name}: {kinds[i]} != {kinds[half + i]}"
-    return None
+    differ = {c: (t, types[c]) for c, t in df.dtypes if t != types[c]}
+    return f"types {differ}" if differ else None
 
 
 def main() -> int:

@@ -108,6 +108,10 @@ class TestWideLong:
         wide, _ = to_wide(long, samples=["b"])
         assert wide.columns == ["gene_id", "b"] and wide.count() == 2
 
+    def test_no_cells(self, long_of):
+        wide, too_large = to_wide(long_of())
+        assert not too_large and wide.columns == ["gene_id"] and wide.count() == 0
+
     def test_sample_in_two_releases_raises(self, long_of):
         with pytest.raises(ValueError, match=r"more than one release: \['a'\]"):
             to_wide(long_of(("r1", "g1", "a", 1), ("r2", "g2", "a", 2)))
@@ -212,6 +216,7 @@ class TestLoadExperiments:
         assert got.metadata.count() == 3 and got.chemistry.count() == 1
         wide, too_large = got.to_wide()
         # g1 is unexpressed in r2, so its cells there are NULL, not 0.
+        assert got.release("r2").count() == 1
         assert not too_large and rows(wide.select("gene_id", "s1", "s2", "t1")) == {
             ("g1", 0.0, 5.0, None), ("g2", 7.0, 0.0, None), ("g3", None, None, 1.0),
         }

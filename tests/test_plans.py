@@ -8,8 +8,9 @@ import pytest
 
 from exprlake import drop_unexpressed, expressed_genes
 from exprlake import fixtures as fx
-from exprlake.operators.validate import duplicate_cells, gene_counts, issue_previews, reconcile
 from exprlake.operators.export import obs_table
+from exprlake.operators.matrix import gene_counts
+from exprlake.operators.validate import duplicate_cells, issue_previews, reconcile
 from exprlake.sources.files import Entry, read_sequencing
 from exprlake.sources.store import open_store, write_matrix, write_matrix_table
 
@@ -92,3 +93,9 @@ def test_no_broadcast_hint_and_no_cross_product(spark):
         text = plan(queries()[key](spark, SF))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, key
         assert "strategy=broadcast" not in text, key
+
+
+def test_bucketed_matrix_refuses_a_hot_gene(long_of):
+    cells = [("r", "hot", f"s{i}", 1) for i in range(50)] + [("r", f"g{i}", "s0", 1) for i in range(50)]
+    with pytest.raises(ValueError, match="one gene holds 50 of 100 cells"):
+        write_matrix_table(long_of(*cells), "never_written", 4)

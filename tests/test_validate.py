@@ -190,3 +190,22 @@ class TestExport:
         assert dict(obs.dtypes)["note"] == "string" and dict(obs.dtypes)["n"] == "int"
         assert obs.filter("note is null").count() == 1
         assert spark.read.parquet(str(tmp_path / "o/x")).filter("value is null").count() == 1
+
+
+class TestCommand:
+    def run(self, capsys, *args):
+        from exprlake.__main__ import main
+
+        code = main([str(a) for a in args])
+        return code, capsys.readouterr()
+
+    def test_codes(self, release_files, capsys):
+        _, _, tmp_path = release_files
+        catalog = tmp_path / "catalog.json"
+        code, out = self.run(capsys, catalog, "--job", "first", "--no-write")
+        assert code == 0 and "[OK] r1 (first) genes=3" in out.out and "1 OK  0 WARN  0 FAIL  (1 releases)" in out.out
+        assert self.run(capsys, catalog, "--job", "r1", "--job", "r2")[0] == 1
+        code, out = self.run(capsys, catalog, "--output-dir", tmp_path / "o", "--reports", tmp_path / "reports")
+        assert code == 2 and f"wrote {tmp_path}/o/x/job_id=r1" in out.out and "fatal: load_experiment failed" in out.out
+        code, out = self.run(capsys, catalog, "--job", "nope")
+        assert code == 2 and "unknown release(s): nope" in out.err
