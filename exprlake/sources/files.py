@@ -13,6 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ from ..functions.columns import conform_to
 from ..operators.matrix import gene_column, to_long
 from ..operators.union import concat_metadata, empty_chemistry
 from ..operators.validate import GENE_COLUMN_MISSING, LOAD_FAILED, SAMPLE_COLUMN_MISSING
-from ..schemas import CHEMISTRY, METADATA, PROBLEMS, SEQUENCING
+from ..schemas import CHEMISTRY, PROBLEMS, SEQUENCING
 from ..session import small_frame
 from .catalog import list_datasets, read_documents, resolve_dataset_url, resolve_job
 
@@ -31,27 +32,33 @@ logger = logging.getLogger(__name__)
 LOOKUP_THREADS = 16
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
+# A file whose header is not the one its release was grouped by fails instead of being bound by position.
+CSV_READ_OPTIONS = {**CSV_OPTIONS, "enforceSchema": "false"}
 PARTS = ("data_path", "metadata_path", "chemistry_path")
 LONG_COLUMNS = {"gene_id", "sequenced_id", "value"}
 
 
 @dataclass(frozen=True)
 class Entry:
-    """One file or folder of one release."""
+    """One file or folder of one release, and when it was last changed."""
 
     job_id: str
     path: str
     is_folder: bool
+    changed_at: int = 0
 
 
-def find_path(spark: SparkSession, path: str) -> tuple[str, bool] | None:
-    """The full path and whether it is a folder; None if nothing is there."""
+def find_path(spark: SparkSession, path: str) -> tuple[str, bool, int] | None:
+    """The full path, whether it is a folder, and its time stamp; None if nothing is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not system.exists(at):
-        return None
-    status = system.getFileStatus(at)
-    return status.getPath().toString(), status.isDirectory()
+    try:
+        status = system.getFileStatus(at)
+    except Py4JJavaError as exc:
+        if exc.java_exception.getClass().getSimpleName() == "FileNotFoundException":
+            return None
+        raise
+    return status.getPath().toString(), status.isDirectory(), status.getModificationTime()
 
 
 def plain_path(path: str) -> str:
@@ -82,37 +89,42 @@ def _release_of(df: DataFrame, entries: list[Entry]) -> DataFrame:
 # --- sample metadata -----------------------------------------------------------------
 
 
-def read_metadata(spark: SparkSession, entries: list[Entry], with_ordinal: bool = False) -> DataFrame:
+Header = tuple[str, ...]
+
+
+def csv_header(spark: SparkSession, entry: Entry) -> Header:
+    return tuple(spark.read.options(**CSV_OPTIONS).csv(entry.path).columns)
+
+
+def read_metadata(
+    spark: SparkSession, entries: list[Entry], headers: list[Header], with_ordinal: bool = False
+) -> DataFrame:
     """Sample metadata of all given releases.
 
     A CSV with a declared schema is bound by position, so files are grouped by their
     header line and read with one scan per distinct header; columns then meet by name.
     Everything is read as text first (`0012` stays `0012`), then cast.
     """
-    by_header: dict[tuple[str, ...], list[Entry]] = defaultdict(list)
-    for entry, header in zip(entries, _map(lambda e: _header(spark, e.path), entries)):
-        by_header[header].append(entry)
+    by_header: dict[Header, list[Entry]] = defaultdict(list)
+    for entry, header in zip(entries, headers):
+        if header:
+            by_header[header].append(entry)
     frames = []
     for header, group in by_header.items():
-        if not header:
-            continue
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        rows = spark.read.schema(schema).options(**CSV_OPTIONS).csv([e.path for e in group])
+        rows = spark.read.schema(schema).options(**CSV_READ_OPTIONS).csv([e.path for e in group])
         place = [_file_path().alias("__file")]
         if with_ordinal:
             # File order: split start within the file, then row within the split.
             start = F.col("_metadata.file_block_start").alias("start")
-            place.append(F.struct(_file_path().alias("file"), start, F.monotonically_increasing_id().alias("row")).alias("ingest_ordinal"))
+            row = F.monotonically_increasing_id().alias("row")
+            place.append(F.struct(_file_path().alias("file"), start, row).alias("ingest_ordinal"))
         rows = _release_of(rows.select(*[F.col(f"`{c}`") for c in header], *place), group)
         job = F.coalesce(F.col("job_id"), F.col("__release")) if "job_id" in header else F.col("__release")
         frames.append(rows.withColumn("job_id", job).drop("__file", "__release"))
     return concat_metadata(spark, frames)
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    return tuple(spark.read.options(**CSV_OPTIONS).csv(path).columns)
-
-
 # --- chemistry -----------------------------------------------------------------------
 
 
@@ -140,40 +152,49 @@ def is_long(schema: T.StructType) -> bool:
     return LONG_COLUMNS <= set(schema.fieldNames())
 
 
+def gene_column_problems(entries: list[Entry], schemas: list[T.StructType]) -> list[tuple[str, str]]:
+    """(job, message) of the wide releases without a gene column."""
+    problems = []
+    for entry, schema in zip(entries, schemas):
+        if not is_long(schema):
+            try:
+                gene_column(schema)
+            except ValueError as exc:
+                problems.append((entry.job_id, str(exc)))
+    return problems
+
+
 def read_sequencing(
-    spark: SparkSession, entries: list[Entry], keep_nulls: bool = True
-) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """The long matrix of all given releases, and (job, message) of those without a gene column.
+    spark: SparkSession, entries: list[Entry], schemas: list[T.StructType], keep_nulls: bool = True
+) -> DataFrame:
+    """The long matrix of all given releases; those without a gene column are left out.
 
     Long releases in `job_id=...` folders of one store are a single scan with `job_id` as
     partition column.  Wide releases differ in their columns and are read one by one; ingest
-    them once (`store.write_matrix`) to get the single scan.
+    them once (`store.ingest`) to get the single scan.
     """
+    unusable = {job for job, _ in gene_column_problems(entries, schemas)}
     frames: list[DataFrame] = []
-    failed: list[tuple[str, str]] = []
     stores: dict[str, list[str]] = defaultdict(list)
-    for entry, schema in zip(entries, _map(lambda e: spark.read.parquet(e.path).schema, entries)):
+    for entry, schema in zip(entries, schemas):
         root, _, folder = entry.path.rstrip("/").rpartition("/")
-        if is_long(schema):
-            if folder == f"job_id={entry.job_id}":
-                stores[root].append(entry.path)
-            else:
-                rows = spark.read.parquet(entry.path).withColumn("job_id", F.lit(entry.job_id))
-                frames.append(conform_to(rows, SEQUENCING))
+        if entry.job_id in unusable:
             continue
-        try:
-            gene = gene_column(schema)
-        except ValueError as exc:
-            failed.append((entry.job_id, str(exc)))
-            continue
-        frames.append(to_long(spark.read.parquet(entry.path), gene, job_id=entry.job_id, keep_nulls=keep_nulls))
+        if is_long(schema) and folder == f"job_id={entry.job_id}":
+            stores[root].append(entry.path)
+        elif is_long(schema):
+            rows = spark.read.parquet(entry.path).withColumn("job_id", F.lit(entry.job_id))
+            frames.append(conform_to(rows, SEQUENCING))
+        else:
+            wide = spark.read.parquet(entry.path)
+            frames.append(to_long(wide, gene_column(schema), job_id=entry.job_id, keep_nulls=keep_nulls))
     for root, paths in stores.items():
         rows = spark.read.schema(SEQUENCING).option("basePath", root).parquet(*paths)
         frames.append(conform_to(rows, SEQUENCING))
     if not frames:
-        return spark.createDataFrame([], SEQUENCING), failed
+        return spark.createDataFrame([], SEQUENCING)
     long = reduce(DataFrame.unionByName, frames)
-    return long if keep_nulls else long.filter(F.col("value").isNotNull()), failed
+    return long if keep_nulls else long.filter(F.col("value").isNotNull())
 
 
 # --- the source ----------------------------------------------------------------------
@@ -190,6 +211,7 @@ class ReleaseFiles:
         self.catalog_path = catalog_path
         self._catalog: DataFrame | None = None
         self._manifest: list[Row] | None = None
+        self._looked_up: dict[tuple, object] = {}
 
     def catalog(self, spark: SparkSession) -> DataFrame:
         """The catalog, read once and kept until `refresh`."""
@@ -202,6 +224,7 @@ class ReleaseFiles:
             self._catalog.unpersist()
         self._catalog = None
         self._manifest = None
+        self._looked_up.clear()
 
     def resolve(self, spark: SparkSession, job: str) -> str:
         return resolve_job(self.catalog(spark), job)
@@ -213,7 +236,7 @@ class ReleaseFiles:
         self, spark: SparkSession, job_ids: list[str] | None = None, with_ordinal: bool = False
     ) -> DataFrame:
         present, _ = self._entries(spark, "metadata_path", job_ids)
-        return read_metadata(spark, present, with_ordinal) if present else spark.createDataFrame([], METADATA)
+        return read_metadata(spark, present, self._headers(spark, present), with_ordinal)
 
     def chemistry(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
         present, _ = self._entries(spark, "chemistry_path", job_ids)
@@ -223,16 +246,16 @@ class ReleaseFiles:
         self, spark: SparkSession, job_ids: list[str] | None = None, keep_nulls: bool = True
     ) -> DataFrame:
         present, _ = self._entries(spark, "data_path", job_ids)
-        return read_sequencing(spark, present, keep_nulls)[0]
+        return read_sequencing(spark, present, self._schemas(spark, present), keep_nulls)
 
     def problems(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
         """What keeps a release from being checked: matrix missing, columns missing."""
-        rows = []
         matrices, missing = self._entries(spark, "data_path", job_ids)
-        rows += [(job, LOAD_FAILED, message) for job, message in missing]
-        rows += [(job, GENE_COLUMN_MISSING, message) for job, message in read_sequencing(spark, matrices)[1]]
         samples, _ = self._entries(spark, "metadata_path", job_ids)
-        for entry, header in zip(samples, _map(lambda e: _header(spark, e.path), samples)):
+        rows = [(job, LOAD_FAILED, message) for job, message in missing]
+        for job, message in gene_column_problems(matrices, self._schemas(spark, matrices)):
+            rows.append((job, GENE_COLUMN_MISSING, message))
+        for entry, header in zip(samples, self._headers(spark, samples)):
             if header and "sequenced_id" not in header:
                 rows.append((entry.job_id, SAMPLE_COLUMN_MISSING, f"columns are {list(header)[:5]}"))
         return small_frame(spark, rows, PROBLEMS)
@@ -268,6 +291,19 @@ class ReleaseFiles:
             self._manifest = listed.select("job_id", *PARTS).orderBy("job_id").collect()
         return self._manifest
 
+    def _headers(self, spark: SparkSession, entries: list[Entry]) -> list[Header]:
+        return self._look_up("header", entries, lambda e: csv_header(spark, e))
+
+    def _schemas(self, spark: SparkSession, entries: list[Entry]) -> list[T.StructType]:
+        return self._look_up("schema", entries, lambda e: spark.read.parquet(e.path).schema)
+
+    def _look_up(self, kind: str, entries: list[Entry], read) -> list:
+        """A header or footer is read once for each state of its file."""
+        new = [e for e in entries if (kind, e.path, e.changed_at) not in self._looked_up]
+        for entry, found in zip(new, _map(read, new)):
+            self._looked_up[kind, entry.path, entry.changed_at] = found
+        return [self._looked_up[kind, e.path, e.changed_at] for e in entries]
+
     def _entries(
         self, spark: SparkSession, part: str, job_ids: list[str] | None
     ) -> tuple[list[Entry], list[tuple[str, str]]]:

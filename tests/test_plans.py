@@ -11,6 +11,7 @@ from exprlake import fixtures as fx
 from exprlake.operators.export import obs_table
 from exprlake.operators.matrix import gene_counts
 from exprlake.operators.validate import duplicate_cells, issue_previews, reconcile
+from exprlake.schemas import SEQUENCING
 from exprlake.sources.files import Entry, read_sequencing
 from exprlake.sources.store import open_store, write_matrix, write_matrix_table
 
@@ -42,8 +43,8 @@ def test_release_filter_prunes_folders(spark, store):
 
 def test_listed_release_folders_are_one_scan(spark, store):
     entries = [Entry(f"job-{i}", f"{store}/matrix/job_id=job-{i}", True) for i in (1, 2, 3)]
-    df, failed = read_sequencing(spark, entries)
-    assert not failed and physical(df).count("FileScan") == 1
+    df = read_sequencing(spark, entries, [SEQUENCING] * 3)
+    assert physical(df).count("FileScan") == 1
     assert {r["job_id"] for r in df.select("job_id").distinct().collect()} == {"job-1", "job-2", "job-3"}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,23 @@ class TestMetadata:
         got = ReleaseFiles(str(tmp_path / "c.json")).metadata(spark)
         assert {(r["job_id"], r["sequenced_id"]) for r in got.collect()} == {("p 1", "p 1-s"), ("p2", "p2-s")}
 
+    def test_changed_header_is_read_again(self, release_files):
+        spark, files, tmp_path = release_files
+        assert files.load_metadata(spark, "r1").filter("cell_line = 'THP-1'").count() == 3
+        (tmp_path / "r1.csv").write_text("cell_line,sequenced_id\nK562,s\n")
+        os.utime(tmp_path / "r1.csv", (1, 1))
+        row = files.load_metadata(spark, "r1").first()
+        assert (row["sequenced_id"], row["cell_line"], row["job_id"]) == ("s", "K562", "r1")
+
+    def test_folder_with_two_headers_fails(self, spark, tmp_path):
+        (tmp_path / "m").mkdir()
+        (tmp_path / "m" / "a.csv").write_text("sequenced_id,cell_line\ns1,K562\n")
+        (tmp_path / "m" / "b.csv").write_text("cell_line,sequenced_id\nK562,s2\n")
+        datasets = [{"job_id": "j", "job_name": "j", "metadata_path": str(tmp_path / "m")}]
+        (tmp_path / "c.json").write_text(json.dumps({"datasets": datasets}))
+        with pytest.raises(Exception, match="CSV header does not conform"):
+            ReleaseFiles(str(tmp_path / "c.json")).metadata(spark).collect()
+
     def test_ordinal_is_file_order(self, spark, tmp_path):
         lines = [f"s{i % 7},{i}" for i in range(5000)]
         (tmp_path / "m.csv").write_text("sequenced_id,total_sequenced_reads\n" + "\n".join(lines) + "\n")
