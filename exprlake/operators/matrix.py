@@ -81,19 +81,32 @@ def to_long(
     gene_col = gene_col or gene_column(wide.schema)
     if samples is None:
         samples = [c for c in wide.columns if c != gene_col]
-    gene = known_gene(F.col(f"`{gene_col}`")).alias("gene_id")
+    gene = known_gene(F.col(quoted(gene_col))).alias("gene_id")
     job = F.lit(job_id).cast("string").alias("job_id")
     if not samples:
         return conform_to(wide.select(job, gene).limit(0), SEQUENCING)
-    cells = F.arrays_zip(
-        F.lit(list(samples)).alias("sequenced_id"),
-        F.array(*[F.col(f"`{s}`").cast("double") for s in samples]).alias("value"),
-    )
+    # Expression texts: a Column object per sample would take seconds on wide frames.
+    names = "array(" + ", ".join(f"'{_escaped(s)}'" for s in samples) + ")"
+    cells = F.arrays_zip(F.expr(names).alias("sequenced_id"), F.expr(_values(wide, samples)).alias("value"))
     if not keep_nulls:
         cells = F.filter(cells, lambda cell: cell["value"].isNotNull())
     return wide.select(job, gene, F.inline(cells).alias("sequenced_id", "value"))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _escaped(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def _values(wide: DataFrame, samples: list[str]) -> str:
+    """SQL for the array of a row's sample values, as doubles."""
+    types = dict(wide.dtypes)
+    return "array(" + ", ".join(quoted(s) if types[s] == "double" else f"CAST({quoted(s)} AS DOUBLE)" for s in samples) + ")"
+
+
 def to_wide(
     long: DataFrame,
     samples: list[str] | None = None,
@@ -213,10 +226,10 @@ def drop_unexpressed(long: DataFrame, scope: str = "release") -> DataFrame:
 def drop_unexpressed_wide(wide: DataFrame, gene_col: str | None = None) -> DataFrame:
     """The same rule on a wide frame; a frame without samples stays as it is."""
     gene_col = gene_col or gene_column(wide.schema)
-    samples = [f"`{c}`" for c in wide.columns if c != gene_col]
+    samples = [c for c in wide.columns if c != gene_col]
     if not samples:
         return wide
-    return wide.filter(F.exists(F.array(*[F.col(s).cast("double") for s in samples]), lambda v: v != 0))
+    return wide.filter(F.exists(F.expr(_values(wide, samples)), lambda v: v != 0))
 
 
 # --- combine and size ----------------------------------------------------------------

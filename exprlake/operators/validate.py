@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sample_id
+from ..functions.facts import one_row_per_release
 from ..functions.ranking import first_rows
 from ..schemas import REPORT
 from .matrix import gene_counts
@@ -78,11 +79,9 @@ def metadata_counts(metadata: DataFrame) -> DataFrame:
 
 def validate_counts(sequencing: DataFrame, metadata: DataFrame) -> DataFrame:
     """Genes, samples on each side and shared samples of each release."""
-    return (
-        side_counts(reconcile(sequencing, metadata))
-        .join(gene_counts(sequencing), "job_id", "left")
-        .join(metadata_counts(metadata), "job_id", "left")
-        .select("job_id", "n_genes", "n_samples_metadata", "n_samples_parquet", "n_samples_intersection")
+    sides = side_counts(reconcile(sequencing, metadata))
+    return one_row_per_release([sides, gene_counts(sequencing), metadata_counts(metadata)]).select(
+        "job_id", "n_genes", "n_samples_metadata", "n_samples_parquet", "n_samples_intersection"
     )
 
 
@@ -150,22 +149,21 @@ def release_report(
             F.max(F.when(F.col("side") == "metadata", F.col("preview"))).alias("metadata_preview"),
         )
     )
-    facts = (
-        catalog.select("job_id", "job_name")
-        .join(gene_counts(sequencing), "job_id", "left")
-        .join(metadata_counts(metadata), "job_id", "left")
-        .join(side_counts(sides), "job_id", "left")
-        .join(duplicate_cells(sequencing), "job_id", "left")
-        .join(previews, "job_id", "left")
-    )
+    parts = [
+        gene_counts(sequencing),
+        metadata_counts(metadata),
+        side_counts(sides),
+        duplicate_cells(sequencing),
+        previews,
+    ]
+    kinds = [LOAD_FAILED, SAMPLE_COLUMN_MISSING, GENE_COLUMN_MISSING]
+    if problems is not None:
+        parts.append(
+            problems.select("job_id", *[F.when(F.col("source") == k, F.col("message")).alias(k) for k in kinds])
+        )
+    facts = catalog.select("job_id", "job_name").join(one_row_per_release(parts), "job_id", "left")
     if problems is None:
-        for kind in (LOAD_FAILED, SAMPLE_COLUMN_MISSING, GENE_COLUMN_MISSING):
-            facts = facts.withColumn(kind, F.lit(None).cast("string"))
-    else:
-        kinds = problems.groupBy("job_id").pivot(
-            "source", [LOAD_FAILED, SAMPLE_COLUMN_MISSING, GENE_COLUMN_MISSING]
-        ).agg(F.min("message"))
-        facts = facts.join(kinds, "job_id", "left")
+        facts = facts.withColumns({k: F.lit(None).cast("string") for k in kinds})
 
     n_shared = F.coalesce(F.col("n_samples_intersection"), F.lit(0))
     structural = (

@@ -106,7 +106,7 @@ def load_experiments(
         raise ValueError("no releases given")
     if filter_scope not in ("collective", "requested"):
         raise ValueError(f"filter_scope is 'collective' or 'requested', not {filter_scope!r}")
-    job_ids = list(dict.fromkeys(source.resolve(spark, j) for j in jobs))
+    job_ids = source.resolve_all(spark, jobs)
     source.require(spark, job_ids)
     unfiltered = source.sequencing(spark, job_ids)
     metadata = source.metadata(spark, job_ids)

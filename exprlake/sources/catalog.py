@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import conform_to
+from ..functions.facts import one_row_per_release
 from ..schemas import CATALOG
 from ..session import small_frame
 
@@ -48,6 +49,15 @@ def resolve_job(catalog: DataFrame, job: str) -> str:
     raise ValueError(f"No dataset found matching {job!r}. list_datasets() shows the job ids and names.")
 
 
+def resolve_all(catalog: DataFrame, jobs: list[str]) -> list[str]:
+    """The ids of several releases, in the order given, looked up with one job."""
+    job = T.StructType([T.StructField("job", T.StringType())])
+    wanted = small_frame(catalog.sparkSession, [(j,) for j in dict.fromkeys(jobs)], job)
+    # As many rows as names were given.
+    ids = {r["job"]: r["job_id"] for r in resolve_jobs(catalog, wanted).collect()}
+    return list(dict.fromkeys(ids[j] or resolve_job(catalog, j) for j in jobs))
+
+
 def resolve_jobs(catalog: DataFrame, wanted: DataFrame, column: str = "job") -> DataFrame:
     """The set form: each wanted id or name with the id it stands for and how it was found.
 
@@ -115,17 +125,16 @@ def catalog_stats(sequencing: DataFrame, metadata: DataFrame) -> DataFrame:
         return used.groupBy("job_id").agg(F.sort_array(F.collect_list(column)).alias(name))
 
     none = F.array().cast("array<string>")
-    return (
-        metadata.groupBy("job_id")
-        .agg(F.count(F.lit(1)).alias("metadata_row_count"))
-        .join(cells, "job_id", "full")
-        .join(values("cell_line", "cell_lines"), "job_id", "left")
-        .join(values("timepoint", "timepoints"), "job_id", "left")
-        .select(
-            "job_id",
-            F.coalesce("datapoint_count", F.lit(0)).alias("datapoint_count"),
-            F.coalesce("metadata_row_count", F.lit(0)).alias("metadata_row_count"),
-            F.coalesce("cell_lines", none).alias("cell_lines"),
-            F.coalesce("timepoints", none).alias("timepoints"),
-        )
+    facts = [
+        metadata.groupBy("job_id").agg(F.count(F.lit(1)).alias("metadata_row_count")),
+        cells,
+        values("cell_line", "cell_lines"),
+        values("timepoint", "timepoints"),
+    ]
+    return one_row_per_release(facts).select(
+        "job_id",
+        F.coalesce("datapoint_count", F.lit(0)).alias("datapoint_count"),
+        F.coalesce("metadata_row_count", F.lit(0)).alias("metadata_row_count"),
+        F.coalesce("cell_lines", none).alias("cell_lines"),
+        F.coalesce("timepoints", none).alias("timepoints"),
     )

@@ -24,7 +24,7 @@ from ..operators.union import concat_metadata, empty_chemistry
 from ..operators.validate import GENE_COLUMN_MISSING, LOAD_FAILED, SAMPLE_COLUMN_MISSING
 from ..schemas import CHEMISTRY, PROBLEMS, SEQUENCING
 from ..session import small_frame
-from .catalog import list_datasets, read_documents, resolve_dataset_url, resolve_job
+from .catalog import list_datasets, read_documents, resolve_all, resolve_dataset_url, resolve_job
 
 logger = logging.getLogger(__name__)
 
@@ -229,6 +229,9 @@ class ReleaseFiles:
     def resolve(self, spark: SparkSession, job: str) -> str:
         return resolve_job(self.catalog(spark), job)
 
+    def resolve_all(self, spark: SparkSession, jobs: list[str]) -> list[str]:
+        return resolve_all(self.catalog(spark), jobs)
+
     def is_empty(self, spark: SparkSession) -> bool:
         return not self._releases(spark)
 

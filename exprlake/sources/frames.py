@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import PROBLEMS
-from .catalog import resolve_job
+from ..session import small_frame
+from .catalog import resolve_all, resolve_job
 
 Builder = Callable[[SparkSession], DataFrame]
 
@@ -30,6 +31,9 @@ class ReleaseFrames:
     def resolve(self, spark: SparkSession, job: str) -> str:
         return resolve_job(self.catalog(spark), job)
 
+    def resolve_all(self, spark: SparkSession, jobs: list[str]) -> list[str]:
+        return resolve_all(self.catalog(spark), jobs)
+
     def is_empty(self, spark: SparkSession) -> bool:
         return self.catalog(spark).isEmpty()
 
@@ -43,7 +47,7 @@ class ReleaseFrames:
         return _only(self.sequencing_table(spark), job_ids)
 
     def problems(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
-        return spark.createDataFrame([], PROBLEMS)
+        return small_frame(spark, [], PROBLEMS)
 
     def require(self, spark: SparkSession, job_ids: list[str]) -> None:
         """Tables are always there."""

@@ -6,6 +6,7 @@ import math
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import types as T
 
 from exprlake import (
     ReleaseFrames,
@@ -89,6 +90,14 @@ class TestWideLong:
         assert "ReadSchema: struct<gene_id:string,b:double>" in long._jdf.queryExecution().toString()
         assert [r["value"] for r in long.collect()] == [2.0]
 
+    def test_names_with_quotes(self, spark):
+        names = ["it's", "b\\s", 'say "x"', "tick`s", "a.b"]
+        fields = [T.StructField("gene_id", T.StringType())] + [T.StructField(n, T.DoubleType()) for n in names]
+        wide = spark.createDataFrame([("g", 1.0, 2.0, 3.0, 4.0, 0.0)], T.StructType(fields))
+        got = [(r["sequenced_id"], r["value"]) for r in to_long(wide).collect()]
+        assert got == list(zip(names, [1.0, 2.0, 3.0, 4.0, 0.0]))
+        assert drop_unexpressed_wide(wide).count() == 1
+
     def test_no_samples(self, spark):
         assert to_long(spark.createDataFrame([("g",)], "gene_id string")).count() == 0
 
