@@ -46,11 +46,16 @@ def index_within(
     # One row per (group, range): at most `ranges` rows plus one per group.
     sizes = ranged.groupBy(group, "__range").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(group, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    starts = sizes.select(
+        F.col(group).alias("__group"),
+        F.col("__range").alias("__at"),
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"),
+    )
     in_range = Window.partitionBy(group, "__range").orderBy(key)
+    same = F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__at"))
     return (
         ranged.withColumn("__place", F.row_number().over(in_range) - 1)
-        .join(starts, [group, "__range"])
+        .join(starts, same)
         .withColumn(name, (F.col("__start") + F.col("__place")).cast("bigint"))
         .select(*df.columns, name)
     )

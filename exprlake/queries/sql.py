@@ -275,14 +275,14 @@ def _on_e(statement: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def sql_with_sequencing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The opt-in matrix table: expression per cell line, for samples of one release."""
-    return query(spark, fx.release_a(sf_dir), "URGENT", SEQUENCING, with_sequencing=True)
+    """The opt-in matrix table: expression per release and cell line."""
+    return query(spark, fx.release_a(sf_dir), sql=SEQUENCING, with_sequencing=True)
 
 
 SEQUENCING = """
-    SELECT m.cell_line, COUNT(*) AS cells, SUM(s.value) AS total, COUNT(DISTINCT s.gene_id) AS genes
+    SELECT m.job_id, m.cell_line, COUNT(*) AS cells, SUM(s.value) AS total, COUNT(DISTINCT s.gene_id) AS genes
     FROM sequencing s JOIN metadata m ON m.sequenced_id = s.sequenced_id AND m.job_id = s.job_id
-    WHERE s.value > 0 GROUP BY m.cell_line"""
+    WHERE s.value > 0 GROUP BY m.job_id, m.cell_line"""
 
 QUERIES = {
     **{key: _on_a(text) for key, text in SHARED.items()},
@@ -313,7 +313,6 @@ ORACLE = {
     },
     "sql_with_sequencing": fx.with_views(
         "metadata_a sequencing_a",
-        f""", metadata AS (SELECT * FROM metadata_a WHERE job_id = 'job-1'),
-             sequencing AS (SELECT * FROM sequencing_a WHERE job_id = 'job-1') {SEQUENCING}""",
+        f""", metadata AS (SELECT * FROM metadata_a), sequencing AS (SELECT * FROM sequencing_a) {SEQUENCING}""",
     ),
 }

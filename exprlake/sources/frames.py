@@ -20,7 +20,8 @@ class ReleaseFrames:
     """Builds each table on the session it is asked for, so that SQL runs on its own one.
 
     All tables carry `job_id`; a selection of releases is a filter on it, which prunes
-    partitions where the table is partitioned by release.
+    partitions where the table is partitioned by release.  In the matrix an unknown gene id
+    has to be the empty text, not NULL.
     """
 
     catalog: Builder

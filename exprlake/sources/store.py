@@ -74,10 +74,14 @@ def write_wide(sequencing: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES)
     frame.write.parquet(path)
 
 
+def _balanced(df: DataFrame, by: str) -> DataFrame:
+    """Rows of one key together in tasks of even size: a hot key is split, small ones share."""
+    return df.hint("rebalance", F.col(by))
+
+
 def write_metadata(metadata: DataFrame, path: str) -> None:
     (
-        metadata.withColumn("release", F.col("job_id"))
-        .repartitionByRange("release", "sequenced_id")
+        _balanced(metadata.withColumn("release", F.col("job_id")), "release")
         .write.partitionBy("release")
         .options(**CSV_OPTIONS)
         .csv(path)
@@ -86,12 +90,10 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
 
 def write_chemistry(chemistry: DataFrame, path: str) -> None:
     """`{"compounds": [...]}` documents, one compound each, so that nothing is collected."""
-    (
-        conform_to(chemistry, CHEMISTRY_BY_JOB)
-        .select(F.col("job_id").alias("release"), F.array(F.struct(*CHEMISTRY_COLUMNS)).alias("compounds"))
-        .write.partitionBy("release")
-        .json(path)
+    documents = conform_to(chemistry, CHEMISTRY_BY_JOB).select(
+        F.col("job_id").alias("release"), F.array(F.struct(*CHEMISTRY_COLUMNS)).alias("compounds")
     )
+    _balanced(documents, "release").write.partitionBy("release").json(path)
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:
@@ -110,9 +112,8 @@ def ingest(spark: SparkSession, files: ReleaseFiles, root: str) -> ReleaseFrames
     for start in range(0, len(job_ids), RELEASES_PER_JOB):
         group = job_ids[start : start + RELEASES_PER_JOB]
         write_matrix(files.sequencing(spark, group), f"{root}/matrix", mode="append")
-    files.metadata(spark).repartitionByRange("job_id", "sequenced_id").write.parquet(f"{root}/metadata")
-    chemistry = conform_to(files.chemistry(spark), CHEMISTRY_BY_JOB)
-    chemistry.repartitionByRange("job_id", "compound").write.parquet(f"{root}/chemistry")
+    _balanced(files.metadata(spark), "job_id").write.parquet(f"{root}/metadata")
+    _balanced(conform_to(files.chemistry(spark), CHEMISTRY_BY_JOB), "job_id").write.parquet(f"{root}/chemistry")
     listed.write.parquet(f"{root}/catalog")
     return open_store(root)
 
