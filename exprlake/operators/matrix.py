@@ -44,7 +44,7 @@ def shared_gene_column(frames: list[DataFrame]) -> str:
         return gene_column(frames[0].schema)
     shared = set.intersection(*[set(f.columns) for f in frames])
     if len(shared) != 1:
-        raise ValueError(f"expected exactly one shared column (gene ID), found {len(shared)}: {sorted(shared)[:10]}")
+        raise ValueError(f"releases share {len(shared)} columns {sorted(shared)[:10]}; only the gene id may be shared")
     return shared.pop()
 
 
@@ -55,7 +55,7 @@ def gene_column(schema: T.StructType) -> str:
         return texts[0]
     others = [f.name for f in schema.fields if not is_numeric(f.dataType)]
     if not others:
-        raise ValueError(f"could not identify the gene ID column among {schema.fieldNames()[:5]}")
+        raise ValueError(f"all columns are numeric, none can hold gene ids: {schema.fieldNames()[:5]}")
     return others[0]
 
 

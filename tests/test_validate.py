@@ -118,7 +118,7 @@ class TestFiles:
         spark.createDataFrame([(1.0,)], "s1 double").write.mode("overwrite").parquet(str(tmp_path / "matrix/r2.parquet"))
         got = {r["job_id"]: r["fatal"] for r in validate_releases(spark, files, ["r1", "second"]).reports.collect()}
         assert got["r1"] == "metadata missing 'sequenced_id' column"
-        assert got["r2"].startswith("could not identify the gene ID column")
+        assert got["r2"].startswith("all columns are numeric")
 
     def test_chosen_and_unknown(self, release_files):
         spark, files, _ = release_files
