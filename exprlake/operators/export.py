@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import sample_id
 from ..functions.ranking import SINGLE_WINDOW_ROWS, first_rows, index_within
+from ..session import measured_side
 from .validate import matrix_samples, metadata_samples
 
 # Genes per vector block: the most cells one row of `sample_vectors` can hold.
@@ -43,10 +44,10 @@ def obs_table(sequencing: DataFrame, metadata: DataFrame, order: list[str | Colu
 
 def sample_cells(sequencing: DataFrame, metadata: DataFrame, var: DataFrame) -> DataFrame:
     """The matrix turned to samples x genes: (job, sample, gene position, value) of shared samples."""
-    kept = sequencing.join(metadata_samples(metadata), ["job_id", "sequenced_id"], "left_semi")
-    return kept.join(var.select("job_id", "gene_id", "gene_idx"), ["job_id", "gene_id"]).select(
-        "job_id", sample_id(), "gene_idx", "value"
-    )
+    samples = measured_side(metadata_samples(metadata), "samples")
+    positions = measured_side(var.select("job_id", "gene_id", "gene_idx"), "gene-positions")
+    kept = sequencing.join(samples, ["job_id", "sequenced_id"], "left_semi")
+    return kept.join(positions, ["job_id", "gene_id"]).select("job_id", sample_id(), "gene_idx", "value")
 
 
 def sample_vectors(cells: DataFrame, block_genes: int = BLOCK_GENES) -> DataFrame:
@@ -61,7 +62,8 @@ def sample_vectors(cells: DataFrame, block_genes: int = BLOCK_GENES) -> DataFram
         .withColumn(
             "value",
             F.when(
-                F.col("__n") > 1, F.raise_error(F.concat_ws(" ", F.lit("duplicate cell in sample"), "sequenced_id")).cast("double")
+                F.col("__n") > 1,
+                F.raise_error(F.concat_ws(" ", F.lit("duplicate cell in sample"), "sequenced_id")).cast("double"),
             ).otherwise(F.col("value")),
         )
     )
@@ -79,22 +81,32 @@ def sample_vectors(cells: DataFrame, block_genes: int = BLOCK_GENES) -> DataFram
     )
 
 
-def export_samples_by_genes(
-    sequencing: DataFrame, metadata: DataFrame, order: list[str | Column], path: str | None = None
-) -> AnnotatedMatrix:
-    """Build `x`, `obs` and `var`; with ``path`` also write them, one folder per release.
+def annotated_matrix(sequencing: DataFrame, metadata: DataFrame, order: list[str | Column]) -> AnnotatedMatrix:
+    var = var_table(sequencing)
+    return AnnotatedMatrix(
+        x=sample_cells(sequencing, metadata, var), obs=obs_table(sequencing, metadata, order), var=var
+    )
+
+
+def write_annotated(matrix: AnnotatedMatrix, path: str) -> None:
+    """One folder per release in each of `x`, `obs` and `var`.
 
     `x` is clustered by (release, sample, gene) ranges, so a large sample spans several
     files and a small one lies in a single file.
     """
-    var = var_table(sequencing)
-    obs = obs_table(sequencing, metadata, order)
-    x = sample_cells(sequencing, metadata, var)
+    _write(matrix.x, f"{path}/x", ["job_id", "sequenced_id", "gene_idx"])
+    _write(matrix.obs, f"{path}/obs", ["job_id", "sequenced_id"])
+    _write(matrix.var, f"{path}/var", ["job_id", "gene_idx"])
+
+
+def export_samples_by_genes(
+    sequencing: DataFrame, metadata: DataFrame, order: list[str | Column], path: str | None = None
+) -> AnnotatedMatrix:
+    """Build `x`, `obs` and `var`; with ``path`` also write them."""
+    matrix = annotated_matrix(sequencing, metadata, order)
     if path is not None:
-        _write(x, f"{path}/x", ["job_id", "sequenced_id", "gene_idx"])
-        _write(obs, f"{path}/obs", ["job_id", "sequenced_id"])
-        _write(var, f"{path}/var", ["job_id", "gene_idx"])
-    return AnnotatedMatrix(x=x, obs=obs, var=var)
+        write_annotated(matrix, path)
+    return matrix
 
 
 def _write(df: DataFrame, path: str, order: list[str]) -> None:

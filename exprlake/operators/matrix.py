@@ -104,7 +104,8 @@ def _escaped(text: str) -> str:
 def _values(wide: DataFrame, samples: list[str]) -> str:
     """SQL for the array of a row's sample values, as doubles."""
     types = dict(wide.dtypes)
-    return "array(" + ", ".join(quoted(s) if types[s] == "double" else f"CAST({quoted(s)} AS DOUBLE)" for s in samples) + ")"
+    values = [quoted(s) if types[s] == "double" else f"CAST({quoted(s)} AS DOUBLE)" for s in samples]
+    return "array(" + ", ".join(values) + ")"
 
 
 def to_wide(
@@ -215,12 +216,14 @@ def expressed_genes(long: DataFrame, scope: str = "release") -> DataFrame:
     return long.filter(F.col("value") != 0).select(*_gene_keys(scope)).distinct()
 
 
-def drop_unexpressed(long: DataFrame, scope: str = "release") -> DataFrame:
+def drop_unexpressed(long: DataFrame, scope: str = "release", genes: DataFrame | None = None) -> DataFrame:
     """All cells, zeros included, of the expressed genes.
 
-    By default a gene is judged in each release on its own.
+    By default a gene is judged in each release on its own.  ``genes`` is the result of
+    `expressed_genes` where it has been computed already.
     """
-    return long.join(expressed_genes(long, scope), _gene_keys(scope), "left_semi").select(*long.columns)
+    genes = expressed_genes(long, scope) if genes is None else genes
+    return long.join(genes, _gene_keys(scope), "left_semi").select(*long.columns)
 
 
 def drop_unexpressed_wide(wide: DataFrame, gene_col: str | None = None) -> DataFrame:

@@ -12,10 +12,12 @@ from ..operators.matrix import (
     LIMIT_BYTES,
     distinct_sample_ids,
     drop_unexpressed,
+    expressed_genes,
     keep_samples,
     to_wide,
 )
 from ..schemas import CHEMISTRY
+from ..session import measured_side
 from .sql import query
 
 
@@ -84,7 +86,8 @@ def filter_metadata_by_sql(
     The statement sees all releases, unless ``job_ids`` narrows it.
     """
     seen = source if job_ids is None else _Narrowed(source, job_ids)
-    ids = distinct_sample_ids(query(spark, seen, sql=sql))
+    # Computed once: a statement with a bare LIMIT may pick other samples the next time.
+    ids = measured_side(distinct_sample_ids(query(spark, seen, sql=sql)), "sample-ids")
     return keep_samples(metadata, ids), ids
 
 
@@ -101,6 +104,9 @@ def load_experiments(
     ``scope`` judges genes per ``"release"`` or over the ``"combined"`` samples.
     ``filter_scope`` runs ``sql`` over all releases (``"collective"``: a LIMIT or an
     aggregate in it is global) or over the ``"requested"`` ones.  Chemistry is not filtered.
+
+    The chosen samples and the expressed genes are computed now; the cells are read when
+    they are asked for, and move in no shuffle as long as those two sets measure small.
     """
     if not jobs:
         raise ValueError("no releases given")
@@ -115,8 +121,9 @@ def load_experiments(
         only = job_ids if filter_scope == "requested" else None
         metadata, ids = filter_metadata_by_sql(spark, source, metadata, sql, only)
         data = keep_samples(data, ids)
+    genes = measured_side(expressed_genes(data, scope), "expressed-genes")
     return Combined(
-        data=drop_unexpressed(data, scope),
+        data=drop_unexpressed(data, scope, genes),
         metadata=metadata,
         chemistry=conform_to(source.chemistry(spark, job_ids), CHEMISTRY),
         job_ids=job_ids,

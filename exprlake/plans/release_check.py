@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.export import export_samples_by_genes
+from ..operators.export import annotated_matrix, write_annotated
 from ..operators.validate import release_report, status_of, summarize
 from ..schemas import REPORT
 from ..session import materialize
@@ -32,8 +32,8 @@ def validate_releases(
     """Check the releases of ``source`` in one job; no loop over releases.
 
     An unknown name, or a catalog without releases, gives no reports and code 2.  With
-    ``output_path`` the sound releases are also written as samples x genes tables; a failed
-    write becomes an issue of each of them.
+    ``output_path`` the sound releases are also written as samples x genes tables; if those
+    cannot be built the releases fail, and a failed write becomes an issue of each.
     """
     catalog = source.catalog(spark)
     job_ids = None
@@ -62,9 +62,15 @@ def _export(
     good = reports.filter(sound).select("job_id")
     try:
         metadata, order = _ordered_metadata(spark, source, job_ids)
-        export_samples_by_genes(
-            sequencing.join(good, "job_id", "left_semi"), metadata.join(good, "job_id", "left_semi"), order, path
+        matrix = annotated_matrix(
+            sequencing.join(good, "job_id", "left_semi"), metadata.join(good, "job_id", "left_semi"), order
         )
+    except Exception as exc:
+        logger.error("the export could not be built: %s", exc)
+        broken = F.when(sound, F.lit(f"export could not be built: {type(exc).__name__}")).otherwise(F.col("fatal"))
+        return reports.withColumn("fatal", broken).withColumn("status", status_of(F.col("fatal"), F.col("issues")))
+    try:
+        write_annotated(matrix, path)
     except Exception as exc:
         logger.error("export to %s failed: %s", path, exc)
         failed = F.array(F.lit(f"write failed: {type(exc).__name__} at {path}"))

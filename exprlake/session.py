@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -77,6 +78,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# What a set may measure to be broadcast, and what a row of it costs besides its text.
+BROADCAST_BYTES = 128 * 1024**2
+ROW_BYTES = 64
+
+
+def measured_side(df: DataFrame, label: str) -> DataFrame:
+    """Compute the small side of a matrix join first, and broadcast it if it measures small.
+
+    Left to itself Spark starts to shuffle the matrix before it knows how small the other
+    side came out.  Above the bound the join is planned as usual.
+    """
+    kept = materialize(df, label)
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType == T.StringType()]
+    row = sum(texts, F.lit(ROW_BYTES))
+    size = kept.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(kept) if size <= BROADCAST_BYTES else kept
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """Driver rows as a relation whose size the planner knows.
 

@@ -131,7 +131,8 @@ def read_metadata(
 def read_chemistry(spark: SparkSession, entries: list[Entry]) -> DataFrame:
     """Compounds of all given releases with their `job_id`.
 
-    A single `.json` file is one document; a folder holds one document per line.
+    A single `.json` file is one document, which one task has to parse; a folder holds one
+    document per line and is split, so it is the form for large libraries.
     """
     if not entries:
         return empty_chemistry(spark).withColumn("job_id", F.lit(None).cast("string"))
@@ -183,10 +184,10 @@ def read_sequencing(
         if is_long(schema) and folder == f"job_id={entry.job_id}":
             stores[root].append(entry.path)
         elif is_long(schema):
-            rows = spark.read.parquet(entry.path).withColumn("job_id", F.lit(entry.job_id))
+            rows = spark.read.schema(schema).parquet(entry.path).withColumn("job_id", F.lit(entry.job_id))
             frames.append(conform_to(rows, SEQUENCING))
         else:
-            wide = spark.read.parquet(entry.path)
+            wide = spark.read.schema(schema).parquet(entry.path)
             frames.append(to_long(wide, gene_column(schema), job_id=entry.job_id, keep_nulls=keep_nulls))
     for root, paths in stores.items():
         rows = spark.read.schema(SEQUENCING).option("basePath", root).parquet(*paths)
