@@ -19,7 +19,15 @@ from .operators.matrix import (
     to_wide,
 )
 from .operators.validate import release_report, summarize
-from .plans.experiments import Combined, Experiment, load_experiment, load_experiments
+from .plans.experiments import (
+    Combined,
+    Experiment,
+    load_chem,
+    load_dataset,
+    load_experiment,
+    load_experiments,
+    load_metadata,
+)
 from .plans.release_check import ReleaseCheck, validate_releases
 from .plans.sql import describe, query
 from .session import engine_session
@@ -51,8 +59,11 @@ __all__ = [
     "join_releases",
     "keep_samples",
     "list_datasets",
+    "load_chem",
+    "load_dataset",
     "load_experiment",
     "load_experiments",
+    "load_metadata",
     "obs_table",
     "query",
     "release_report",

@@ -66,6 +66,21 @@ class Combined:
         return to_wide(self.data, limit_bytes=limit_bytes, fill_value=fill_value, extra_genes=extra)
 
 
+def load_dataset(spark: SparkSession, source, job: str) -> DataFrame:
+    """The matrix of one release, wide, all genes kept."""
+    return source.load_dataset(spark, job)
+
+
+def load_metadata(spark: SparkSession, source, job: str) -> DataFrame:
+    """The samples of one release."""
+    return source.load_metadata(spark, job)
+
+
+def load_chem(spark: SparkSession, source, job: str) -> DataFrame:
+    """The compounds of one release; a typed empty table if it has none."""
+    return source.load_chem(spark, job)
+
+
 def load_experiment(spark: SparkSession, source, job: str) -> Experiment:
     """Matrix, metadata and chemistry of one release.  Only the matrix has to exist."""
     job_id = source.resolve(spark, job)

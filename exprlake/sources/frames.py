@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import PROBLEMS
+from ..functions.columns import conform_to
+from ..operators.matrix import to_wide
+from ..schemas import CHEMISTRY, PROBLEMS
 from ..session import small_frame
 from .catalog import resolve_all, resolve_job
 
@@ -48,6 +50,16 @@ class ReleaseFrames:
     def sequencing(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
         return _only(self.sequencing_table(spark), job_ids)
 
+    def load_dataset(self, spark: SparkSession, job: str) -> DataFrame:
+        """The matrix of one release, wide; long if it is too large for that."""
+        return to_wide(self.sequencing(spark, [self.resolve(spark, job)]))[0]
+
+    def load_metadata(self, spark: SparkSession, job: str) -> DataFrame:
+        return self.metadata(spark, [self.resolve(spark, job)])
+
+    def load_chem(self, spark: SparkSession, job: str) -> DataFrame:
+        return conform_to(self.chemistry(spark, [self.resolve(spark, job)]), CHEMISTRY)
+
     def problems(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
         return small_frame(spark, [], PROBLEMS)
 

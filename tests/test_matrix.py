@@ -18,11 +18,15 @@ from exprlake import (
     gene_column,
     join_releases,
     keep_samples,
+    load_chem,
+    load_dataset,
     load_experiments,
+    load_metadata,
     shared_gene_column,
     to_long,
     to_wide,
 )
+from exprlake.schemas import CHEMISTRY_COLUMNS
 from exprlake.operators.matrix import distinct_sample_ids, drop_unexpressed_wide, size_guard
 
 NAN = float("nan")
@@ -248,6 +252,16 @@ class TestLoadExperiments:
         got = load_experiments(spark, source, ["one"], sql=first, filter_scope="requested")
         assert rows(got.data) == {("r1", "g1", "s2", 5.0)}
 
+    def test_chosen_samples_are_fixed_once(self, spark, source, rows):
+        # Which sample a bare LIMIT returns is open, but metadata and matrix have to agree.
+        got = load_experiments(spark, source, ["one"], sql="SELECT * FROM metadata WHERE job_id = 'r1' LIMIT 1")
+        assert rows(got.data.select("sequenced_id").distinct()) == rows(got.metadata, "sequenced_id")
+
+    def test_parts_of_one_release(self, spark, source, rows):
+        assert rows(load_dataset(spark, source, "one"), "gene_id", "s1", "s2") == {("g1", 0.0, 5.0), ("g2", 7.0, 0.0)}
+        assert rows(load_metadata(spark, source, "r2"), "sequenced_id") == {("t1",)}
+        assert load_chem(spark, source, "two").count() == 0 and load_chem(spark, source, "one").columns == CHEMISTRY_COLUMNS
+
     def test_one_release_and_none(self, spark, source):
         assert load_experiments(spark, source, ["one"]).data.count() == 4
         with pytest.raises(ValueError, match="no releases"):

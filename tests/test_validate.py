@@ -140,6 +140,18 @@ class TestFiles:
         var = {(r["job_id"], r["gene_id"], r["gene_idx"]) for r in spark.read.parquet(f"{out}/var").collect()}
         assert {("r1", "g3", 2), ("r2", "g4", 1)} <= var
 
+    def test_failed_build_is_fatal(self, release_files, tmp_path, monkeypatch):
+        spark, files, _ = release_files
+
+        def broken(*args, **kwargs):
+            raise RuntimeError("no")
+
+        monkeypatch.setattr("exprlake.plans.release_check.annotated_matrix", broken)
+        check = validate_releases(spark, files, ["r1"], str(tmp_path / "o"))
+        row = check.reports.first()
+        assert row["fatal"] == "export could not be built: RuntimeError" and row["status"] == "FAIL"
+        assert check.summary.first()["code"] == 2
+
     def test_failed_write_is_an_issue(self, release_files, tmp_path):
         spark, files, _ = release_files
         (tmp_path / "taken").write_text("a file, not a folder")
