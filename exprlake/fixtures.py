@@ -173,7 +173,8 @@ def metadata_e(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chemistry_e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    return events.select(
         F.col("event_type").alias("job_id"), F.col("user_id").cast("string").alias("compound")
     ).distinct()
 

@@ -9,6 +9,11 @@ from pyspark.sql import types as T
 from ..schemas import METADATA_TYPES
 
 
+def quoted(name: str) -> str:
+    """A column name for `F.col` or SQL text, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def sample_id(name: str = "sequenced_id") -> Column:
     """Sample ids are compared as text everywhere."""
     return F.col(name).cast("string").alias("sequenced_id")
@@ -22,7 +27,7 @@ def conform_metadata(df: DataFrame) -> DataFrame:
     """
     return df.select(
         *[
-            F.col(f"`{c}`").try_cast(METADATA_TYPES[c]).alias(c) if c in METADATA_TYPES else F.col(f"`{c}`")
+            F.col(quoted(c)).try_cast(METADATA_TYPES[c]).alias(c) if c in METADATA_TYPES else F.col(quoted(c))
             for c in df.columns
         ]
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import conform_to, is_numeric, sample_id
+from ..functions.columns import conform_to, is_numeric, quoted, sample_id
 from ..schemas import SEQUENCING
 
 # Sizes at which a combined wide matrix warns, and is refused.
@@ -93,10 +93,6 @@ def to_long(
     return wide.select(job, gene, F.inline(cells).alias("sequenced_id", "value"))
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _escaped(text: str) -> str:
     return text.replace("\\", "\\\\").replace("'", "\\'")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import conform_to
+from ..functions.columns import conform_to, quoted
 from ..operators.matrix import gene_column, to_long
 from ..operators.union import concat_metadata, empty_chemistry
 from ..operators.validate import GENE_COLUMN_MISSING, LOAD_FAILED, SAMPLE_COLUMN_MISSING
@@ -51,7 +51,7 @@ class Entry:
 def find_path(spark: SparkSession, path: str) -> tuple[str, bool, int] | None:
     """The full path, whether it is a folder, and its time stamp; None if nothing is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     try:
         status = system.getFileStatus(at)
     except Py4JJavaError as exc:
@@ -119,7 +119,7 @@ def read_metadata(
             start = F.col("_metadata.file_block_start").alias("start")
             row = F.monotonically_increasing_id().alias("row")
             place.append(F.struct(_file_path().alias("file"), start, row).alias("ingest_ordinal"))
-        rows = _release_of(rows.select(*[F.col(f"`{c}`") for c in header], *place), group)
+        rows = _release_of(rows.select(*[F.col(quoted(c)) for c in header], *place), group)
         job = F.coalesce(F.col("job_id"), F.col("__release")) if "job_id" in header else F.col("__release")
         frames.append(rows.withColumn("job_id", job).drop("__file", "__release"))
     return concat_metadata(spark, frames)

@@ -18,9 +18,36 @@ from exprlake import (
 )
 from exprlake.operators.union import concat_chemistry, concat_metadata, empty_chemistry
 from exprlake.schemas import CHEMISTRY, METADATA
+from exprlake.session import scratch_root
 from exprlake.sources.store import ingest, write_catalog, write_chemistry
 
 
+def test_scratch_folder_is_the_configured_one(spark):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+    class Fake:
+        def __init__(self, master, conf):
+            self.conf, self.sparkContext, self.master, self.applicationId = Conf(conf), self, master, "app"
+
+        def getConf(self):
+            return Conf()
+
+    assert scratch_root(Fake("spark://x", {"spark.checkpoint.dir": "s3a://b/c/"})) == "s3a://b/c"
+    assert "exprlake-" in scratch_root(Fake("local[2]", {}))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Fake("spark://x", {}))
+
+
+def test_header_with_odd_names(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('sequenced_id,"a.b","tick`","say ""x"""\ns,1,2,3\n')
+    datasets = [{"job_id": "j", "job_name": "j", "metadata_path": str(tmp_path / "m.csv")}]
+    (tmp_path / "c.json").write_text(json.dumps({"datasets": datasets}))
+    row = ReleaseFiles(str(tmp_path / "c.json")).metadata(spark).first()
+    assert row.asDict() == {"sequenced_id": "s", "a.b": "1", "tick`": "2", 'say "x"': "3", "job_id": "j"}
+
+
 def test_list_datasets(release_files):
     spark, files, tmp_path = release_files
     df = list_datasets(spark, str(tmp_path / "catalog.json"))
