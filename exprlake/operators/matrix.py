@@ -163,7 +163,10 @@ def to_wide(
             ).otherwise(F.col("value")),
         )
     )
-    wide = cells.groupBy("gene_id", "__unnamed_in").pivot("sequenced_id", columns).agg(F.first("value"))
+    # Bring a gene's cells together while they are long.  Pivoting in the map tasks first would
+    # send a full-width row per gene and task through the shuffle.
+    by_gene = cells.repartition("gene_id", "__unnamed_in")
+    wide = by_gene.groupBy("gene_id", "__unnamed_in").pivot("sequenced_id", columns).agg(F.first("value"))
     wide = wide.drop("__unnamed_in")
     if extra_genes is not None:
         missing = extra_genes.select("gene_id").distinct().join(long.select("gene_id"), "gene_id", "left_anti")

@@ -10,7 +10,7 @@ import pytest
 from exprlake import drop_unexpressed, expressed_genes
 from exprlake import fixtures as fx
 from exprlake.operators.export import obs_table
-from exprlake.operators.matrix import gene_counts
+from exprlake.operators.matrix import gene_counts, to_wide
 from exprlake.operators.validate import duplicate_cells, issue_previews, reconcile
 from exprlake.schemas import SEQUENCING
 from exprlake.sources.files import Entry, read_sequencing
@@ -60,6 +60,13 @@ def test_gene_count_reads_one_column(spark, store):
     assert "ReadSchema: struct<gene_id:string>" in text
 
 
+def test_cells_are_shuffled_long_not_wide(spark):
+    text = physical(to_wide(fx.observed_b(spark, SF))[0])
+    final, partial = text.index("functions=[pivotfirst("), text.index("functions=[partial_pivotfirst(")
+    assert final < partial and "Exchange" not in text[final:partial]
+    assert re.search(r"Exchange hashpartitioning\(gene_id#\d+, __unnamed_in#\d+, \d+\), REPARTITION_BY_COL", text)
+
+
 def test_groups_are_cut_before_the_shuffle(spark):
     sequencing, metadata = fx.sequencing_a(spark, SF), fx.metadata_a(spark, SF)
     for df in (
