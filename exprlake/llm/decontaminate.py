@@ -82,7 +82,7 @@ def _at(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 def contamination(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS
 ) -> DataFrame:
-    """(doc_id, n_words, spans, items) of every document.
+    """(doc_id, text_hash, n_words, spans, items) of every document.
 
     ``spans`` are the maximal runs (first, end) of words covered by windows that an item has too, and
     ``items`` the ids of such items.  Words are ASCII letters and digits, A-Z in lower case, and anything
@@ -92,29 +92,29 @@ def contamination(
     tests = materialize(test_windows(items, window), "test-windows")
     blocks = max(1, -(-tests.count() // block_windows))
     texts = docs.select(
-        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("__text")
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash")
     )
     parts = []
     for b in range(blocks):
         block = tests.filter(F.pmod("fingerprint", F.lit(blocks)) == b)
         shared = docs.sparkSession.sparkContext.broadcast(_index(block.toArrow()))
-        found = texts.mapInArrow(_scan(shared), "doc_id long, __text long, n_words long, " + _HITS)
+        found = texts.mapInArrow(_scan(shared), "doc_id long, text_hash long, n_words long, " + _HITS)
         if blocks > 1:
             found = materialize(found, "hits")
             shared.unpersist()
         parts.append(found)
     if blocks == 1:
-        return parts[0].drop("__text")
+        return parts[0]
     every = parts[0]
     for part in parts[1:]:
         every = every.union(part)
-    merged = every.groupBy("doc_id", "__text", "n_words").agg(
+    merged = every.groupBy("doc_id", "text_hash", "n_words").agg(
         (F.count(F.lit(1)) / blocks).cast("int").alias("__copies"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
     return merged.select(
-        "doc_id", "n_words", F.expr(_JOIN_SPANS).alias("spans"), "items", F.explode(F.expr("sequence(1, __copies)"))
+        "doc_id", "text_hash", "n_words", F.expr(_JOIN_SPANS).alias("spans"), "items", F.explode(F.expr("sequence(1, __copies)"))
     ).drop("col")
 
 
@@ -168,12 +168,12 @@ def _scan(shared):
             yield pa.record_batch(
                 [
                     tk.column(batch, "doc_id"),
-                    tk.column(batch, "__text"),
+                    tk.column(batch, "text_hash"),
                     pa.array(np.bincount(row, minlength=rows).astype(np.int64)),
                     pa.ListArray.from_arrays(_offsets(span_row, rows), spans),
                     pa.ListArray.from_arrays(_offsets(found[:, 0], rows), pa.array(found[:, 1])),
                 ],
-                names=["doc_id", "__text", "n_words", "spans", "items"],
+                names=["doc_id", "text_hash", "n_words", "spans", "items"],
             )
 
     return scan

@@ -110,7 +110,7 @@ def jaccard_groups(
     block_shingles: int = BLOCK_SHINGLES,
     block_classes: int = BLOCK_CLASSES,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every document.
+    """(doc_id, text_hash, n_shingles, component_id, n_links) of every document.
 
     Two documents link when their sets of word shingles have a Jaccard similarity of at least ``percent``
     per cent; ``component_id`` is the least doc_id that links lead to, ``n_links`` the number of other
@@ -175,10 +175,11 @@ def jaccard_groups(
         )
     )
     return (
-        sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
+        sets.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
         .join(per_class, "class", "left")
         .select(
             "doc_id",
+            "text_hash",
             "n_shingles",
             F.coalesce("component_id", "doc_id").alias("component_id"),
             F.coalesce("n_links", F.lit(0)).alias("n_links"),

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 
@@ -42,23 +43,29 @@ _LINE = ~tk.byte_class(b"\n")
 WINDOW = 3
 
 
-def statistics(docs: DataFrame) -> DataFrame:
+def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
     """(doc_id, counts) of every row of ``docs``; a null or empty text has zero of everything.
 
-    Words are runs of anything but ASCII white space.  Columns other than doc_id and text are ignored.
+    Words are runs of anything but ASCII white space.  Columns other than doc_id and text are ignored, or
+    with ``carry`` the whole row comes along as a struct ``row``, so that no name can clash.
     """
+    columns = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
+    if carry:
+        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    texts = docs.select(*columns)
+    extra = ["row"] if carry else []
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
             raw, at = tk.text_buffer(tk.column(batch, "text"))
             found = text_counts(raw, at)
             yield pa.record_batch(
-                [tk.column(batch, "doc_id"), *(pa.array(found[c], pa.int64()) for c in COUNTS)],
-                names=["doc_id", *COUNTS],
+                [tk.column(batch, c) for c in ["doc_id", *extra]] + [pa.array(found[c], pa.int64()) for c in COUNTS],
+                names=["doc_id", *extra, *COUNTS],
             )
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measure, schema)
+    kept = T.StructType([f for f in texts.schema.fields if f.name != "text"])
+    return texts.mapInArrow(measure, T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
 
 
 def text_counts(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:

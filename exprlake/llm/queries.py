@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import decontaminate, jaccard, ngram_model, packing, quality, sharding
+from . import decontaminate, jaccard, licenses, ngram_model, packing, quality, secrets, sharding
 from .common import table
 
 SHARDS = 24
@@ -35,6 +35,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(stats, rules).select("doc_id", *names, "base_failed", "kept")
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret found, by place and digest; the value itself is not put out again."""
+    found = secrets.scan(table(spark, sf_dir, "documents")).filter("is_secret")
+    return found.select(
+        "doc_id",
+        F.col("start").cast("long").alias("start"),
+        F.length("value").cast("long").alias("length"),
+        F.sha2("value", 256).alias("value_sha256"),
+        "probability",
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), SHARDS).select(
         "doc_id",
@@ -61,6 +73,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -80,8 +96,10 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
+    "op4_secret_scans": op4_secret_scans,
     "op6_sharding": op6_sharding,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_license_scans": op9_license_scans,
     "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_license_scans": licenses.oracle()}
