@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import decontaminate, jaccard, licenses, ngram_model, packing, quality, secrets, sharding
+from . import decontaminate, jaccard, licenses, ngram_model, packing, quality, repeats, secrets, sharding
 from .common import table
 
 SHARDS = 24
@@ -47,6 +47,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), SHARDS).select(
         "doc_id",
@@ -97,6 +101,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scans": op4_secret_scans,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_license_scans": op9_license_scans,

@@ -112,6 +112,19 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
+def rolling(raw: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all strings of ``size`` bytes."""
+    power = np.full(len(raw) + 1, _BASE, np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE_CODE[raw] * power[:-1], out=sums[1:])
+    power[1:] = _BASE_INVERSE
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    return mix((sums[size:] - sums[:-size]) * power[: len(raw) - size + 1])
+
+
 def windows(hashes: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` consecutive words of one row, and the index of their first words."""
     n = len(hashes) - size + 1
