@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import decontaminate, jaccard, licenses, ngram_model, packing, quality, repeats, secrets, sharding
+from . import decontaminate, jaccard, licenses, ngram_model, packing, passages, quality, repeats, secrets, sharding
 from .common import table
 
 SHARDS = 24
@@ -77,6 +77,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
@@ -104,6 +108,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scans": op9_license_scans,
     "op10_lm_scoring": op10_lm_scoring,
 }
