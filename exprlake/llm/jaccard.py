@@ -155,16 +155,11 @@ def jaccard_groups(
     together = components(meets.select(F.col("class").alias("a"), F.col("least").alias("b")), "meets")
     links = _search(texts, sets, classes, together, words, share, block_shingles, block_classes)
 
-    linked = components(links.select("a", "b"), "links")
+    linked = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")), "links")
     root = linked.join(classes, linked["node"] == classes["class"]).select("class", "component", "first_id")
     named = root.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = root.join(named, "component").select("class", "component_id")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    n_linked = (
-        both.join(classes, both["b"] == classes["class"])
-        .groupBy(F.col("a").alias("class"))
-        .agg(F.sum("n_docs").alias("n_linked"))
-    )
+    n_linked = links.groupBy("class").agg(F.sum("n_linked").alias("n_linked"))
     per_class = (
         classes.join(named, "class", "left")
         .join(n_linked, "class", "left")
@@ -188,9 +183,11 @@ def jaccard_groups(
 
 
 def _search(texts, sets, classes, together, words, share, block_shingles, block_classes) -> DataFrame:
-    """Links (a, b) between classes, each once."""
+    """(class, root, n_linked) for every linked class of a block: the least class that links in the block
+    lead to, and how many documents of other classes it links with there.  Each link is found in one block.
+    """
     members = together.join(classes, together["node"] == classes["class"])
-    members = materialize(members.select("class", "component", "first_id", "n_shingles"), "members")
+    members = materialize(members.select("class", "component", "first_id", "n_docs", "n_shingles"), "members")
     # A block too large for one task is cut into chunks, and every two chunks meet.
     sizes = members.groupBy("component").agg(
         F.greatest(
@@ -203,25 +200,48 @@ def _search(texts, sets, classes, together, words, share, block_shingles, block_
     source = source.groupBy("class", "doc_id").agg(F.min("text_hash").alias("text_hash"))
     found = texts.join(source, ["doc_id", "text_hash"]).select("class", "text")
     placed = found.join(chunked, "class").select(
-        "component", "chunk", "class", "text", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other")
+        "component", "chunk", "class", "n_docs", "text", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other")
     )
     placed = placed.select(
-        "component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "class", "text"
-    )
+        "component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
+        "chunk", "class", "n_docs", "text",
+    )
 
     def block(table: pa.Table) -> pa.Table:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         table = table.take(pa.array(np.unique(table["class"].to_numpy(), return_index=True)[1]))
-        name, chunk = table["class"].to_numpy(), table["chunk"].to_numpy()
+        name, chunk, docs = (table[c].to_numpy() for c in ("class", "chunk", "n_docs"))
         shingle, of = shingle_sets(*tk.text_buffer(table["text"]), words)
         a, b = divide_skip(shingle, of, len(name), share)
         if i != j:
             across = chunk[a] != chunk[b]
             a, b = a[across], b[across]
-        return pa.table({"a": pa.array(name[a]), "b": pa.array(name[b])})
+        linked = np.unique(np.r_[a, b])
+        n_linked = np.zeros(len(name), np.int64)
+        np.add.at(n_linked, np.r_[a, b], docs[np.r_[b, a]])
+        return pa.table(
+            {
+                "class": pa.array(name[linked]),
+                "root": pa.array(name[_roots(a, b, len(name))[linked]]),
+                "n_linked": pa.array(n_linked[linked]),
+            }
+        )
+
+    found = placed.groupBy("component", "i", "j").applyInArrow(block, "class long, root long, n_linked long")
+    return materialize(found, "similar")
+
 
-    found = placed.groupBy("component", "i", "j").applyInArrow(block, "a long, b long")
-    return materialize(found.distinct(), "similar")
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node that the links (a, b) lead to, for each of ``n`` nodes."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            return root
 
 
 def divide_skip(shingle: np.ndarray, of: np.ndarray, sets: int, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
