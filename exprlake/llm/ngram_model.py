@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import textkit as tk
 
-BATCH_TOKENS = 3_000_000
+BATCH_TOKENS = 1_500_000
 # Characters of training text for each shard.
-SHARD_CHARS = 32 << 20
+SHARD_CHARS = 16 << 20
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 BEGIN = np.uint64(0xBE61BE61BE61BE61)
 
@@ -52,7 +52,7 @@ def _shard(x: np.ndarray, shards: int) -> np.ndarray:
 
 @dataclass
 class _Batch:
-    """Tokens of some documents: distinct words, distinct pairs, and where each token's pair is."""
+    """Tokens of some documents: distinct words, distinct pairs, and their counts or where each token's pair is."""
 
     part: int
     ids: list
@@ -61,11 +61,11 @@ class _Batch:
     word_count: np.ndarray
     context: np.ndarray
     follower: np.ndarray
-    pair_count: np.ndarray
-    pair_of: np.ndarray
+    pair_count: np.ndarray | None
+    pair_of: np.ndarray | None
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
+def _batches(batches: Iterator[pa.RecordBatch], places: bool = False) -> Iterator[_Batch]:
     ids: list = []
     lengths: list[np.ndarray] = []
     tokens: list[np.ndarray] = []
@@ -83,21 +83,26 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
         tokens.append(out)
         size += len(out)
         if size >= BATCH_TOKENS:
-            yield _counted(part, ids, np.concatenate(lengths), np.concatenate(tokens))
+            yield _counted(part, ids, np.concatenate(lengths), np.concatenate(tokens), places)
             ids, lengths, tokens, size = [], [], [], 0
     if ids:
-        yield _counted(part, ids, np.concatenate(lengths), np.concatenate(tokens))
+        yield _counted(part, ids, np.concatenate(lengths), np.concatenate(tokens), places)
 
 
-def _counted(part: int, ids: list, lengths: np.ndarray, tokens: np.ndarray) -> _Batch:
+def _counted(part: int, ids: list, lengths: np.ndarray, tokens: np.ndarray, places: bool) -> _Batch:
     words, word_of, word_count = np.unique(tokens, return_inverse=True, return_counts=True)
-    before = np.empty(len(tokens), np.uint64)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(lengths) - lengths] = BEGIN
-    # Contexts by their place among words (and the begin mark), so that a pair is one number, in hash order.
-    contexts = np.union1d(words, BEGIN)
-    key = np.searchsorted(contexts, before).astype(np.uint64) * np.uint64(len(words)) + word_of.astype(np.uint64)
-    pairs, pair_of, pair_count = np.unique(key, return_inverse=True, return_counts=True)
+    # A context's number is its place among the words with the begin mark, so that numbers are in hash order.
+    begin = int(np.searchsorted(words, BEGIN))
+    contexts = np.insert(words, begin, BEGIN)
+    number = np.empty(len(tokens), np.uint64)
+    number[1:] = word_of[:-1] + (word_of[:-1] >= begin)
+    number[np.cumsum(lengths) - lengths] = begin
+    key = number * np.uint64(len(words)) + word_of.astype(np.uint64)
+    if places:
+        pairs, pair_of = np.unique(key, return_inverse=True)
+        pair_count = None
+    else:
+        (pairs, pair_count), pair_of = np.unique(key, return_counts=True), None
     at, of = np.divmod(pairs, np.uint64(len(words)))
     return _Batch(part, ids, lengths, words, word_count, contexts[at], words[of], pair_count, pair_of)
 
@@ -278,32 +283,29 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     ``score`` is the log10 probability of the words and the end mark, ``base_score`` that of single
     words with one added to each count, ``n_known`` the tokens that the model has seen.  A null or empty
-    text is the end mark alone.  ``docs`` is read three times and has to give the same rows each time;
+    text is the end mark alone.  ``docs`` is read twice and has to give the same rows each time;
     what comes out of random or moving input is to be written to a table first.
     """
     texts = _texts(docs)
     shards, tokens, distinct, types = model.shards, model.tokens, model.distinct, model.pair_types
     discounts, word_discounts = model.discounts, model.word_discounts
 
-    def sender(kind: int):
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for k, b in enumerate(_batches(batches)):
-                first = b.part << 32
-                if kind == TOKENS:
-                    check = np.array([len(b.context), int(np.bitwise_xor.reduce(b.context ^ b.follower) >> np.uint64(25))])
-                    yield _schema_batch(
-                        [
-                            (
-                                first + k, TOKENS, -1, b.ids, b.lengths.astype("<i8").tobytes(),
-                                b.pair_of.astype("<u4").tobytes(), check.astype("<i8").tobytes(),
-                            )
-                        ]
-                    )
-                else:
-                    rows = _word_rows if kind == WORDS else _pair_rows
-                    yield _schema_batch(list(rows(first + k, b, shards, False)))
-
-        return send
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, b in enumerate(_batches(batches)):
+            batch = (b.part << 32) + k
+            yield _schema_batch([*_word_rows(batch, b, shards, False), *_pair_rows(batch, b, shards, False)])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, b in enumerate(_batches(batches, places=True)):
+            size = np.array([len(b.context)], "<i8").tobytes()
+            places = b.pair_of.astype("<u4").tobytes()
+            lengths = b.lengths.astype("<i8").tobytes()
+            yield _schema_batch([((b.part << 32) + k, TOKENS, -1, b.ids, lengths, places, size)])
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.Table.from_batches([_schema_batch([])])
+        return (answer_words if asked["kind"][0].as_py() == WORDS else answer_pairs)(asked, held)
 
     def answer_words(asked: pa.Table, held: pa.Table) -> pa.Table:
         rows = []
@@ -389,13 +391,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         )
 
     _word_spread = _spread(model) if types else 1.0
-    asked = texts.mapInArrow(sender(WORDS), _SENT).groupBy("shard")
-    words = asked.cogroup(model.words.select("shard", "a", "b").groupBy("shard")).applyInArrow(answer_words, _SENT)
-    asked = texts.mapInArrow(sender(PAIRS), _SENT).groupBy("shard")
-    held = model.pairs.select("shard", "a", "b", "c").groupBy("shard")
-    pairs = asked.cogroup(held).applyInArrow(answer_pairs, _SENT)
-    own = texts.mapInArrow(sender(TOKENS), _SENT)
-    return words.union(pairs).union(own).groupBy("batch").applyInArrow(
+    held = model.words.select("kind", "shard", "a", "b", "c").union(model.pairs.select("kind", "shard", "a", "b", "c"))
+    asked = texts.mapInArrow(ask, _SENT).groupBy("kind", "shard")
+    answers = asked.cogroup(held.groupBy("kind", "shard")).applyInArrow(answer, _SENT)
+    own = texts.mapInArrow(keep, _SENT)
+    return answers.union(own).groupBy("batch").applyInArrow(
         combine, "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
 
