@@ -1,12 +1,13 @@
 """Interpolated modified Kneser-Ney model of word pairs.
 
-Workers count a batch of texts at a time and send sorted arrays of (word, count) and (context, word,
-count) to shards by hash.  A shard sums what it gets; that is the model: rows of sorted hash arrays, as
-many as the corpus needs.  To score, batches send the distinct words and pairs they hold to the same
-shards; there a worker maps the shard's arrays into memory, searches them, and sends the answers back.
-So neither the vocabulary nor the pairs have to fit one machine.
-
-Words are told apart by 64-bit hashes, words within pairs by the leading 40 bits of them.
+Workers count a batch of texts at a time and send sorted arrays of (context, follower, count) to shards by
+the hash of the context.  A shard sums what it gets; that is the model: rows of sorted hash arrays, as many
+as the corpus needs.  Every word is followed by a word or the end mark, so a word's own count is the sum of
+its followers' counts.  To score, batches send the distinct pairs they hold to the same shards; there a
+worker maps the shard's arrays into memory, searches them, and sends counts back.  So neither the
+vocabulary nor the pairs have to fit one machine.
+
+Words are told apart by 64-bit hashes, followers within pairs by the leading 40 bits of them.
 """
 
 from __future__ import annotations
@@ -29,8 +30,21 @@ SHARD_CHARS = 16 << 20
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 BEGIN = np.uint64(0xBE61BE61BE61BE61)
 
-_SENT = "batch long, kind int, shard int, ids array<long>, a binary, b binary, c binary"
-WORDS, PAIRS, TOKENS = 0, 1, 2
+_SENT = "batch long, shard int, ids array<long>, a binary, b binary, c binary"
+TOKENS = -1  # in place of a shard: the batch itself
+_CODEC = "zstd"
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    """Small numbers, byte by byte and compressed."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), _CODEC, asbytes=True)
+
+
+def _expand(data) -> np.ndarray:
+    n = int.from_bytes(bytes(data[:8]), "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, _CODEC, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -52,20 +66,19 @@ def _shard(x: np.ndarray, shards: int) -> np.ndarray:
 
 @dataclass
 class _Batch:
-    """Tokens of some documents: distinct words, distinct pairs, and their counts or where each token's pair is."""
+    """Tokens of some documents: their contexts, and for each its followers, in hash order."""
 
     part: int
     ids: list
     lengths: np.ndarray
-    words: np.ndarray
-    word_count: np.ndarray
-    context: np.ndarray
+    contexts: np.ndarray
+    sizes: np.ndarray
     follower: np.ndarray
-    pair_count: np.ndarray | None
-    pair_of: np.ndarray | None
+    count: np.ndarray
+    word_of: np.ndarray
 
 
-def _batches(batches: Iterator[pa.RecordBatch], places: bool = False) -> Iterator[_Batch]:
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
     ids: list = []
     lengths: list[np.ndarray] = []
     tokens: list[np.ndarray] = []
@@ -83,62 +96,52 @@ def _batches(batches: Iterator[pa.RecordBatch], places: bool = False) -> Iterato
         tokens.append(out)
         size += len(out)
         if size >= BATCH_TOKENS:
-            yield _counted(part, ids, np.concatenate(lengths), np.concatenate(tokens), places)
+            yield _counted(part, ids, np.concatenate(lengths), np.concatenate(tokens))
             ids, lengths, tokens, size = [], [], [], 0
     if ids:
-        yield _counted(part, ids, np.concatenate(lengths), np.concatenate(tokens), places)
-
-
-def _counted(part: int, ids: list, lengths: np.ndarray, tokens: np.ndarray, places: bool) -> _Batch:
-    words, word_of, word_count = np.unique(tokens, return_inverse=True, return_counts=True)
-    # A context's number is its place among the words with the begin mark, so that numbers are in hash order.
-    begin = int(np.searchsorted(words, BEGIN))
-    contexts = np.insert(words, begin, BEGIN)
-    number = np.empty(len(tokens), np.uint64)
-    number[1:] = word_of[:-1] + (word_of[:-1] >= begin)
-    number[np.cumsum(lengths) - lengths] = begin
-    key = number * np.uint64(len(words)) + word_of.astype(np.uint64)
-    if places:
-        pairs, pair_of = np.unique(key, return_inverse=True)
-        pair_count = None
-    else:
-        (pairs, pair_count), pair_of = np.unique(key, return_counts=True), None
+        yield _counted(part, ids, np.concatenate(lengths), np.concatenate(tokens))
+
+
+def _pair_keys(word_of: np.ndarray, lengths: np.ndarray, begin: int, contexts: int) -> np.ndarray:
+    """One number for each token and the token before it, by their places among all contexts."""
+    before = np.empty(len(word_of), np.uint64)
+    before[1:] = word_of[:-1]
+    before[np.cumsum(lengths) - lengths] = begin
+    return before * np.uint64(contexts) + word_of.astype(np.uint64)
+
+
+def _counted(part: int, ids: list, lengths: np.ndarray, tokens: np.ndarray) -> _Batch:
+    # The begin mark is a context, and the end mark is kept among them as a context without followers.
+    words, word_of = np.unique(np.r_[tokens, BEGIN], return_inverse=True)
+    word_of = word_of[:-1]
+    keys = _pair_keys(word_of, lengths, int(np.searchsorted(words, BEGIN)), len(words))
+    pairs, count = np.unique(keys, return_counts=True)
     at, of = np.divmod(pairs, np.uint64(len(words)))
-    return _Batch(part, ids, lengths, words, word_count, contexts[at], words[of], pair_count, pair_of)
+    sizes = np.bincount(at.astype(np.int64), minlength=len(words))
+    return _Batch(part, ids, lengths, words, sizes, words[of], count, word_of)
 
 
-def _schema_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+def _record(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
     columns = list(zip(*rows)) if rows else [()] * len(kinds)
-    names = ["batch", "kind", "shard", "ids", "a", "b", "c"]
+    names = ["batch", "shard", "ids", "a", "b", "c"]
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
-def _word_rows(batch: int, b: _Batch, shards: int, counts: bool) -> Iterator[tuple]:
-    cuts = np.searchsorted(_shard(b.words, shards), np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(cuts)):
-        x = slice(cuts[s], cuts[s + 1])
-        yield batch, WORDS, int(s), None, b.words[x].tobytes(), b.word_count[x].astype("<u4").tobytes() if counts else None, None
-
-
 def _pair_rows(batch: int, b: _Batch, shards: int, counts: bool) -> Iterator[tuple]:
-    """a: distinct contexts; b: followers of each, then counts if asked for; c: followers."""
-    cuts = np.searchsorted(_shard(b.context, shards), np.arange(shards + 1))
+    """a: contexts; b: followers of each, then counts if asked for; c: followers."""
+    cuts = np.searchsorted(_shard(b.contexts, shards), np.arange(shards + 1))
+    begin = np.r_[0, np.cumsum(b.sizes)]
     for s in np.flatnonzero(np.diff(cuts)):
-        x = slice(cuts[s], cuts[s + 1])
-        context = b.context[x]
-        new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-        sizes = np.diff(np.r_[new, len(context)]).astype("<u4").tobytes()
-        if counts:
-            sizes += b.pair_count[x].astype("<u4").tobytes()
-        yield batch, PAIRS, int(s), None, _pack(context[new]), sizes, _pack(b.follower[x])
+        x, y = slice(cuts[s], cuts[s + 1]), slice(begin[cuts[s]], begin[cuts[s + 1]])
+        numbers = np.r_[b.sizes[x], b.count[y]] if counts else b.sizes[x]
+        yield batch, int(s), None, b.contexts[x].tobytes(), _squeeze(numbers), _pack(b.follower[y])
 
 
 def _read_pairs(a, b, c) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, followers of each, follower words, and their counts if there are any."""
-    context, follower = _unpack(a), _unpack(c)
-    numbers = np.frombuffer(b, "<u4")
-    return context, numbers[: len(context)].astype(np.int64), follower, numbers[len(context) :].astype(np.int64)
+    contexts, numbers = np.frombuffer(a, np.uint64), _expand(b)
+    return contexts, numbers[: len(contexts)], _unpack(c), numbers[len(contexts) :]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -150,20 +153,22 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """Tables of sorted hash arrays, and the numbers that the whole corpus gives.
+    """A table of sorted hash arrays, and the numbers that the whole corpus gives.
 
-    ``words``: shard, a (hashes), b (counts, then distinct contexts).  ``pairs``: shard, a (contexts),
-    b (followers of each, then counts), c (followers).
+    ``table``: shard, contexts (hashes), begins (where the followers of each begin), numbers (for each
+    context its count, the kinds of followers seen once, twice, and more often, and the kinds of words
+    before it), followers (hashes), counts.
     """
 
-    words: DataFrame
-    pairs: DataFrame
+    table: DataFrame
     shards: int
+    documents: int
     tokens: int
     distinct: int
     pair_types: int
     discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
+    spread: float
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -188,90 +193,119 @@ def fit(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> Model:
     """
     texts = _texts(docs)
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(4, -(-chars // shard_chars))
+    shards = max(12, -(-chars // shard_chars))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches):
-            yield _schema_batch([*_word_rows(0, b, shards, True), *_pair_rows(0, b, shards, True)])
+            yield _record(list(_pair_rows(0, b, shards, True)))
 
     def sum_up(table: pa.Table) -> pa.Table:
-        kind, shard = table["kind"][0].as_py(), table["shard"][0].as_py()
-        if kind == WORDS:
-            key = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["a"]])
-            n = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["b"]])
-            words, of = np.unique(key, return_inverse=True)
-            total = np.bincount(of, n, len(words)).astype(np.int64)
-            return _summed(kind, shard, words.tobytes(), total.astype("<u8").tobytes(), None, [0] * 4, len(words), int(total.sum()))
-        parts = [_read_pairs(*(r[c] for c in "abc")) for r in table.select(["a", "b", "c"]).to_pylist()]
-        context = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+        parts = [_read_pairs(*(table[c][i].as_buffer() for c in "abc")) for i in range(table.num_rows)]
+        contexts = np.unique(np.concatenate([p[0] for p in parts]))
+        at = np.concatenate([np.repeat(np.searchsorted(contexts, p[0]).astype(np.uint32), p[1]) for p in parts])
         follower, n = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
         del parts
-        order = np.lexsort((follower, context))
-        context, follower, n = context[order], follower[order], n[order]
-        new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (follower[1:] != follower[:-1])])
-        n = np.add.reduceat(n, new)
-        context, follower = context[new], follower[new]
-        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-        sizes = np.diff(np.r_[first, len(context)])
-        numbers = np.r_[sizes, n].astype("<u4").tobytes()
-        return _summed(kind, shard, _pack(context[first]), numbers, _pack(follower), _of_counts(n), len(n), int(n.sum()))
-
-    counted = texts.mapInArrow(count, _SENT).groupBy("kind", "shard").applyInArrow(sum_up, _SUMMED)
+        order = np.lexsort((follower, at))
+        at, follower, n = at[order], follower[order], n[order]
+        new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (follower[1:] != follower[:-1])][: len(at)])
+        n = np.add.reduceat(n, new) if len(new) else n
+        at, follower = at[new], follower[new]
+        begin = np.searchsorted(at, np.arange(len(contexts) + 1))
+        rows = [_sums(at, n, len(contexts))] + [np.bincount(at[k], minlength=len(contexts)) for k in (n == 1, n == 2, n > 2)]
+        return _shard_row(table["shard"][0].as_py(), contexts, begin, np.stack(rows), follower, n, _of_counts(n))
+
+    counted = texts.mapInArrow(count, _SENT).groupBy("shard").applyInArrow(sum_up, _SUMMED)
     counted = materialize(counted, "counts")
-    pairs = counted.filter(F.col("kind") == PAIRS)
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                word, n = np.unique(_unpack(r["c"]), return_counts=True)
+            for i in range(batch.num_rows):
+                word, n = np.unique(_unpack(tk.column(batch, "followers")[i].as_buffer()), return_counts=True)
                 cuts = np.searchsorted(_shard(word, shards), np.arange(shards + 1))
+                rows = []
                 for s in np.flatnonzero(np.diff(cuts)):
                     x = slice(cuts[s], cuts[s + 1])
-                    yield _schema_batch([(0, PAIRS, int(s), None, _pack(word[x]), n[x].astype("<u4").tobytes(), None)])
-
-    def join(key, table):
-        rows = table.to_pylist()
-        words = [r for r in rows if r["kind"] == WORDS]
-        if not words:
-            return _summed(WORDS, key[0].as_py(), b"", b"", None, [0] * 4, 0, 0)
-        word, n = np.frombuffer(words[0]["a"], np.uint64), np.frombuffer(words[0]["b"], "<u8")
-        before = np.zeros(len(word), np.int64)
-        for r in rows:
-            if r["kind"] == PAIRS:
-                # Words that agree in 40 bits share their contexts.
-                of = np.searchsorted(word >> np.uint64(24), _unpack(r["a"]) >> np.uint64(24))
-                np.add.at(before, of, np.frombuffer(r["b"], "<u4"))
-        return _summed(
-            WORDS, words[0]["shard"], words[0]["a"], n.tobytes() + before.astype("<u8").tobytes(), None,
-            _of_counts(before), len(word), int(n.sum()),
-        )
-
-    of_words = counted.filter(F.col("kind") == WORDS).select("kind", "shard", "a", "b")
-    before = pairs.mapInArrow(contexts, _SENT).select("kind", "shard", "a", "b")
-    words = materialize(of_words.union(before).groupBy("shard").applyInArrow(join, _SUMMED), "words")
-    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4", "types", "total")]
-    w, p = words.agg(*sums).first(), pairs.agg(*sums).first()
-    return Model(words, pairs, shards, int(w[5]), int(w[4]), int(p[4]), _discounts(*p[:4]), _discounts(*w[:4]))
-
-
-_SUMMED = "kind int, shard int, a binary, b binary, c binary, n1 long, n2 long, n3 long, n4 long, types long, total long"
-
-
-def _summed(kind: int, shard: int, a, b, c, of_counts: list[int], types: int, total: int) -> pa.Table:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()] + [pa.int64()] * 6
-    names = ["kind", "shard", "a", "b", "c", "n1", "n2", "n3", "n4", "types", "total"]
-    values = [kind, shard, a, b, c, *of_counts, types, total]
+                    rows.append((0, int(s), None, _pack(word[x]), _squeeze(n[x]), None))
+                yield _record(rows)
+
+    def join(sent, held):
+        if not held.num_rows:
+            return held
+        r = _read_shard(held)
+        before = np.zeros(len(r.contexts), np.int64)
+        for i in range(sent.num_rows):
+            # Words that agree in 40 bits share what comes before them.
+            of = np.searchsorted(r.contexts >> np.uint64(24), _unpack(sent["a"][i].as_buffer()) >> np.uint64(24))
+            np.add.at(before, of, _expand(sent["b"][i].as_buffer()))
+        words = r.contexts != BEGIN
+        of_before = _of_counts(before[words])
+        return _shard_row(r.shard, r.contexts, r.begin, np.stack([*r.numbers[:4], before]), r.followers, r.counts, of_before)
+
+    before = counted.select("followers").mapInArrow(words_before, _SENT).groupBy("shard")
+    table = materialize(before.cogroup(counted.groupBy("shard")).applyInArrow(join, _SUMMED), "pair-model")
+    of = ["n1", "n2", "n3", "n4", "types", "total", "n_contexts"]
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in of]
+    p, w = counted.agg(*sums).first(), table.agg(*sums).first()
+    pair_types, documents = int(p[4]), int(texts.count())
+    distinct = max(0, int(w[6]) - 1)  # all contexts but the begin mark
+    d = _discounts(*w[:4])
+    left = d[0] * w[0] + d[1] * w[1] + d[2] * max(0, distinct - w[0] - w[1])
+    return Model(
+        table, shards, documents, int(p[5]), distinct, pair_types, _discounts(*p[:4]), d,
+        left / pair_types if pair_types else 1.0,
+    )
+
+
+_SUMMED = (
+    "shard int, contexts binary, begins binary, numbers binary, followers binary, counts binary, "
+    "n1 long, n2 long, n3 long, n4 long, types long, total long, n_contexts long"
+)
+
+
+def _sums(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, n, size).astype(np.int64)
+
+
+def _shard_row(shard, contexts, begin, numbers, follower, n, of_counts) -> pa.Table:
+    names = [f.split()[0] for f in _SUMMED.split(", ")]
+    values = [
+        shard, contexts.tobytes(), begin.astype("<i8").tobytes(), numbers.astype("<i8").tobytes(),
+        _pack(follower), n.astype("<u4").tobytes(), *of_counts, len(n), int(n.sum()), len(contexts),
+    ]
+    kinds = [pa.int32()] + [pa.binary()] * 5 + [pa.int64()] * 7
     return pa.table([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
 
 
-def _mapped(data: bytes) -> np.ndarray:
+@dataclass
+class _Shard:
+    shard: int
+    contexts: np.ndarray
+    begin: np.ndarray
+    numbers: np.ndarray
+    followers: np.ndarray
+    counts: np.ndarray
+
+
+def _read_shard(held: pa.Table) -> _Shard:
+    """Sorted arrays of a shard, mapped from a file of their own."""
+    maps = {c: _mapped(held[c][0].as_buffer()) for c in ("contexts", "begins", "numbers", "followers", "counts")}
+    contexts = maps["contexts"].view(np.uint64)
+    numbers = maps["numbers"].view("<i8").reshape(-1, len(contexts))
+    counts = maps["counts"].view("<u4")
+    return _Shard(
+        held["shard"][0].as_py(), contexts, maps["begins"].view("<i8"), numbers, _unpack(maps["followers"].data), counts
+    )
+
+
+def _mapped(data) -> np.ndarray:
     """Bytes as a memory-mapped file that goes away with its last user."""
-    if not data:
+    size = len(memoryview(data))
+    if not size:
         return np.zeros(0, np.uint8)
     with tempfile.TemporaryFile() as file:
         file.write(data)
         file.flush()
-        return np.memmap(file, np.uint8, "r", shape=(len(data),))
+        return np.memmap(file, np.uint8, "r", shape=(size,))
 
 
 def _discount(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -287,124 +321,87 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     what comes out of random or moving input is to be written to a table first.
     """
     texts = _texts(docs)
-    shards, tokens, distinct, types = model.shards, model.tokens, model.distinct, model.pair_types
-    discounts, word_discounts = model.discounts, model.word_discounts
+    shards = model.shards
+    known = {k: getattr(model, k) for k in ("documents", "tokens", "distinct", "pair_types", "discounts", "word_discounts", "spread")}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, b in enumerate(_batches(batches)):
-            batch = (b.part << 32) + k
-            yield _schema_batch([*_word_rows(batch, b, shards, False), *_pair_rows(batch, b, shards, False)])
+            yield _record(list(_pair_rows((b.part << 32) + k, b, shards, False)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, b in enumerate(_batches(batches, places=True)):
-            size = np.array([len(b.context)], "<i8").tobytes()
-            places = b.pair_of.astype("<u4").tobytes()
-            lengths = b.lengths.astype("<i8").tobytes()
-            yield _schema_batch([((b.part << 32) + k, TOKENS, -1, b.ids, lengths, places, size)])
-
-    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return pa.Table.from_batches([_schema_batch([])])
-        return (answer_words if asked["kind"][0].as_py() == WORDS else answer_pairs)(asked, held)
-
-    def answer_words(asked: pa.Table, held: pa.Table) -> pa.Table:
-        rows = []
-        keys = _mapped(held["a"][0].as_py() if held.num_rows else b"").view(np.uint64)
-        numbers = _mapped(held["b"][0].as_py() if held.num_rows else b"").view("<u8")
-        for r in asked.to_pylist():
-            word = np.frombuffer(r["a"], np.uint64)
-            at = np.searchsorted(keys, word)
-            known = at < len(keys)
-            known[known] = keys[at[known]] == word[known]
-            n, before = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
-            n[known], before[known] = numbers[at[known]], numbers[at[known] + len(keys)]
-            rows.append((r["batch"], WORDS, r["shard"], None, r["a"], n.astype("<u4").tobytes(), before.astype("<u4").tobytes()))
-        return pa.Table.from_batches([_schema_batch(rows)])
-
-    def answer_pairs(asked: pa.Table, held: pa.Table) -> pa.Table:
+        for k, b in enumerate(_batches(batches)):
+            begin = int(np.searchsorted(b.contexts, BEGIN))
+            check = np.array([begin, len(b.contexts), len(b.follower)], "<i8").tobytes()
+            row = ((b.part << 32) + k, TOKENS, b.ids, _squeeze(b.word_of), b.lengths.astype("<i8").tobytes(), check)
+            yield _record([row])
+
+    def answer(asked, held):
         rows = []
         if held.num_rows:
-            context, sizes, follower, n = _read_pairs(*(_mapped(held[c][0].as_py()).data for c in "abc"))
-        else:
-            context, sizes, follower, n = np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
-        begin = np.r_[0, np.cumsum(sizes)]
-        total = np.add.reduceat(n, begin[:-1]) if len(n) else n
-        back = np.add.reduceat(_discount(n, discounts), begin[:-1]) / total if len(n) else n
-        # One sorted key for a pair: the place of its context, then its follower.
-        key = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(40) | follower.astype(np.uint64) >> np.uint64(24)
-        for r in asked.to_pylist():
-            ask, many, word, _ = _read_pairs(r["a"], r["b"], r["c"])
-            at = np.searchsorted(context, ask)
-            known = at < len(context)
-            known[known] = context[at[known]] == ask[known]
-            gamma = np.ones(len(ask))
-            gamma[known] = back[at[known]]
-            place = np.repeat(np.where(known, at, 0), many)
-            wanted = place.astype(np.uint64) << np.uint64(40) | word >> np.uint64(24)
-            at = np.searchsorted(key, wanted)
-            there = np.repeat(known, many) & (at < len(key))
-            there[there] = key[at[there]] == wanted[there]
-            p = np.zeros(len(word), "<f4")
-            count = n[at[there]]
-            p[there] = (count - _discount(count, discounts)) / total[place[there]]
-            sizes_ = np.r_[many, 0][: len(many)].astype("<u4").tobytes()
-            rows.append((r["batch"], PAIRS, r["shard"], None, sizes_ + gamma.astype("<f4").tobytes(), p.tobytes(), r["c"]))
-        return pa.Table.from_batches([_schema_batch(rows)])
+            r = _read_shard(held)
+            # One sorted key for a pair: the place of its context, then its follower.
+            sizes = np.diff(r.begin)
+            key = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(40) | r.followers >> np.uint64(24)
+        for i in range(asked.num_rows):
+            contexts, sizes, follower, _ = _read_pairs(*(asked[c][i].as_buffer() for c in "abc"))
+            numbers, count = np.zeros((5, len(contexts)), np.int64), np.zeros(len(follower), np.int64)
+            if held.num_rows:
+                at = np.searchsorted(r.contexts, contexts)
+                there = at < len(r.contexts)
+                there[there] = r.contexts[at[there]] == contexts[there]
+                numbers[:, there] = r.numbers[:, at[there]]
+                wanted = np.repeat(np.where(there, at, 0), sizes).astype(np.uint64) << np.uint64(40) | follower >> np.uint64(24)
+                at = np.searchsorted(key, wanted)
+                there = np.repeat(there, sizes) & (at < len(key))
+                there[there] = key[at[there]] == wanted[there]
+                count[there] = r.counts[at[there]]
+            rows.append((asked["batch"][i].as_py(), asked["shard"][i].as_py(), None, _squeeze(numbers.ravel()), _squeeze(count), None))
+        return pa.Table.from_batches([_record(rows)])
 
     def combine(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
-        own = rows[-1]
-        kinds = {k: [r for r in rows if r["kind"] == k] for k in (WORDS, PAIRS)}
-        word, n, before = (
-            np.concatenate([np.frombuffer(r[c], t) for r in kinds[WORDS]])
-            for c, t in (("a", np.uint64), ("b", "<u4"), ("c", "<u4"))
-        )
-        n, before = n.astype(np.int64), before.astype(np.int64)
-        gammas, follower, p = [], [], []
-        for r in kinds[PAIRS]:
-            half = len(r["a"]) // 2
-            gammas.append(np.repeat(np.frombuffer(r["a"][half:], "<f4"), np.frombuffer(r["a"][:half], "<u4")))
-            p.append(np.frombuffer(r["b"], "<f4"))
-            follower.append(_unpack(r["c"]))
-        gamma, follower, p = np.concatenate(gammas), np.concatenate(follower), np.concatenate(p)
-        of = np.searchsorted(word >> np.uint64(24), follower >> np.uint64(24))
-        if types:
-            spread = _word_spread
-            p1 = (before - _discount(before, word_discounts)) / types + spread / (distinct + 1)
-        else:
-            p1 = np.full(len(word), 1 / (distinct + 1))
-        log_p = np.log10(p.astype(np.float64) + gamma * p1[of])
-        log_base = np.log10((n + 1) / (tokens + 1 * (distinct + 1)))
-        lengths, pair_of = np.frombuffer(own["a"], "<i8"), np.frombuffer(own["b"], "<u4")
-        if len(p) != np.frombuffer(own["c"], "<i8")[0]:
-            raise ValueError("the documents changed between two reads; write them to a table first")
-        begin = np.cumsum(lengths) - lengths
-        word_of = of[pair_of]
-        return pa.table(
-            {
-                "doc_id": pa.array(own["ids"], pa.int64()),
-                "n_tokens": pa.array(lengths),
-                "n_known": pa.array(np.add.reduceat((n[word_of] > 0).astype(np.int64), begin)),
-                "base_score": pa.array(np.add.reduceat(log_base[word_of], begin)),
-                "score": pa.array(np.add.reduceat(log_p[pair_of], begin)),
-            }
-        )
-
-    _word_spread = _spread(model) if types else 1.0
-    held = model.words.select("kind", "shard", "a", "b", "c").union(model.pairs.select("kind", "shard", "a", "b", "c"))
-    asked = texts.mapInArrow(ask, _SENT).groupBy("kind", "shard")
-    answers = asked.cogroup(held.groupBy("kind", "shard")).applyInArrow(answer, _SENT)
+        return _scored(table, **known)
+
+    asked = texts.mapInArrow(ask, _SENT).groupBy("shard")
+    answers = asked.cogroup(model.table.groupBy("shard")).applyInArrow(answer, _SENT)
     own = texts.mapInArrow(keep, _SENT)
     return answers.union(own).groupBy("batch").applyInArrow(
         combine, "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
 
 
-def _spread(model: Model) -> float:
-    """What the discounts of single words leave for unknown ones."""
-    d = model.word_discounts
-    n1, n2, types = (
-        model.words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "types")]).first()
+def _scored(table: pa.Table, documents, tokens, distinct, pair_types, discounts, word_discounts, spread) -> pa.Table:
+    shard = table["shard"].to_numpy()
+    own = int(np.flatnonzero(shard == TOKENS)[0])
+    order = [int(i) for i in np.argsort(shard) if i != own]
+    numbers = np.concatenate([_expand(table["a"][i].as_buffer()).reshape(5, -1) for i in order], axis=1)
+    count = np.concatenate([_expand(table["b"][i].as_buffer()) for i in order])
+    begin, contexts, pairs = np.frombuffer(table["c"][own].as_buffer(), "<i8")
+    if numbers.shape[1] != contexts or len(count) != pairs:
+        raise ValueError("the documents changed between two reads; write them to a table first")
+    word_of = _expand(table["a"][own].as_buffer())
+    lengths = np.frombuffer(table["b"][own].as_buffer(), "<i8")
+    total, once, twice, more, before = numbers
+    back = discounts[0] * once + discounts[1] * twice + discounts[2] * more
+    gamma = np.divide(back, total, out=np.ones(len(total)), where=total > 0)
+    if pair_types:
+        alone = (before - _discount(before, word_discounts)) / pair_types + spread / (distinct + 1)
+    else:
+        alone = np.full(len(total), 1 / (distinct + 1))
+    # A word is seen as often as it is followed; only the end mark is not, which ends every document.
+    seen = total.copy()
+    seen[word_of[np.cumsum(lengths)[0] - 1]] = documents
+    key, pair_of = np.unique(_pair_keys(word_of, lengths, int(begin), int(contexts)), return_inverse=True)
+    at, of = (x.astype(np.int64) for x in np.divmod(key, np.uint64(contexts)))
+    direct = np.divide(count - _discount(count, discounts), total[at], out=np.zeros(len(count)), where=total[at] > 0)
+    log_p = np.log10(direct + gamma[at] * alone[of])
+    log_base = np.log10((seen + 1) / (tokens + 1 * (distinct + 1)))
+    first = np.cumsum(lengths) - lengths
+    return pa.table(
+        {
+            "doc_id": pa.array(table["ids"][own].as_py(), pa.int64()),
+            "n_tokens": pa.array(lengths),
+            "n_known": pa.array(np.add.reduceat((seen[word_of] > 0).astype(np.int64), first)),
+            "base_score": pa.array(np.add.reduceat(log_base[word_of], first)),
+            "score": pa.array(np.add.reduceat(log_p[pair_of], first)),
+        }
     )
-    seen = int(types)
-    return (d[0] * n1 + d[1] * n2 + d[2] * max(0, seen - n1 - n2)) / model.pair_types
