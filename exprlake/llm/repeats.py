@@ -24,7 +24,7 @@ ANCHOR = 20
 SIDE = LENGTH - ANCHOR
 CONTEXT = LENGTH + SIDE
 # Bytes of text whose anchors meet in one shard, about, and bytes of contexts in one index.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 24 << 20
 BLOCK_BYTES = 4 << 20
 _SEPARATOR = 0xFF  # no byte of UTF-8
 
@@ -303,19 +303,22 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, block_bytes:
         .groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     )
     # Of equal texts all but the first document's go whole.
-    copies = known.groupBy("text_hash", F.octet_length("text").alias("bytes")).agg(F.min("doc_id").alias("first"))
+    sizes = known.select("doc_id", "text_hash", F.octet_length("text").cast("long").alias("bytes"))
+    copies = sizes.groupBy("text_hash", "bytes").agg(F.min("doc_id").alias("first"))
+    whole = (F.col("doc_id") > F.col("first")) & (F.col("bytes") >= LENGTH)
     facts = (
-        known.select("doc_id", "text_hash", F.octet_length("text").alias("bytes")).distinct()
-        .join(copies, ["text_hash", "bytes"])
-        .select("doc_id", "text_hash", (F.col("doc_id") > F.col("first")).alias("copy"))
+        sizes.distinct().join(copies, ["text_hash", "bytes"])
         .join(spans, ["doc_id", "text_hash"], "left")
+        .select(
+            "doc_id", "text_hash",
+            F.when(whole, F.array(F.lit(0).cast("long"), "bytes"))
+            .otherwise(F.coalesce("spans", F.array().cast("array<long>"))).alias("spans"),
+        )
     )
-    return texts.join(facts, ["doc_id", "text_hash"], "left").select(
-        "doc_id", "text",
-        F.when(
-            F.col("copy") & (F.octet_length("text") >= LENGTH), F.array(F.lit(0).cast("long"), F.octet_length("text").cast("long"))
-        ).otherwise(F.coalesce("spans", F.array().cast("array<long>"))).alias("spans"),
-    )
+    # An inner join like the one above, so that the texts are shuffled once for both.
+    judged = known.join(facts, ["doc_id", "text_hash"]).select("doc_id", "text", "spans")
+    nameless = texts.filter("doc_id is null").select("doc_id", "text", F.array().cast("array<long>").alias("spans"))
+    return judged.union(nameless)
 
 
 def _context_rows(raw, at, hashes, place, row, ids, text, shards) -> Iterator[tuple]:
