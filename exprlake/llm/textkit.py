@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text that are handled at once; a single longer text is taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
