@@ -26,6 +26,8 @@ CONTEXT = LENGTH + SIDE
 # Bytes of text whose anchors meet in one shard, about, and bytes of contexts in one index.
 SHARD_BYTES = 24 << 20
 BLOCK_BYTES = 4 << 20
+# Bytes of text whose anchors a worker sends at once.
+SEND_BYTES = 8 << 20
 _SEPARATOR = 0xFF  # no byte of UTF-8
 
 
@@ -182,8 +184,18 @@ def _covered(contexts: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> np.n
     return out
 
 
-def _anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, places and rows of the anchors of all texts; texts below ``LENGTH`` bytes have none."""
+def _anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, places in the batch's bytes and rows of the anchors of all texts; texts below ``LENGTH``
+    bytes have none.  Texts are taken in small pieces, for which the work arrays stay small."""
+    out, rows, size = [], 0, 0
+    for piece in tk.slices(iter([batch])):
+        raw, at = tk.text_buffer(tk.column(piece, "text"))
+        out.append([x + k for x, k in zip(_piece_anchors(raw, at), (np.uint64(0), size, rows))])
+        rows, size = rows + piece.num_rows, size + len(raw)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _piece_anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw) - ANCHOR + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -237,8 +249,8 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, block_bytes:
     shards = max(12, -(-total // shard_bytes))
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches):
-            hashes, _, row = _anchors(*tk.text_buffer(tk.column(batch, "text")))
+        for batch in tk.slices(batches, limit=SEND_BYTES):
+            hashes, _, row = _anchors(batch)
             ids, text = (tk.column(batch, c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_hash"))
             shard = _shard(hashes, shards)
             order = np.lexsort((row, shard))
@@ -276,9 +288,9 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, block_bytes:
         )
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches):
+        for batch in tk.slices(batches, limit=SEND_BYTES):
             raw, at = tk.text_buffer(tk.column(batch, "text"))
-            hashes, place, row = _anchors(raw, at)
+            hashes, place, row = _anchors(batch)
             ids, text = (tk.column(batch, c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_hash"))
             asked = tk.column(batch, "anchors")
             wanted_row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
@@ -324,8 +336,8 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, block_bytes:
 def _context_rows(raw, at, hashes, place, row, ids, text, shards) -> Iterator[tuple]:
     """The bytes around each anchor, equal ones once, dealt by the anchor.
 
-    ``a`` holds for each distinct context anchor, bytes before the anchor, size, and how many places have
-    it; ``b`` their bytes; ``c`` for each place its document and where the context starts there.
+    ``a`` holds for each distinct context its anchor, then bytes before the anchor, size, and how many
+    places have it; ``b`` their bytes; ``c`` for each place its document and where the context starts there.
     """
     start = np.maximum(place - SIDE, at[row])
     size = np.minimum(place + LENGTH, at[row + 1]) - start
@@ -333,9 +345,7 @@ def _context_rows(raw, at, hashes, place, row, ids, text, shards) -> Iterator[tu
     padded = np.r_[raw, np.zeros(CONTEXT, np.uint8)]
     data = padded[start[:, None] + np.arange(CONTEXT)]
     data[np.arange(CONTEXT)[None, :] >= size[:, None]] = 0
-    whole = hashes + left.astype(np.uint64)
-    for k in range(0, CONTEXT, 8):
-        whole = tk.mix(whole + np.ascontiguousarray(data[:, k : k + 8]).view(np.uint64).ravel())
+    whole = _class_hash(hashes, left, data)
     shard = _shard(hashes, shards)
     order = np.lexsort((row, whole, hashes, shard))
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -345,22 +355,41 @@ def _context_rows(raw, at, hashes, place, row, ids, text, shards) -> Iterator[tu
         first = x[new]
         counts = np.diff(np.r_[new, len(x)])
         of, of_x = np.unique(row[x], return_inverse=True)
-        head = np.stack([hashes[first], whole[first], left[first].astype(np.uint64), size[first].astype(np.uint64), counts.astype(np.uint64)])
-        tail = np.stack([of_x, start[x] - at[row[x]]]).astype("<i8")
-        yield int(s), ids[of], text[of], None, head.tobytes(), data[first].tobytes(), tail.tobytes()
+        head = hashes[first].tobytes() + _numbers(left[first], size[first], counts).tobytes()
+        tail = np.stack([of_x, start[x] - at[row[x]]]).astype("<u4")
+        shown = pa.compress(data[first].tobytes(), "zstd", asbytes=True)
+        yield int(s), ids[of], text[of], None, head, shown, tail.tobytes()
+
+
+def _numbers(left: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.stack([left, size, counts]).astype("<u4")
+
+
+def _class_hash(anchor: np.ndarray, left: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """One number for an anchor and the bytes around it."""
+    whole = anchor + left.astype(np.uint64)
+    for k in range(0, CONTEXT, 8):
+        whole = tk.mix(whole + np.ascontiguousarray(data[:, k : k + 8]).view(np.uint64).ravel())
+    return whole
 
 
 def _judge(table: pa.Table, block_bytes: int) -> pa.Table:
     """Spans (start, end, ...) of documents whose strings a smaller document holds."""
     ids, text = (table[c].combine_chunks().flatten().to_numpy() for c in ("ids", "texts"))
-    heads = [np.frombuffer(x.as_py(), np.uint64).reshape(5, -1) for x in table["a"]]
-    data = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(-1, CONTEXT) for x in table["b"]])
-    tails = [np.frombuffer(x.as_py(), "<i8").reshape(2, -1) for x in table["c"]]
+    anchors, numbers, contexts = [], [], []
+    for a, b in zip(table["a"], table["b"]):
+        n = len(a.as_buffer()) // 20
+        anchors.append(np.frombuffer(a.as_buffer(), np.uint64, n))
+        numbers.append(np.frombuffer(a.as_buffer(), "<u4", 3 * n, 8 * n).reshape(3, n))
+        contexts.append(np.frombuffer(pa.decompress(b.as_buffer(), n * CONTEXT, "zstd"), np.uint8).reshape(n, CONTEXT))
+    anchor, data = np.concatenate(anchors), np.concatenate(contexts)
+    left, size, counts = np.concatenate(numbers, axis=1).astype(np.int64)
+    whole = _class_hash(anchor, left, data)
+    tails = [np.frombuffer(x.as_buffer(), "<u4").reshape(2, -1).astype(np.int64) for x in table["c"]]
     shift = np.cumsum([0, *(len(x.as_py()) for x in table["ids"])])
     doc = np.concatenate([t[0] + k for t, k in zip(tails, shift)])
     start = np.concatenate([t[1] for t in tails])
-    anchor, whole, left, size, counts = np.concatenate(heads, axis=1)
-    size, context = size.astype(np.int64), np.repeat(np.arange(len(size)), counts.astype(np.int64))
+    context = np.repeat(np.arange(len(size)), counts)
     # Equal contexts of all senders become one class with its least document.
     order = np.lexsort((whole, anchor))
     new = np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (whole[order][1:] != whole[order][:-1])]
