@@ -25,7 +25,7 @@ SIDE = LENGTH - ANCHOR
 CONTEXT = LENGTH + SIDE
 # Bytes of text whose anchors meet in one shard, about, and bytes of contexts in one index.
 SHARD_BYTES = 24 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 # Bytes of text whose anchors a worker sends at once.
 SEND_BYTES = 8 << 20
 _SEPARATOR = 0xFF  # no byte of UTF-8
