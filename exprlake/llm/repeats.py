@@ -343,7 +343,7 @@ def _context_rows(raw, at, hashes, place, row, ids, text, shards) -> Iterator[tu
     size = np.minimum(place + LENGTH, at[row + 1]) - start
     left = place - start
     padded = np.r_[raw, np.zeros(CONTEXT, np.uint8)]
-    data = padded[start[:, None] + np.arange(CONTEXT)]
+    data = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[start]
     data[np.arange(CONTEXT)[None, :] >= size[:, None]] = 0
     whole = _class_hash(hashes, left, data)
     shard = _shard(hashes, shards)
