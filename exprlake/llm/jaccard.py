@@ -12,8 +12,10 @@ reach.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,10 @@ from .common import components
 WORDS = 3
 PERCENT = 90
 # Shingles of the classes in one block, and classes; more are cut into chunks that meet pairwise.
-BLOCK_SHINGLES = 2_000_000
-BLOCK_CLASSES = 2_000
+BLOCK_SHINGLES = 4_000_000
+BLOCK_CLASSES = 8_000
 # Set sizes are cut into bands that grow by this factor.
-BAND = 1.4
+BAND = 1.15
 
 _SETS = "doc_id long, text_hash long, n_shingles long, class long, keys array<long>"
 
@@ -81,23 +83,37 @@ def _class_and_keys(sets: np.ndarray, of: np.ndarray, rows: int, share: Fraction
             for band in (own, own + 1):
                 # A smaller set meets the next band only if a set of that band may be near enough.
                 if band == own or size[i] >= share * edges[band]:
-                    found.append(_range_keys(x, band, edges[band + 1] - 1, share))
+                    found.append(_range_keys(x, band, edges[band], edges[band + 1] - 1, share))
         keys.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
     return digest, keys
 
 
-def _range_keys(x: np.ndarray, band: int, largest: int, share: Fraction) -> np.ndarray:
+@lru_cache(maxsize=None)
+def _ranges(smallest: int, largest: int, share: Fraction) -> tuple[int, int]:
+    """Into how many ranges sets of a band are cut, and how many of them may be empty.
+
+    Near sets differ in some ranges at most and agree in the others, which are one more than may be empty.
+    """
     # |a| + |b| - 2 |a and b| <= (|a| + |b|) (1 - s) / (1 + s) for similarity s.
     differ = int(2 * largest * (1 - share) / (1 + share))
-    if not differ:
+    empty = 1
+    for _ in range(20):
+        ranges = differ + 1 + empty
+        expected = ranges * math.exp(-float(smallest * share) / ranges)
+        empty = math.ceil(1 + expected + 3 * math.sqrt(expected))
+    return (differ + 1 + empty if differ else 0), empty
+
+
+def _range_keys(x: np.ndarray, band: int, smallest: int, largest: int, share: Fraction) -> np.ndarray:
+    ranges, may_be_empty = _ranges(smallest, largest, share)
+    if not ranges:
         return np.zeros(0, np.uint64)  # only equal sets are near
-    ranges = differ + 2
     part = ((x >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
     new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     sums = np.add.reduceat(tk.mix(x), new)
     part = part[new]
-    if ranges - len(part) > 1:
-        # One empty range is made up for by the spare range.  Sets with more of them may agree in those alone.
+    if ranges - len(part) > may_be_empty:
+        # Sets with more empty ranges may agree in those alone, so these count like any other.
         empty = np.setdiff1d(np.arange(ranges), part)
         part, sums = np.r_[part, empty], np.r_[sums, np.zeros(len(empty), np.uint64)]
     return tk.mix(sums + tk.mix(part.astype(np.uint64) + (np.uint64(band) << np.uint64(32))))
