@@ -177,7 +177,8 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
         return 0.5, 0.75, 0.9  # too little text for the estimate
     y = n1 / (n1 + 2 * n2)
     found = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
-    return tuple(min(max(d, 0.0), k) for d, k in zip(found, (1.0, 2.0, 3.0)))
+    # Something always has to be left for what was not seen.
+    return tuple(min(max(d, 0.1), k) for d, k in zip(found, (1.0, 2.0, 3.0)))
 
 
 def _of_counts(count: np.ndarray) -> list[int]:
