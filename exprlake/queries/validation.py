@@ -27,10 +27,17 @@ def validate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vd.validate_counts(*_a(spark, sf_dir))
 
 
+def _partly_renamed(metadata: DataFrame) -> DataFrame:
+    """Metadata in which samples with few reads go by another id than in the matrix; every row takes part."""
+    own = F.col("sequenced_id")
+    few = F.when(F.col("total_sequenced_reads") >= QC_READS, own).otherwise(F.concat(F.lit("S"), own))
+    return metadata.withColumn("sequenced_id", few)
+
+
 def only_in_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples that a QC cut took out of the metadata but not out of the matrix."""
+    """Samples that the metadata has under another id than the matrix."""
     sequencing, metadata = _a(spark, sf_dir)
-    return vd.only_in_matrix(sequencing, metadata.filter(F.col("total_sequenced_reads") >= QC_READS))
+    return vd.only_in_matrix(sequencing, _partly_renamed(metadata))
 
 
 def only_in_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +56,7 @@ def duplicate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issue_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequencing, metadata = _a(spark, sf_dir)
-    return vd.issue_previews(vd.reconcile(sequencing, metadata.filter(F.col("total_sequenced_reads") >= QC_READS)))
+    return vd.issue_previews(vd.reconcile(sequencing, _partly_renamed(metadata)))
 
 
 def _report_columns(reports: DataFrame) -> DataFrame:
@@ -68,7 +75,7 @@ def _report_columns(reports: DataFrame) -> DataFrame:
 
 def release_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full reports of releases with duplicate cells and samples missing on both sides."""
-    metadata = fx.metadata_a(spark, sf_dir).filter(F.col("total_sequenced_reads") >= QC_READS)
+    metadata = _partly_renamed(fx.metadata_a(spark, sf_dir))
     return _report_columns(
         vd.release_report(fx.catalog_a(spark, sf_dir), fx.sequencing_raw_a(spark, sf_dir), metadata)
     )
@@ -216,7 +223,10 @@ def _report(catalog: str, matrix: str, metadata: str) -> str:
             FROM facts)"""
 
 
-_QC = f"qc AS (SELECT * FROM metadata_a WHERE total_sequenced_reads >= {QC_READS})"
+_QC = (
+    f"qc AS (SELECT * REPLACE (CASE WHEN total_sequenced_reads >= {QC_READS} THEN sequenced_id "
+    "ELSE 'S' || sequenced_id END AS sequenced_id) FROM metadata_a)"
+)
 
 _MIXED = f""",
     per_nation AS (SELECT 'nation-' || m.compound AS job_id, gene_id, o.sequenced_id, value

@@ -11,9 +11,6 @@ from ..functions.facts import one_row_per_release
 from ..schemas import CATALOG
 from ..session import small_frame
 
-# Ids quoted in the message for an ambiguous name.
-MESSAGE_IDS = 20
-
 # Sample columns that the catalog sums up; a release may lack them.
 _USED = T.StructType([T.StructField(c, T.StringType()) for c in ("job_id", "cell_line", "timepoint")])
 
@@ -41,7 +38,7 @@ def resolve_job(catalog: DataFrame, job: str) -> str:
     """The id of a release given its id or its name; an id match wins."""
     if catalog.filter(F.col("job_id") == job).take(1):
         return job
-    named = catalog.filter(F.col("job_name") == job).select("job_id").take(MESSAGE_IDS)
+    named = catalog.filter(F.col("job_name") == job).select("job_id").collect()
     if len(named) == 1:
         return named[0]["job_id"]
     if named:
