@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from exprlake.queries import all_oracles as oracle_sql
+from exprlake.queries import all_queries as queries
 
 from .compare import TESTDATA, duck, mismatch
 
