@@ -16,6 +16,7 @@ from .operators.matrix import (
     keep_samples,
     shared_gene_column,
     to_long,
+    to_blocks,
     to_wide,
 )
 from .operators.validate import release_report, summarize
@@ -74,6 +75,7 @@ __all__ = [
     "shared_gene_column",
     "summarize",
     "to_long",
+    "to_blocks",
     "to_wide",
     "validate_releases",
     "var_table",

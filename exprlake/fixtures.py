@@ -22,6 +22,9 @@ ZERO_UP_TO = 45
 
 _SCHEMAS: dict[str, T.StructType] = {}
 
+# Fixed value: releases of mapping B, named 0 to 4 after the regions.
+RELEASES_B = 5
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables.  Its footer is looked at once; later reads declare the schema."""

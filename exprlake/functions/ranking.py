@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-# Up to this many rows in all, one window task per group is small by proof.
-SINGLE_WINDOW_ROWS = 1_000_000
+# Rows of a key range: what one window task sorts.
+RANGE_ROWS = 1_000_000
 
 
 def first_rows(df: DataFrame, group: list[str], order: list[str | Column], k: int = 1) -> DataFrame:
@@ -21,24 +21,17 @@ def first_rows(df: DataFrame, group: list[str], order: list[str | Column], k: in
     return df.withColumn("__place", place).filter(F.col("__place") <= k).drop("__place")
 
 
-def index_within(
-    df: DataFrame, group: str, key: str, name: str, single_window_rows: int = SINGLE_WINDOW_ROWS
-) -> DataFrame:
+def index_within(df: DataFrame, group: str, key: str, name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add the 0-based position of each row by ``key`` inside its ``group``.
 
-    (group, key) has to be unique.  Large inputs are cut into key ranges of even size:
+    (group, key) has to be unique.  The input is cut into key ranges of even size:
     a group of any size spans many ranges, and a row's position is its place in the range
     plus the number of the group's rows in earlier ranges.  The ranges are written out
     first, because sampled bounds may differ between two runs of the same plan.
     """
     spark = df.sparkSession
     kept = materialize(df, "index")
-    total = kept.count()
-    if total <= single_window_rows:
-        in_group = Window.partitionBy(group).orderBy(key)
-        return kept.withColumn(name, (F.row_number().over(in_group) - 1).cast("bigint"))
-
-    ranges = max(total // single_window_rows + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(kept.count() // range_rows + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = materialize(
         kept.repartitionByRange(ranges, group, key).withColumn("__range", F.spark_partition_id()),
         "index-ranges",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sample_id
-from ..functions.ranking import SINGLE_WINDOW_ROWS, first_rows, index_within
+from ..functions.ranking import RANGE_ROWS, first_rows, index_within
 from ..session import measured_side
 from .validate import matrix_samples, metadata_samples
 
@@ -25,10 +25,10 @@ class AnnotatedMatrix:
     var: DataFrame
 
 
-def var_table(sequencing: DataFrame, single_window_rows: int = SINGLE_WINDOW_ROWS) -> DataFrame:
+def var_table(sequencing: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Genes of each release with their 0-based position in text order."""
     genes = sequencing.select("job_id", F.col("gene_id").cast("string").alias("gene_id")).distinct()
-    return index_within(genes, "job_id", "gene_id", "gene_idx", single_window_rows)
+    return index_within(genes, "job_id", "gene_id", "gene_idx", range_rows)
 
 
 def obs_table(sequencing: DataFrame, metadata: DataFrame, order: list[str | Column]) -> DataFrame:

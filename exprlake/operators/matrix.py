@@ -1,31 +1,33 @@
 """Expression-matrix operators.
 
 All work on the long matrix (`job_id`, `gene_id`, `sequenced_id`, `value`), so releases
-are combined by a union and any number of them is handled by one job.  `to_long` and
-`to_wide` convert at the edges.  In the long matrix an unknown gene id is the empty text,
+are combined by a union and any number of them is handled by one job.  `to_long`, `to_wide`
+and `to_blocks` convert at the edges.  In the long matrix an unknown gene id is the empty text,
 never NULL, so plain equality on the keys is right and keeps bucketed tables aligned.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections import Counter
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import conform_to, is_numeric, quoted, sample_id
+from ..functions.ranking import index_within
 from ..schemas import SEQUENCING
+from ..session import measured_side
 
-# Sizes at which a combined wide matrix warns, and is refused.
+# Sizes at which the report on a combined wide matrix says "warn" and "fallback".
 WARN_BYTES = 2 * 1024**3
 LIMIT_BYTES = 8 * 1024**3
 BYTES_PER_CELL = 8
 
-# Columns a wide frame may have; Spark's own ceiling for pivot values is the same.
-MAX_WIDE_SAMPLES = 10_000
+# Samples side by side in a block of the wide matrix.
+BLOCK_SAMPLES = 64
 
 NO_GENE_ID = ""
 
@@ -104,77 +106,133 @@ def _values(wide: DataFrame, samples: list[str]) -> str:
     return "array(" + ", ".join(values) + ")"
 
 
-def to_wide(
+@dataclass(frozen=True)
+class WideBlocks:
+    """Genes x samples, cut into blocks of a fixed number of samples.
+
+    ``cells`` has a row (`gene_id`, `block`, `c0`, `c1`, ...) where a gene has a cell in a block;
+    ``samples`` says which sample (`job_id`, `sequenced_id`) a `block` holds at which `position`.
+    """
+
+    cells: DataFrame
+    samples: DataFrame
+
+
+def to_blocks(
     long: DataFrame,
-    samples: list[str] | None = None,
-    limit_bytes: int = LIMIT_BYTES,
+    width: int = BLOCK_SAMPLES,
     fill_value: float | None = None,
     extra_genes: DataFrame | None = None,
-    max_samples: int = MAX_WIDE_SAMPLES,
-) -> tuple[DataFrame, bool]:
-    """Genes x samples, or ``(long, True)`` if that would be too large.
-
-    The size is worked out before anything is pivoted.  Cells a release does not have are
-    NULL unless ``fill_value`` is given.  ``extra_genes`` adds genes without any cell.
-    Raises if one sample id occurs in two releases; a duplicate (gene, sample) cell raises
-    when the frame is computed.
+) -> WideBlocks:
+    """All samples of any number of releases side by side, in one shape whatever their number.
+
+    Samples are numbered by (release, id) on the executors, now; the cells move in one shuffle,
+    by gene and block.  Cells a release does not have are NULL unless ``fill_value`` is given.
+    A gene that is repeated in a release has a row for each repetition, least values first;
+    unknown genes of two releases are not the same gene.  ``extra_genes`` adds genes without any
+    cell, with a NULL block.
     """
     owners = long.select("job_id", "sequenced_id").distinct()
-    if samples is not None:
-        owners = owners.filter(F.col("sequenced_id").isin(list(samples)))
-    # Bounded fetch: names become columns, so they have to be known here.
-    names = owners.take(max_samples + 1)
-    if len(names) > max_samples:
-        _warn(f"more than {max_samples} samples; returning the long frame")
-        return long, True
-    size = _wide_bytes(long, names)
-    if size > limit_bytes:
-        _warn(
-            f"combined matrix estimated at {size / 1024**3:.1f} GB, above the limit of "
-            f"{limit_bytes / 1024**3:.1f} GB; returning the long frame"
-        )
-        return long, True
-    if size > WARN_BYTES:
-        _warn(f"combined matrix estimated at {size / 1024**3:.1f} GB; the wide frame may be slow")
-
-    found = sorted((r["job_id"] or "", r["sequenced_id"]) for r in names)
-    columns = [s for _, s in found]
-    if len(set(columns)) != len(columns):
-        twice = sorted({c for c in columns if columns.count(c) > 1})
-        raise ValueError(f"sample ids occur in more than one release: {twice[:5]}")
-    if samples is not None:
-        columns = list(samples)
-    if not columns:
-        return long.select(F.nullif("gene_id", F.lit(NO_GENE_ID)).alias("gene_id")).distinct(), False
-
-    # Unknown genes of two releases are not the same gene.
-    unnamed_in = F.when(F.col("gene_id") == NO_GENE_ID, F.col("job_id")).alias("__unnamed_in")
-    cells = (
-        long.filter(F.col("sequenced_id").isin(columns) if samples is not None else F.lit(True))
-        .groupBy("gene_id", unnamed_in, "sequenced_id")
-        .agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("__n"))
-        .withColumn(
-            "value",
-            F.when(
-                F.col("__n") > 1,
-                F.raise_error(
-                    F.concat_ws(" ", F.lit("duplicate cell for gene"), "gene_id", F.lit("sample"), "sequenced_id")
-                ).cast("double"),
-            ).otherwise(F.col("value")),
-        )
+    numbered = index_within(
+        owners.select(F.lit(0).alias("__all"), F.struct("job_id", "sequenced_id").alias("__sample")),
+        "__all",
+        "__sample",
+        "__at",
+    )
+    samples = measured_side(
+        numbered.select(
+            F.expr(f"__at div {width}").alias("block"),
+            (F.col("__at") % width).cast("int").alias("position"),
+            "__sample.job_id",
+            "__sample.sequenced_id",
+        ),
+        "sample-blocks",
+    )
+    here = samples.select("block", "position", F.col("job_id").alias("__job"), F.col("sequenced_id").alias("__id"))
+    # A release without an id and a sample without one are places of their own.
+    same = F.col("job_id").eqNullSafe(F.col("__job")) & F.col("sequenced_id").eqNullSafe(F.col("__id"))
+    placed = long.join(here, same).select("gene_id", _unnamed_in(), "block", "position", "value")
+    cells = _side_by_side(
+        placed, ["gene_id", "__unnamed_in", "block"], "position", {f"c{i}": F.lit(i) for i in range(width)}
+    )
+    return WideBlocks(_finished(cells, long, extra_genes, fill_value), samples)
+
+
+def from_blocks(blocks: WideBlocks) -> DataFrame:
+    """The long matrix of the cells that are not NULL."""
+    slots = [c for c in blocks.cells.columns if c not in ("gene_id", "block")]
+    values = F.posexplode(F.array(*slots)).alias("position", "value")
+    cells = blocks.cells.select(known_gene(F.col("gene_id")).alias("gene_id"), "block", values)
+    cells = cells.filter(F.col("value").isNotNull())
+    return conform_to(cells.join(blocks.samples, ["block", "position"]), SEQUENCING)
+
+
+def to_wide(
+    long: DataFrame,
+    samples: list[str],
+    fill_value: float | None = None,
+    extra_genes: DataFrame | None = None,
+) -> DataFrame:
+    """Genes x the given samples, one named column each.  `to_blocks` needs no names.
+
+    The rules on absent cells, repeated and unknown genes are those of `to_blocks`.  Raises if
+    one of the samples occurs in two releases, which takes a look at the ids of the cells.
+    """
+    twice = [c for c, n in Counter(samples).items() if n > 1]
+    if twice:
+        raise ValueError(f"samples are given more than once: {sorted(twice)[:5]}")
+    chosen = long.filter(F.col("sequenced_id").isin(list(samples)))
+    owners = chosen.select("job_id", "sequenced_id").distinct().groupBy("sequenced_id").agg(F.count(F.lit(1)).alias("n"))
+    shared = [r["sequenced_id"] for r in owners.filter("n > 1").orderBy("sequenced_id").take(5)] if samples else []
+    if shared:
+        raise ValueError(f"sample ids occur in more than one release: {shared}")
+    cells = _side_by_side(
+        chosen.select("gene_id", _unnamed_in(), "sequenced_id", "value"),
+        ["gene_id", "__unnamed_in"],
+        "sequenced_id",
+        {s: F.lit(s) for s in samples},
     )
-    # Bring a gene's cells together while they are long.  Pivoting in the map tasks first would
-    # send a full-width row per gene and task through the shuffle.
-    by_gene = cells.repartition("gene_id", "__unnamed_in")
-    wide = by_gene.groupBy("gene_id", "__unnamed_in").pivot("sequenced_id", columns).agg(F.first("value"))
-    wide = wide.drop("__unnamed_in")
+    return _finished(cells, long, extra_genes, fill_value)
+
+
+def sample_names(long: DataFrame) -> list[str]:
+    """The samples of a release in order, for a frame or file that has to name them as its columns."""
+    return [r[0] for r in long.select("sequenced_id").distinct().orderBy("sequenced_id").collect()]
+
+
+def _unnamed_in() -> Column:
+    """The release of an unknown gene: unknown genes of two releases are not the same gene."""
+    return F.when(F.col("gene_id") == NO_GENE_ID, F.col("job_id")).alias("__unnamed_in")
+
+
+def _side_by_side(cells: DataFrame, row: list[str], slot: str, columns: dict[str, Column]) -> DataFrame:
+    """One row for each ``row`` key (and repetition), one column per slot; one shuffle.
+
+    Cells move while they are long: pivoting in the map tasks first would send a full-width row
+    per gene and task.  The window and the groups need no shuffle of their own, as they are finer
+    than the keys the cells were dealt by.
+    """
+    repeated = Window.partitionBy(*row, slot).orderBy("value")
+    cells = cells.repartition(*row).withColumn("__repeat", F.row_number().over(repeated))
+    # Columns get plain names first, so that no sample can clash with a key.
+    aggregates = [
+        F.max(F.when(F.col(slot) == where, F.col("value"))).alias(f"__v{i}") for i, where in enumerate(columns.values())
+    ]
+    grouped = cells.groupBy(*row, "__repeat")
+    wide = grouped.agg(*aggregates) if aggregates else grouped.agg(F.count(F.lit(1)))
+    named = [F.col(f"__v{i}").alias(name) for i, name in enumerate(columns)]
+    return wide.select(*[c for c in row if c != "__unnamed_in"], *named)
+
+
+def _finished(
+    wide: DataFrame, long: DataFrame, extra_genes: DataFrame | None, fill_value: float | None
+) -> DataFrame:
+    values = [c for c in wide.columns if c not in ("gene_id", "block")]
     if extra_genes is not None:
         missing = extra_genes.select("gene_id").distinct().join(long.select("gene_id"), "gene_id", "left_anti")
         wide = wide.unionByName(missing, allowMissingColumns=True)
     wide = wide.withColumn("gene_id", F.nullif("gene_id", F.lit(NO_GENE_ID)))
-    if fill_value is not None:
-        wide = wide.fillna(fill_value, subset=columns)
-    return wide, False
+    return wide if fill_value is None or not values else wide.fillna(fill_value, subset=[quoted(c) for c in values])
 
 
 def join_releases(frames: list[DataFrame], gene_col: str = "gene_id") -> DataFrame:
@@ -260,7 +318,7 @@ def estimate_size(long: DataFrame) -> DataFrame:
 
 
 def size_guard(sizes: DataFrame, warn_bytes: int = WARN_BYTES, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
-    """One row: the size of all releases together and what a wide export would do."""
+    """One row: the size of all releases together and how it ranks; nothing depends on it."""
     total = sizes.agg(
         F.count(F.lit(1)).alias("n_releases"),
         F.coalesce(F.sum("estimated_bytes"), F.lit(0)).cast("bigint").alias("estimated_bytes"),
@@ -271,15 +329,3 @@ def size_guard(sizes: DataFrame, warn_bytes: int = WARN_BYTES, limit_bytes: int
         .when(F.col("estimated_bytes") > warn_bytes, "warn")
         .otherwise("ok"),
     )
-
-
-def _wide_bytes(long: DataFrame, names: list[Row]) -> int:
-    """The size `estimate_size` gives, with the samples already known."""
-    samples = Counter(r["job_id"] for r in names)
-    # No more rows than releases, which `names` bounds.
-    genes = gene_counts(long).filter(F.col("job_id").isin(list(samples))).collect()
-    return sum(r["n_genes"] * samples[r["job_id"]] * BYTES_PER_CELL for r in genes)
-
-
-def _warn(message: str) -> None:
-    warnings.warn(message, ResourceWarning, stacklevel=3)

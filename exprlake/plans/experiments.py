@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import conform_to
 from ..operators.matrix import (
-    LIMIT_BYTES,
+    WideBlocks,
     distinct_sample_ids,
     drop_unexpressed,
     expressed_genes,
     keep_samples,
+    to_blocks,
     to_wide,
 )
 from ..schemas import CHEMISTRY
@@ -30,8 +31,13 @@ class Experiment:
     chemistry: DataFrame
     job_id: str
 
-    def to_wide(self, limit_bytes: int = LIMIT_BYTES) -> tuple[DataFrame, bool]:
-        return to_wide(self.data, limit_bytes=limit_bytes)
+    def to_blocks(self) -> WideBlocks:
+        """Genes x samples, in blocks of a fixed number of samples."""
+        return to_blocks(self.data)
+
+    def to_wide(self, samples: list[str]) -> DataFrame:
+        """Genes x the given samples, one named column each."""
+        return to_wide(self.data, samples)
 
 
 @dataclass(frozen=True)
@@ -48,22 +54,27 @@ class Combined:
         """The cells of one of the releases."""
         return self.data.filter(F.col("job_id") == job_id)
 
-    def to_wide(
-        self,
-        limit_bytes: int = LIMIT_BYTES,
-        fill_value: float | None = None,
-        include_empty_release_genes: bool = False,
-    ) -> tuple[DataFrame, bool]:
-        """Genes x samples of all releases and whether the size guard kept it long.
+    def to_blocks(
+        self, fill_value: float | None = None, include_empty_release_genes: bool = False
+    ) -> WideBlocks:
+        """Genes x samples of all releases, in blocks of a fixed number of samples.
 
         A release whose samples were all filtered out has no cells here.  To list its genes
         anyway (all NULL), set ``include_empty_release_genes``.
         """
-        extra = None
-        if include_empty_release_genes:
-            used = keep_samples(self.unfiltered, self.metadata).select("job_id").distinct()
-            extra = self.unfiltered.join(used, "job_id", "left_anti").select("gene_id")
-        return to_wide(self.data, limit_bytes=limit_bytes, fill_value=fill_value, extra_genes=extra)
+        extra = self._empty_release_genes() if include_empty_release_genes else None
+        return to_blocks(self.data, fill_value=fill_value, extra_genes=extra)
+
+    def to_wide(
+        self, samples: list[str], fill_value: float | None = None, include_empty_release_genes: bool = False
+    ) -> DataFrame:
+        """The same with a named column for each of the given samples."""
+        extra = self._empty_release_genes() if include_empty_release_genes else None
+        return to_wide(self.data, samples, fill_value=fill_value, extra_genes=extra)
+
+    def _empty_release_genes(self) -> DataFrame:
+        used = keep_samples(self.unfiltered, self.metadata).select("job_id").distinct()
+        return self.unfiltered.join(used, "job_id", "left_anti").select("gene_id")
 
 
 def load_dataset(spark: SparkSession, source, job: str) -> DataFrame:

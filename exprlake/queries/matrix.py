@@ -47,27 +47,26 @@ def combine_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combine_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All releases, all samples, one column each; long above the size limit."""
-    frame, _ = mx.to_wide(mx.drop_unexpressed(fx.observed_b(spark, sf_dir)))
-    return frame
+    """All releases, all samples side by side, in blocks of samples."""
+    return mx.to_blocks(mx.drop_unexpressed(fx.observed_b(spark, sf_dir))).cells
+
+
+def sample_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sample has which place in the blocks of ``combine_wide``."""
+    return mx.to_blocks(mx.drop_unexpressed(fx.observed_b(spark, sf_dir))).samples
 
 
 def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """There and back: the cells of the wide frame are the cells it was made from."""
-    frame, too_large = mx.to_wide(fx.observed_b(spark, sf_dir))
-    long = frame if too_large else mx.to_long(frame, "gene_id", keep_nulls=False)
-    return long.select("gene_id", "sequenced_id", "value")
+    """There and back: the cells of the wide blocks are the cells they were made from."""
+    return mx.from_blocks(mx.to_blocks(fx.observed_b(spark, sf_dir)))
 
 
 def full_join_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-gene totals of every release side by side."""
-    cells = fx.observed_b(spark, sf_dir)
-    releases = sorted(r["job_id"] for r in fx.catalog_b(spark, sf_dir).select("job_id").collect())
+    """Per-gene totals of the five releases side by side, in one aggregation."""
     totals = [
-        cells.filter(F.col("job_id") == job).groupBy("gene_id").agg(F.sum("value").alias(f"total_{job}"))
-        for job in releases
+        F.sum(F.when(F.col("job_id") == str(job), F.col("value"))).alias(f"total_{job}") for job in range(fx.RELEASES_B)
     ]
-    return mx.join_releases(totals)
+    return fx.observed_b(spark, sf_dir).groupBy("gene_id").agg(*totals)
 
 
 def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +92,7 @@ QUERIES = {
     "expressed_genes": expressed_genes,
     "combine_long": combine_long,
     "combine_wide": combine_wide,
+    "sample_blocks": sample_blocks,
     "wide_to_long": wide_to_long,
     "full_join_gene": full_join_gene,
     "size_estimate": size_estimate,
@@ -111,6 +111,14 @@ def _expressed(cells: str) -> str:
                              WHERE e.job_id = c.job_id AND e.gene_id = c.gene_id AND e.value <> 0)"""
 
 
+# Place of each sample in the blocks, and a column for each slot of a block.
+_PLACES = f"""places AS (
+    SELECT job_id, sequenced_id, (n - 1) // {mx.BLOCK_SAMPLES} AS block,
+           CAST((n - 1) % {mx.BLOCK_SAMPLES} AS INTEGER) AS position
+    FROM (SELECT job_id, sequenced_id, row_number() OVER (ORDER BY job_id, sequenced_id) AS n
+          FROM (SELECT DISTINCT job_id, sequenced_id FROM kept)))"""
+_SLOTS = ", ".join(f"max(CASE WHEN position = {i} THEN value END) AS c{i}" for i in range(mx.BLOCK_SAMPLES))
+
 ORACLE = {
     "filter_metadata_by_sql": fx.with_views(
         "metadata_a",
@@ -137,17 +145,24 @@ ORACLE = {
     ),
     "combine_wide": fx.with_views(
         "metadata_b observed_b",
-        f""", kept AS ({_expressed("observed_b")}),
-             cells AS (SELECT gene_id, sequenced_id, value FROM kept)
-           SELECT * FROM (PIVOT cells ON sequenced_id USING max(value) GROUP BY gene_id)""",
+        f""", kept AS ({_expressed("observed_b")}), {_PLACES}
+           SELECT gene_id, block, {_SLOTS}
+           FROM kept JOIN places USING (job_id, sequenced_id) GROUP BY gene_id, block""",
+    ),
+    "sample_blocks": fx.with_views(
+        "metadata_b observed_b",
+        f""", kept AS ({_expressed("observed_b")}), {_PLACES}
+           SELECT block, position, job_id, sequenced_id FROM places""",
+    ),
+    "wide_to_long": fx.with_views(
+        "metadata_b observed_b", "SELECT job_id, gene_id, sequenced_id, value FROM observed_b"
     ),
-    "wide_to_long": fx.with_views("metadata_b observed_b", "SELECT gene_id, sequenced_id, value FROM observed_b"),
     "full_join_gene": fx.with_views(
         "metadata_b observed_b",
         ", "
         + ", ".join(
             f"t{j} AS (SELECT gene_id, sum(value) AS total_{j} FROM observed_b WHERE job_id = '{j}' GROUP BY 1)"
-            for j in range(5)
+            for j in range(fx.RELEASES_B)
         )
         + """ SELECT gene_id, total_0, total_1, total_2, total_3, total_4
               FROM t0 FULL JOIN t1 USING (gene_id) FULL JOIN t2 USING (gene_id) FULL JOIN t3 USING (gene_id)

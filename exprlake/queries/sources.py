@@ -102,23 +102,16 @@ def load_chem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_experiment_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each release loaded by name; cells joined to their sample and its compound."""
+    """The parts of every release in one scan each; cells joined to their sample and its compound."""
     files = _store(spark, sf_dir, "b").files
-    names = [r["job_name"] for r in files.catalog(spark).select("job_name").collect()]
-    parts = []
-    for name in names:
-        exp = load_experiment(spark, files, name)
-        samples = exp.metadata.select("sequenced_id", "compound")
-        compounds = exp.chemistry.select("compound", "user_compound_id")
-        cells = exp.data.filter(F.col("value").isNotNull())
-        parts.append(
-            cells.groupBy("job_id", "sequenced_id")
-            .agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))
-            .join(samples, "sequenced_id")
-            .join(compounds, "compound")
-        )
+    cells = files.sequencing(spark, keep_nulls=False)
+    samples = files.metadata(spark).select("job_id", "sequenced_id", "compound")
+    compounds = files.chemistry(spark).select("job_id", "compound", "user_compound_id")
     return (
-        reduce(DataFrame.unionByName, parts)
+        cells.groupBy("job_id", "sequenced_id")
+        .agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))
+        .join(samples, ["job_id", "sequenced_id"])
+        .join(compounds, ["job_id", "compound"])
         .groupBy("job_id", "user_compound_id")
         .agg(
             F.count(F.lit(1)).alias("n_samples"),

@@ -64,6 +64,17 @@ SHARED = {
         FROM (SELECT compound, COUNT(*) AS n FROM metadata WHERE is_control GROUP BY compound) a
         FULL JOIN (SELECT compound, COUNT(*) AS n FROM metadata WHERE NOT is_control GROUP BY compound) b
           ON a.compound = b.compound""",
+    "sql_right_join": """
+        SELECT c.compound, c.n_releases, m.n AS n_control
+        FROM (SELECT compound, COUNT(*) AS n FROM metadata WHERE is_control GROUP BY compound) m
+        RIGHT JOIN (SELECT compound, COUNT(*) AS n_releases FROM chemistry GROUP BY compound) c
+          ON c.compound = m.compound""",
+    "sql_unpivot": """
+        SELECT job_id, sequenced_id, measure, amount
+        FROM (SELECT job_id, sequenced_id, CAST(total_sequenced_reads AS DOUBLE) AS reads,
+                     percent_mitochondrial AS mitochondrial
+              FROM metadata) m
+        UNPIVOT (amount FOR measure IN (reads, mitochondrial))""",
     "sql_agg_basic": """
         SELECT cell_line, COUNT(*) AS n, CAST(SUM(total_sequenced_reads) AS BIGINT) AS reads,
                MIN(percent_mitochondrial) AS lo, MAX(percent_mitochondrial) AS hi,
@@ -176,6 +187,34 @@ BY_DIALECT = {
           ON m.percent_mitochondrial >= b.lo AND m.percent_mitochondrial < b.lo + 5
         GROUP BY b.lo""",
     ),
+    # As-of match of two tables whose keys do not meet: for each sample the largest log_p of its release
+    # at or below 200 times its percentage.  Both tables are put in one order; the window is cut into
+    # buckets of that order, and a bucket starts from the last value of the buckets before it.
+    "asof_join": (
+        """
+        WITH points AS (
+            SELECT job_id, CAST(FLOOR(log_p / 50) AS BIGINT) AS bucket, log_p AS at, log_p AS found,
+                   CAST(NULL AS STRING) AS sequenced_id, FALSE AS is_sample
+            FROM chemistry_by_job WHERE log_p IS NOT NULL
+            UNION ALL
+            SELECT job_id, CAST(FLOOR(percent_mitochondrial * 200 / 50) AS BIGINT), percent_mitochondrial * 200,
+                   CAST(NULL AS DOUBLE), sequenced_id, TRUE
+            FROM metadata),
+        inside AS (
+            SELECT *, MAX(found) OVER (PARTITION BY job_id, bucket ORDER BY at) AS here FROM points),
+        earlier AS (
+            SELECT job_id, bucket, MAX(top) OVER (
+                       PARTITION BY job_id ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+            FROM (SELECT job_id, bucket, MAX(found) AS top FROM points GROUP BY job_id, bucket) b)
+        SELECT i.job_id, i.sequenced_id, i.at, COALESCE(i.here, e.before) AS log_p
+        FROM inside i LEFT JOIN earlier e ON e.job_id = i.job_id AND e.bucket = i.bucket
+        WHERE i.is_sample""",
+        """
+        SELECT m.job_id, m.sequenced_id, m.at, c.log_p
+        FROM (SELECT *, percent_mitochondrial * 200 AS at FROM metadata) m
+        ASOF LEFT JOIN (SELECT DISTINCT job_id, log_p FROM chemistry_by_job WHERE log_p IS NOT NULL) c
+          ON c.job_id = m.job_id AND m.at >= c.log_p""",
+    ),
     "sql_agg_ext": (
         """
         SELECT cell_line, percentile_cont(0.25) WITHIN GROUP (ORDER BY band) AS q25, median(band) AS mid,

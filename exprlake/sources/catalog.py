@@ -27,11 +27,23 @@ def list_datasets(spark: SparkSession, path: str, multi_line: bool | None = None
 
 
 def read_documents(
-    spark: SparkSession, paths: str | list[str], array: str, row: T.StructType, multi_line: bool
+    spark: SparkSession,
+    paths: str | list[str],
+    array: str,
+    row: T.StructType,
+    multi_line: bool,
+    corrupt: str | None = None,
 ) -> DataFrame:
-    """JSON documents with one array field, read with a declared schema (nothing is inferred)."""
+    """JSON documents with one array field, read with a declared schema (nothing is inferred).
+
+    ``corrupt`` names a column for the text of documents that do not parse.
+    """
     schema = T.StructType([T.StructField(array, T.ArrayType(row))])
-    return spark.read.schema(schema).option("multiLine", multi_line).json(paths)
+    reader = spark.read.option("multiLine", multi_line)
+    if corrupt is not None:
+        schema = schema.add(corrupt, T.StringType())
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    return reader.schema(schema).json(paths)
 
 
 def resolve_job(catalog: DataFrame, job: str) -> str:

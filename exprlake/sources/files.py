@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,8 @@ LOOKUP_THREADS = 16
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
 # A file whose header is not the one its release was grouped by fails instead of being bound by position.
-CSV_READ_OPTIONS = {**CSV_OPTIONS, "enforceSchema": "false"}
+# A quoted value may hold line breaks, so a file is read by one task; large metadata is a folder of many files.
+CSV_READ_OPTIONS = {**CSV_OPTIONS, "enforceSchema": "false", "multiLine": "true"}
 PARTS = ("data_path", "metadata_path", "chemistry_path")
 LONG_COLUMNS = {"gene_id", "sequenced_id", "value"}
 
@@ -93,7 +95,7 @@ Header = tuple[str, ...]
 
 
 def csv_header(spark: SparkSession, entry: Entry) -> Header:
-    return tuple(spark.read.options(**CSV_OPTIONS).csv(entry.path).columns)
+    return tuple(spark.read.options(**CSV_OPTIONS, multiLine="true").csv(entry.path).columns)
 
 
 def read_metadata(
@@ -146,6 +148,23 @@ def read_chemistry(spark: SparkSession, entries: list[Entry]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def broken_chemistry(spark: SparkSession, entries: list[Entry]) -> DataFrame:
+    """(job_id, __file) of the documents that do not parse; they give no compounds."""
+    frames = []
+    for multi_line in (True, False):
+        group = [e for e in entries if (not e.is_folder and e.path.endswith(".json")) == multi_line]
+        if group:
+            paths = [e.path for e in group]
+            documents = read_documents(spark, paths, "compounds", CHEMISTRY, multi_line, corrupt="__broken")
+            # Spark wants a parsed column looked at beside the one for broken records.
+            broken = documents.filter(
+                F.col("__broken").isNotNull() & (F.col("compounds").isNull() | (F.size("compounds") >= 0))
+            )
+            rows = _release_of(broken.select(_file_path().alias("__file")), group)
+            frames.append(rows.select(F.col("__release").alias("job_id"), "__file"))
+    return reduce(DataFrame.unionByName, frames)
+
+
 # --- matrix --------------------------------------------------------------------------
 
 
@@ -239,8 +258,8 @@ class ReleaseFiles:
     def metadata(
         self, spark: SparkSession, job_ids: list[str] | None = None, with_ordinal: bool = False
     ) -> DataFrame:
-        present, _ = self._entries(spark, "metadata_path", job_ids)
-        return read_metadata(spark, present, self._headers(spark, present), with_ordinal)
+        present, headers, _ = self._headers(spark, job_ids)
+        return read_metadata(spark, present, headers, with_ordinal)
 
     def chemistry(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
         present, _ = self._entries(spark, "chemistry_path", job_ids)
@@ -249,31 +268,38 @@ class ReleaseFiles:
     def sequencing(
         self, spark: SparkSession, job_ids: list[str] | None = None, keep_nulls: bool = True
     ) -> DataFrame:
-        present, _ = self._entries(spark, "data_path", job_ids)
-        return read_sequencing(spark, present, self._schemas(spark, present), keep_nulls)
+        present, schemas, _ = self._schemas(spark, job_ids)
+        return read_sequencing(spark, present, schemas, keep_nulls)
 
     def problems(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
-        """What keeps a release from being checked: matrix missing, columns missing."""
-        matrices, missing = self._entries(spark, "data_path", job_ids)
-        samples, _ = self._entries(spark, "metadata_path", job_ids)
+        """What keeps a release from being checked: matrix missing or unreadable, columns missing."""
+        matrices, schemas, missing = self._schemas(spark, job_ids)
+        samples, headers, _ = self._headers(spark, job_ids)
         rows = [(job, LOAD_FAILED, message) for job, message in missing]
-        for job, message in gene_column_problems(matrices, self._schemas(spark, matrices)):
+        for job, message in gene_column_problems(matrices, schemas):
             rows.append((job, GENE_COLUMN_MISSING, message))
-        for entry, header in zip(samples, self._headers(spark, samples)):
+        for entry, header in zip(samples, headers):
             if header and "sequenced_id" not in header:
                 rows.append((entry.job_id, SAMPLE_COLUMN_MISSING, f"columns are {list(header)[:5]}"))
         return small_frame(spark, rows, PROBLEMS)
 
     def source_errors(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
-        """One row per part of a release that could not be found."""
-        rows = []
-        for part in PARTS:
-            rows += [(job, part, message) for job, message in self._entries(spark, part, job_ids)[1]]
-        return small_frame(spark, rows, PROBLEMS)
+        """One row per part of a release that could not be found or read."""
+        compounds, missing = self._entries(spark, "chemistry_path", job_ids)
+        rows = [(job, "chemistry_path", message) for job, message in missing]
+        rows += [(job, "data_path", message) for job, message in self._schemas(spark, job_ids)[2]]
+        rows += [(job, "metadata_path", message) for job, message in self._headers(spark, job_ids)[2]]
+        found = small_frame(spark, rows, PROBLEMS)
+        if not compounds:
+            return found
+        # Documents are looked at where they lie: a broken one is known only once it is parsed.
+        message = F.concat_ws(" ", F.col("__file"), F.lit("cannot be read: not the JSON it should be"))
+        broken = broken_chemistry(spark, compounds).select("job_id", F.lit("chemistry_path"), message).distinct()
+        return found.union(broken)
 
     def require(self, spark: SparkSession, job_ids: list[str]) -> None:
         """Raise unless every given release has its matrix."""
-        missing = self._entries(spark, "data_path", job_ids)[1]
+        missing = self._schemas(spark, job_ids)[2]
         if missing:
             raise ValueError(f"Dataset not found for job_id={missing[0][0]!r}: {missing[0][1]}")
 
@@ -295,18 +321,31 @@ class ReleaseFiles:
             self._manifest = listed.select("job_id", *PARTS).orderBy("job_id").collect()
         return self._manifest
 
-    def _headers(self, spark: SparkSession, entries: list[Entry]) -> list[Header]:
-        return self._look_up("header", entries, lambda e: csv_header(spark, e))
-
-    def _schemas(self, spark: SparkSession, entries: list[Entry]) -> list[T.StructType]:
-        return self._look_up("schema", entries, lambda e: spark.read.parquet(e.path).schema)
-
-    def _look_up(self, kind: str, entries: list[Entry], read) -> list:
-        """A header or footer is read once for each state of its file."""
-        new = [e for e in entries if (kind, e.path, e.changed_at) not in self._looked_up]
-        for entry, found in zip(new, _map(read, new)):
-            self._looked_up[kind, entry.path, entry.changed_at] = found
-        return [self._looked_up[kind, e.path, e.changed_at] for e in entries]
+    def _headers(self, spark: SparkSession, job_ids: list[str] | None):
+        return self._look_up(spark, "metadata_path", job_ids, lambda e: csv_header(spark, e))
+
+    def _schemas(self, spark: SparkSession, job_ids: list[str] | None):
+        return self._look_up(spark, "data_path", job_ids, lambda e: spark.read.parquet(e.path).schema)
+
+    def _look_up(
+        self, spark: SparkSession, part: str, job_ids: list[str] | None, read
+    ) -> tuple[list[Entry], list, list[tuple[str, str]]]:
+        """The readable files of one part, their headers or footers, and (job, message) for the others.
+
+        A header or footer is read once for each state of its file; a failure is not remembered.
+        """
+        present, missing = self._entries(spark, part, job_ids)
+        new = [e for e in present if (part, e.path, e.changed_at) not in self._looked_up]
+        failed: dict[Entry, str] = {}
+        for entry, (found, error) in zip(new, _map(lambda e: _attempt(read, e), new)):
+            if error is None:
+                self._looked_up[part, entry.path, entry.changed_at] = found
+            else:
+                failed[entry] = f"{entry.path} cannot be read: {error}"
+                logger.warning("%s of %s is not available: %s", part, entry.job_id, failed[entry])
+        readable = [e for e in present if e not in failed]
+        known = [self._looked_up[part, e.path, e.changed_at] for e in readable]
+        return readable, known, missing + [(e.job_id, message) for e, message in failed.items()]
 
     def _entries(
         self, spark: SparkSession, part: str, job_ids: list[str] | None
@@ -326,6 +365,16 @@ class ReleaseFiles:
         return present, missing
 
 
+def _attempt(read, entry: Entry) -> tuple[object, str | None]:
+    """What ``read`` finds, or the first line of why Spark could not read the file."""
+    try:
+        return read(entry), None
+    except Py4JJavaError as exc:
+        return None, str(exc.java_exception.getMessage()).strip().splitlines()[0]
+    except PySparkException as exc:
+        return None, str(exc).strip().splitlines()[0]
+
+
 def _map(function, items: list) -> list:
     if len(items) < 2:
         return [function(i) for i in items]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import conform_to
-from ..operators.matrix import to_wide
+from ..operators.matrix import sample_names, to_wide
 from ..schemas import CHEMISTRY, PROBLEMS
 from ..session import small_frame
 from .catalog import resolve_all, resolve_job
@@ -38,8 +38,7 @@ class ReleaseFrames:
         return resolve_all(self.catalog(spark), jobs)
 
     def is_empty(self, spark: SparkSession) -> bool:
-        """Tables without rows need no special case, so the catalog is not scanned for this."""
-        return False
+        return self.catalog(spark).isEmpty()
 
     def metadata(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
         return _only(self.metadata_table(spark), job_ids)
@@ -51,8 +50,9 @@ class ReleaseFrames:
         return _only(self.sequencing_table(spark), job_ids)
 
     def load_dataset(self, spark: SparkSession, job: str) -> DataFrame:
-        """The matrix of one release, wide; long if it is too large for that."""
-        return to_wide(self.sequencing(spark, [self.resolve(spark, job)]))[0]
+        """The matrix of one release, wide.  Runs a job to learn the names of its columns."""
+        cells = self.sequencing(spark, [self.resolve(spark, job)])
+        return to_wide(cells, sample_names(cells))
 
     def load_metadata(self, spark: SparkSession, job: str) -> DataFrame:
         return self.metadata(spark, [self.resolve(spark, job)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import conform_to
-from ..operators.matrix import LIMIT_BYTES, known_gene, to_wide
+from ..operators.matrix import known_gene, sample_names, to_wide
 from ..schemas import CATALOG, CHEMISTRY, CHEMISTRY_COLUMNS, SEQUENCING
 from .files import CSV_OPTIONS, ReleaseFiles
 from .frames import ReleaseFrames
@@ -43,21 +43,12 @@ def write_matrix_table(sequencing: DataFrame, table: str, buckets: int, path: st
     """The long matrix as a catalog table bucketed by (release, gene).
 
     Dropping unexpressed genes, counting genes and looking for duplicate cells then run
-    without a shuffle of the matrix.  Choose buckets of a few hundred MB.
-
-    A bucket is read by one task and cannot be split, so a gene that would fill more than one
-    bucket by itself is refused; `write_matrix` has no such bound.
+    without a shuffle of the matrix.  Choose buckets of a few hundred MB.  A bucket is read by
+    one task, so where one gene holds much of the matrix `write_matrix` is the better layout.
     """
-    cells = _canonical(sequencing)
-    per_gene = cells.groupBy("job_id", "gene_id").agg(F.count(F.lit(1)).alias("n"))
-    largest = per_gene.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
-    if largest["total"] and largest["most"] * buckets > largest["total"]:
-        raise ValueError(
-            f"one gene holds {largest['most']} of {largest['total']} cells, too many for one of {buckets} buckets; "
-            "use write_matrix"
-        )
     writer = (
-        cells.repartition(buckets, "job_id", "gene_id")
+        _canonical(sequencing)
+        .repartition(buckets, "job_id", "gene_id")
         .write.bucketBy(buckets, "job_id", "gene_id")
         .sortBy("job_id", "gene_id")
     )
@@ -66,12 +57,9 @@ def write_matrix_table(sequencing: DataFrame, table: str, buckets: int, path: st
     writer.saveAsTable(table)
 
 
-def write_wide(sequencing: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> None:
-    """One release as a wide matrix; long if that would be too large."""
-    frame, too_large = to_wide(sequencing, limit_bytes=limit_bytes)
-    if too_large:
-        frame = frame.drop("job_id").repartitionByRange("gene_id", "sequenced_id")
-    frame.write.parquet(path)
+def write_wide(sequencing: DataFrame, path: str) -> None:
+    """One release as a wide matrix with a named column for each sample."""
+    to_wide(sequencing, sample_names(sequencing)).write.parquet(path)
 
 
 def _balanced(df: DataFrame, by: str) -> DataFrame:

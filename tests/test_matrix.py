@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import types as T
 
 from exprlake import (
@@ -24,10 +23,11 @@ from exprlake import (
     load_metadata,
     shared_gene_column,
     to_long,
+    to_blocks,
     to_wide,
 )
 from exprlake.schemas import CHEMISTRY_COLUMNS
-from exprlake.operators.matrix import distinct_sample_ids, drop_unexpressed_wide, size_guard
+from exprlake.operators.matrix import distinct_sample_ids, drop_unexpressed_wide, from_blocks, sample_names, size_guard
 
 NAN = float("nan")
 
@@ -77,8 +77,8 @@ class TestWideLong:
         )
         long = to_long(wide, job_id="r")
         assert long.count() == 6 and long.filter("value is null").count() == 1
-        back, too_large = to_wide(long)
-        assert not too_large and sorted(back.columns) == ["A1", "a1", "gene_id", "x.y"]
+        back = to_wide(long, sample_names(long))
+        assert back.columns == ["gene_id", "A1", "a1", "x.y"]
         got = {r["gene_id"]: r.asDict() for r in back.collect()}
         assert got["g1"] == {"gene_id": "g1", "a1": 1.0, "A1": None, "x.y": 0.0}
         assert math.isnan(got["g2"]["a1"]) and got["g2"]["A1"] == 2.0
@@ -111,43 +111,62 @@ class TestWideLong:
 
     def test_fill_value(self, long_of):
         long = long_of(("r1", "g1", "a", 1), ("r2", "g2", "b", 2))
-        plain = {tuple(r) for r in to_wide(long)[0].select("gene_id", "a", "b").collect()}
+        plain = {tuple(r) for r in to_wide(long, ["a", "b"]).select("gene_id", "a", "b").collect()}
         assert plain == {("g1", 1.0, None), ("g2", None, 2.0)}
-        filled = {tuple(r) for r in to_wide(long, fill_value=0.0)[0].select("gene_id", "a", "b").collect()}
+        filled = {tuple(r) for r in to_wide(long, ["a", "b"], fill_value=0.0).select("gene_id", "a", "b").collect()}
         assert filled == {("g1", 1.0, 0.0), ("g2", 0.0, 2.0)}
 
     def test_explicit_samples(self, long_of):
         long = long_of(("r", "g1", "a", 1), ("r", "g1", "b", 2), ("r", "g2", "b", 3))
-        wide, _ = to_wide(long, samples=["b"])
+        wide = to_wide(long, ["b"])
         assert wide.columns == ["gene_id", "b"] and wide.count() == 2
 
     def test_no_cells(self, long_of):
-        wide, too_large = to_wide(long_of())
-        assert not too_large and wide.columns == ["gene_id"] and wide.count() == 0
+        wide = to_wide(long_of(), [])
+        assert wide.columns == ["gene_id"] and wide.count() == 0
+        blocks = to_blocks(long_of(), width=2)
+        assert blocks.cells.columns == ["gene_id", "block", "c0", "c1"]
+        assert blocks.cells.count() == 0 and blocks.samples.count() == 0 and from_blocks(blocks).count() == 0
 
     def test_sample_in_two_releases_raises(self, long_of):
         with pytest.raises(ValueError, match=r"more than one release: \['a'\]"):
-            to_wide(long_of(("r1", "g1", "a", 1), ("r2", "g2", "a", 2)))
+            to_wide(long_of(("r1", "g1", "a", 1), ("r2", "g2", "a", 2)), ["a"])
+        with pytest.raises(ValueError, match="more than once"):
+            to_wide(long_of(), ["a", "a"])
+
+    def test_repeated_genes_keep_all_their_cells(self, long_of):
+        cells = [("r", "g1", "a", 2), ("r", "g1", "a", 1), ("r", "g1", "b", 5), ("r", "", "a", 7), ("r", "", "a", 8)]
+        wide = to_wide(long_of(*cells), ["a", "b"])
+        assert sorted(map(tuple, wide.collect()), key=str) == sorted(
+            [("g1", 1.0, 5.0), ("g1", 2.0, None), (None, 7.0, None), (None, 8.0, None)], key=str
+        )
 
-    def test_duplicate_cell_raises(self, long_of):
-        wide, _ = to_wide(long_of(("r", "g1", "a", 1), ("r", "g1", "a", 1)))
-        with pytest.raises(PySparkException, match="duplicate cell for gene g1 sample a"):
-            wide.collect()
+    def test_blocks_hold_all_samples_in_order(self, long_of, rows):
+        cells = [(f"r{j}", f"g{i % 3}", f"s{i}", 10 * j + i) for j in range(2) for i in range(5)]
+        blocks = to_blocks(long_of(*cells), width=4)
+        assert blocks.cells.columns == ["gene_id", "block", "c0", "c1", "c2", "c3"]
+        places = [(n // 4, n % 4, f"r{n // 5}", f"s{n % 5}") for n in range(10)]
+        assert rows(blocks.samples, "block", "position", "job_id", "sequenced_id") == set(places)
+        got = {(r["gene_id"], r["block"]): list(r)[2:] for r in blocks.cells.collect()}
+        # The second block holds s4 of r0 and s0 to s2 of r1.
+        assert got["g1", 1] == [4.0, None, 11.0, None] and got["g0", 1] == [None, 10.0, None, None]
+        assert rows(from_blocks(blocks)) == {(j, g, s, float(v)) for j, g, s, v in cells}
+
+    def test_blocks_of_samples_and_releases_without_an_id(self, spark):
+        long = spark.createDataFrame(
+            [("r", "g", None, 1.0), (None, "g", "a", 2.0), (None, "", "a", 3.0), ("r", "", "a", None)],
+            "job_id string, gene_id string, sequenced_id string, value double",
+        )
+        blocks = to_blocks(long, width=2, fill_value=0.0)
+        assert sorted(tuple(r) for r in blocks.samples.select("block", "position").collect()) == [(0, 0), (0, 1), (1, 0)]
+        assert sum(v for r in blocks.cells.collect() for v in list(r)[2:]) == 6.0
 
     def test_unknown_genes_of_two_releases_stay_apart(self, spark):
         a = to_long(spark.createDataFrame([(None, 1.0)], "gene_id string, s double"), job_id="r1")
         b = to_long(spark.createDataFrame([(None, 2.0)], "gene_id string, t double"), job_id="r2")
-        wide, _ = to_wide(drop_unexpressed(combine(a, b)))
+        wide = to_wide(drop_unexpressed(combine(a, b)), ["s", "t"])
         assert {tuple(r) for r in wide.select("gene_id", "s", "t").collect()} == {(None, 1.0, None), (None, None, 2.0)}
 
-    def test_too_large_stays_long(self, long_of):
-        long = long_of(*CELLS)
-        with pytest.warns(ResourceWarning, match="above the limit"):
-            frame, too_large = to_wide(long, limit_bytes=10)
-        assert too_large and frame.columns == long.columns
-        with pytest.warns(ResourceWarning, match="more than 2 samples"):
-            assert to_wide(long, max_samples=2)[1]
-
 
 class TestUnexpressed:
     def test_per_release(self, long_of, rows):
@@ -168,7 +187,7 @@ class TestUnexpressed:
 
     def test_wide_agrees_with_long(self, spark, long_of, rows):
         cells = [c for c in CELLS if c[0] == "r1"]
-        wide, _ = to_wide(long_of(*cells))
+        wide = to_wide(long_of(*cells), ["s1", "s2"])
         by_wide = rows(drop_unexpressed_wide(wide), "gene_id")
         assert by_wide == rows(expressed_genes(long_of(*cells)), "gene_id") == {("g_nan",), ("g_on",)}
         only_genes = spark.createDataFrame([("g",)], "gene_id string")
@@ -227,10 +246,10 @@ class TestLoadExperiments:
         assert got.job_ids == ["r1", "r2"]
         assert rows(got.data.select("job_id", "gene_id").distinct()) == {("r1", "g1"), ("r1", "g2"), ("r2", "g3")}
         assert got.metadata.count() == 3 and got.chemistry.count() == 1
-        wide, too_large = got.to_wide()
+        wide = got.to_wide(["s1", "s2", "t1"])
         # g1 is unexpressed in r2, so its cells there are NULL, not 0.
         assert got.release("r2").count() == 1
-        assert not too_large and rows(wide.select("gene_id", "s1", "s2", "t1")) == {
+        assert rows(wide.select("gene_id", "s1", "s2", "t1")) == {
             ("g1", 0.0, 5.0, None), ("g2", 7.0, 0.0, None), ("g3", None, None, 1.0),
         }
 
@@ -242,9 +261,12 @@ class TestLoadExperiments:
 
     def test_release_left_without_samples(self, spark, source, rows):
         got = load_experiments(spark, source, ["one", "three"], sql="SELECT * FROM metadata WHERE is_control")
-        assert rows(got.to_wide()[0], "gene_id") == {("g2",)}
-        extra = got.to_wide(include_empty_release_genes=True)[0]
+        assert rows(got.to_wide(["s1"]), "gene_id") == {("g2",)}
+        extra = got.to_wide(["s1"], include_empty_release_genes=True)
         assert rows(extra, "gene_id", "s1") == {("g2", 7.0), ("g9", None)}
+        assert rows(got.to_blocks(include_empty_release_genes=True).cells, "gene_id", "block", "c0") == {
+            ("g2", 0, 7.0), ("g9", None, None),
+        }
 
     def test_filter_sees_all_releases_or_the_requested(self, spark, source, rows):
         first = "SELECT sequenced_id FROM metadata ORDER BY sequenced_id DESC LIMIT 1"

@@ -10,7 +10,7 @@ import pytest
 from exprlake import drop_unexpressed, expressed_genes
 from exprlake import fixtures as fx
 from exprlake.operators.export import obs_table
-from exprlake.operators.matrix import gene_counts, to_wide
+from exprlake.operators.matrix import gene_counts, to_blocks
 from exprlake.operators.validate import duplicate_cells, issue_previews, reconcile
 from exprlake.schemas import SEQUENCING
 from exprlake.sources.files import Entry, read_sequencing
@@ -60,11 +60,12 @@ def test_gene_count_reads_one_column(spark, store):
     assert "ReadSchema: struct<gene_id:string>" in text
 
 
-def test_cells_are_shuffled_long_not_wide(spark):
-    text = physical(to_wide(fx.observed_b(spark, SF))[0])
-    final, partial = text.index("functions=[pivotfirst("), text.index("functions=[partial_pivotfirst(")
-    assert final < partial and "Exchange" not in text[final:partial]
-    assert re.search(r"Exchange hashpartitioning\(gene_id#\d+, __unnamed_in#\d+, \d+\), REPARTITION_BY_COL", text)
+def test_cells_are_shuffled_once_and_long(spark):
+    text = physical(to_blocks(fx.observed_b(spark, SF)).cells)
+    assert len(re.findall(r"Exchange hashpartitioning\(gene_id#\d+, __unnamed_in#\d+, block#\d+L, \d+\)", text)) == 1
+    # Above that exchange nothing moves, and below it nothing is pivoted.
+    above, below = text.split("REPARTITION_BY_COL", 1)
+    assert above.count("Exchange") == 1 and "max(" not in below
 
 
 def test_groups_are_cut_before_the_shuffle(spark):
@@ -120,9 +121,3 @@ def test_combining_moves_no_cells_while_its_sets_are_small(spark, store, monkeyp
         assert small.count() > 0 and small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-def test_bucketed_matrix_refuses_a_hot_gene(long_of):
-    cells = [("r", "hot", f"s{i}", 1) for i in range(50)] + [("r", f"g{i}", "s0", 1) for i in range(50)]
-    with pytest.raises(ValueError, match="one gene holds 50 of 100 cells"):
-        write_matrix_table(long_of(*cells), "never_written", 4)

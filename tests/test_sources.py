@@ -15,11 +15,12 @@ from exprlake import (
     resolve_dataset_url,
     resolve_job,
     select_releases,
+    validate_releases,
 )
 from exprlake.operators.union import concat_chemistry, concat_metadata, empty_chemistry
 from exprlake.schemas import CHEMISTRY, METADATA
 from exprlake.session import scratch_root
-from exprlake.sources.store import ingest, write_catalog, write_chemistry
+from exprlake.sources.store import ingest, write_catalog, write_chemistry, write_metadata
 
 
 def test_scratch_folder_is_the_configured_one(spark):
@@ -155,11 +156,28 @@ class TestMetadata:
         with pytest.raises(Exception, match="CSV header does not conform"):
             ReleaseFiles(str(tmp_path / "c.json")).metadata(spark).collect()
 
-    def test_ordinal_is_file_order(self, spark, tmp_path):
-        lines = [f"s{i % 7},{i}" for i in range(5000)]
-        (tmp_path / "m.csv").write_text("sequenced_id,total_sequenced_reads\n" + "\n".join(lines) + "\n")
+    def test_line_breaks_inside_quotes(self, spark, tmp_path):
+        (tmp_path / "m.csv").write_text('sequenced_id,note,cell_line\ns1,"two\nlines, and ""more""",K562\ns2,,THP-1\n')
         datasets = [{"job_id": "j", "job_name": "j", "metadata_path": str(tmp_path / "m.csv")}]
         (tmp_path / "c.json").write_text(json.dumps({"datasets": datasets}))
+        read = ReleaseFiles(str(tmp_path / "c.json")).metadata(spark)
+        want = {("s1", 'two\nlines, and "more"', "K562"), ("s2", None, "THP-1")}
+        assert {(r["sequenced_id"], r["note"], r["cell_line"]) for r in read.collect()} == want
+        write_metadata(read, str(tmp_path / "again"))
+        datasets[0]["metadata_path"] = str(tmp_path / "again" / "release=j")
+        (tmp_path / "d.json").write_text(json.dumps({"datasets": datasets}))
+        again = ReleaseFiles(str(tmp_path / "d.json")).metadata(spark)
+        assert {(r["sequenced_id"], r["note"], r["cell_line"]) for r in again.collect()} == want
+
+    def test_ordinal_is_file_order(self, spark, tmp_path):
+        # A quoted value may hold line breaks, so a file is one task and a large table is many files.
+        (tmp_path / "m").mkdir()
+        for part in range(5):
+            lines = [f's{i % 7},{i},"a\nb"' for i in range(part * 1000, part * 1000 + 1000)]
+            text = "sequenced_id,total_sequenced_reads,note\n" + "\n".join(lines) + "\n"
+            (tmp_path / "m" / f"part-{part}.csv").write_text(text)
+        datasets = [{"job_id": "j", "job_name": "j", "metadata_path": str(tmp_path / "m")}]
+        (tmp_path / "c.json").write_text(json.dumps({"datasets": datasets}))
         spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
         try:
             df = ReleaseFiles(str(tmp_path / "c.json")).metadata(spark, with_ordinal=True)
@@ -229,13 +247,34 @@ class TestMatrix:
         }
         assert "is not available" in caplog.text
 
+    def test_unreadable_parts_stop_only_their_release(self, release_files):
+        spark, files, tmp_path = release_files
+        (tmp_path / "broken.parquet").write_bytes(b"not a matrix")
+        (tmp_path / "broken.json").write_text('{"compounds": [{"compound": "c1", "smi')
+        catalog = json.loads((tmp_path / "catalog.json").read_text())
+        for entry in catalog["datasets"]:
+            if entry["job_id"] == "r2":
+                entry["data_path"] = str(tmp_path / "broken.parquet")
+                entry["chemistry_path"] = str(tmp_path / "broken.json")
+        (tmp_path / "other.json").write_text(json.dumps(catalog))
+        files = ReleaseFiles(str(tmp_path / "other.json"))
+        assert {r["job_id"] for r in files.sequencing(spark).collect()} == {"r1", "r3"}
+        assert {r["job_id"] for r in files.chemistry(spark).collect()} == {"r1"}
+        errors = {(r[0], r[1]): r[2] for r in files.source_errors(spark).collect()}
+        assert "cannot be read" in errors["r2", "data_path"] and "cannot be read" in errors["r2", "chemistry_path"]
+        assert ("r2", "metadata_path") not in errors and ("r1", "data_path") not in errors
+        statuses = {r["job_id"]: r["status"] for r in validate_releases(spark, files).reports.collect()}
+        assert statuses["r2"] == "FAIL" and statuses["r1"] != "FAIL"
+        with pytest.raises(ValueError, match="Dataset not found for job_id='r2'"):
+            load_experiment(spark, files, "r2")
+
     def test_experiment(self, release_files):
         spark, files, _ = release_files
         exp = load_experiment(spark, files, "third")
         assert exp.job_id == "r3" and exp.data.count() == 1
         assert exp.metadata.count() == 0 and exp.chemistry.schema == CHEMISTRY
-        wide, too_large = load_experiment(spark, files, "r1").to_wide()
-        assert not too_large and set(wide.columns) == {"gene_id", "0012", "a1", "A1"} and wide.count() == 3
+        wide = load_experiment(spark, files, "r1").to_wide(["0012", "a1", "A1"])
+        assert wide.columns == ["gene_id", "0012", "a1", "A1"] and wide.count() == 3
 
     def test_experiment_needs_its_matrix(self, release_files):
         spark, files, _ = release_files

@@ -176,7 +176,7 @@ class TestExport:
             F.concat(F.lit("g"), F.col("id")).alias("gene_id"),
         )
         one = index_within(ids, "job_id", "gene_id", "at")
-        cut = index_within(ids, "job_id", "gene_id", "at", single_window_rows=100)
+        cut = index_within(ids, "job_id", "gene_id", "at", range_rows=100)
         assert cut.count() == 3000 and one.exceptAll(cut).isEmpty()
 
     def test_vectors_are_cut_into_blocks(self, spark, long_of, rows):
