@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words form no groups and all stay; a null doc_id counts as larger than all others.
     """
-    groups = jaccard.jaccard_groups(docs, DUPLICATE_WORDS, DUPLICATE_PERCENT)
+    groups = jaccard.jaccard_groups(docs, DUPLICATE_WORDS, DUPLICATE_PERCENT, count_links=False)
     # Rows that repeat one doc_id are told apart by their texts; equal rows by nothing, so one of them stays.
     first = Window.partitionBy("component_id").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
     grouped = groups.filter("n_shingles > 0").withColumn("__n", F.row_number().over(first)).filter("__n = 1")

@@ -31,6 +31,13 @@ PERCENT = 90
 # Shingles of the classes in one block, and classes; more are cut into chunks that meet pairwise.
 BLOCK_SHINGLES = 4_000_000
 BLOCK_CLASSES = 8_000
+# Where groups alone are wanted: central sets that a set is held against first, and sets after which it is
+# looked up anew which lists need no search.  They change the work, not the result.
+CENTRES = 2
+SETTLE = 500
+FIRST = 16
+# Entries that a heap merges for one set.
+HEAP_ENTRIES = 2_000
 # Set sizes are cut into bands that grow by this factor.
 BAND = 1.15
 
@@ -125,12 +132,14 @@ def jaccard_groups(
     percent: int = PERCENT,
     block_shingles: int = BLOCK_SHINGLES,
     block_classes: int = BLOCK_CLASSES,
+    count_links: bool = True,
 ) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, n_links) of every document.
 
     Two documents link when their sets of word shingles have a Jaccard similarity of at least ``percent``
     per cent; ``component_id`` is the least doc_id that links lead to, ``n_links`` the number of other
-    documents it links with.  A text without words, or null, has no shingles and links with nothing.
+    documents it links with, null unless ``count_links``: groups alone are found without looking at
+    pairs whose documents are known to hang together.  A text without words, or null, has no shingles and links with nothing.
     Columns other than doc_id and text are ignored; repeated rows link with each other; an empty table
     gives no rows.  Shingles are compared by 64-bit hashes.
     """
@@ -169,7 +178,7 @@ def jaccard_groups(
     shared = shared.filter("least < most").select("key", "least")
     meets = postings.join(shared, "key").filter("class <> least").select("class", "least").distinct()
     together = components(meets.select(F.col("class").alias("a"), F.col("least").alias("b")), "meets")
-    links = _search(texts, sets, classes, together, words, share, block_shingles, block_classes)
+    links = _search(texts, sets, classes, together, words, share, block_shingles, block_classes, count_links)
 
     linked = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")), "links")
     root = linked.join(classes, linked["node"] == classes["class"]).select("class", "component", "first_id")
@@ -193,14 +202,15 @@ def jaccard_groups(
             "text_hash",
             "n_shingles",
             F.coalesce("component_id", "doc_id").alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            (F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None).cast("long")).alias("n_links"),
         )
     )
 
 
-def _search(texts, sets, classes, together, words, share, block_shingles, block_classes) -> DataFrame:
+def _search(texts, sets, classes, together, words, share, block_shingles, block_classes, count_links) -> DataFrame:
     """(class, root, n_linked) for every linked class of a block: the least class that links in the block
-    lead to, and how many documents of other classes it links with there.  Each link is found in one block.
+    lead to, and how many documents of other classes it links with there.  Each link is found in one block;
+    unless ``count_links``, only as many links as connect the same classes.
     """
     members = together.join(classes, together["node"] == classes["class"])
     members = materialize(members.select("class", "component", "first_id", "n_docs", "n_shingles"), "members")
@@ -216,8 +226,11 @@ def _search(texts, sets, classes, together, words, share, block_shingles, block_
     source = source.groupBy("class", "doc_id").agg(F.min("text_hash").alias("text_hash"))
     found = texts.join(source, ["doc_id", "text_hash"]).select("class", "text")
     placed = found.join(chunked, "class").select(
-        "component", "chunk", "class", "n_docs", "text", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other")
-    )
+        "component", "chunk", "class", "n_docs", "text", "chunks",
+        F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other"),
+    )
+    if not count_links:
+        placed = placed.filter("chunk <> other or chunks = 1")  # a chunk is also searched when it meets another
     placed = placed.select(
         "component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
         "chunk", "class", "n_docs", "text",
@@ -228,8 +241,8 @@ def _search(texts, sets, classes, together, words, share, block_shingles, block_
         table = table.take(pa.array(np.unique(table["class"].to_numpy(), return_index=True)[1]))
         name, chunk, docs = (table[c].to_numpy() for c in ("class", "chunk", "n_docs"))
         shingle, of = shingle_sets(*tk.text_buffer(table["text"]), words)
-        a, b = divide_skip(shingle, of, len(name), share)
-        if i != j:
+        a, b = divide_skip(shingle, of, len(name), share, spanning=not count_links)
+        if i != j and count_links:
             across = chunk[a] != chunk[b]
             a, b = a[across], b[across]
         linked = np.unique(np.r_[a, b])
@@ -260,8 +273,13 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return root
 
 
-def divide_skip(shingle: np.ndarray, of: np.ndarray, sets: int, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (a, b) of sets whose Jaccard similarity is at least ``share``."""
+def divide_skip(
+    shingle: np.ndarray, of: np.ndarray, sets: int, share: Fraction, spanning: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (a, b) of sets whose Jaccard similarity is at least ``share``.
+
+    With ``spanning`` only pairs that connect the same sets: a set skips those it hangs together with.
+    """
     size = np.bincount(of, minlength=sets)
     # Sets by size, so that the lists of each shingle are in that order and a set looks at smaller ones only.
     rank = np.empty(sets, np.int64)
@@ -278,7 +296,18 @@ def divide_skip(shingle: np.ndarray, of: np.ndarray, sets: int, share: Fraction)
     left: list[int] = []
     right: list[int] = []
     up, down = share.numerator, share.denominator
+    root = np.arange(sets)
+    # Lists whose sets all hang together have nothing to tell.
+    settled = np.zeros(len(new), bool)
+    if spanning and len(new):
+        for a, b in _central_pairs(who, new, length, lists, cuts, share):
+            if root[a] != root[b]:
+                left.append(int(by_size[a]))
+                right.append(int(by_size[b]))
+                root[root == max(root[a], root[b])] = min(root[a], root[b])
     for q in range(sets):
+        if spanning and len(new) and q % SETTLE == 0:
+            settled = np.minimum.reduceat(root[who], new) == np.maximum.reduceat(root[who], new)
         own = lists[cuts[q] : cuts[q + 1]]
         n = len(own)
         # A smaller set has to hold share * n shingles at least, all of them in common.
@@ -289,29 +318,87 @@ def divide_skip(shingle: np.ndarray, of: np.ndarray, sets: int, share: Fraction)
         own = own[np.argsort(length[own], kind="stable")]
         short, long = own[: n - need + 1], own[n - need + 1 :]
         parts = []
-        for s in short:
+        for s in short[~settled[short]]:
             part = who[new[s] : new[s] + length[s]]
             part = part[np.searchsorted(part, least) : np.searchsorted(part, q)]
+            if spanning:
+                part = part[root[part] != root[q]]
             if len(part):
-                parts.append(part.tolist())
+                parts.append(part)
         if not parts:
             continue
-        merged = np.fromiter(heapq.merge(*parts), np.int64) if len(parts) > 1 else np.array(parts[0])
-        start = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1]])
-        found, count = merged[start], np.diff(np.r_[start, len(merged)])
-        # Overlap that makes the pair near: o / (n + m - o) >= share.
-        wanted = -(-up * (n + ordered_size[found]) // (up + down))
-        for k, s in enumerate(long):
-            alive = count + (len(long) - k) >= wanted
-            if not alive.all():
-                found, count, wanted = found[alive], count[alive], wanted[alive]
-            if not len(found):
-                break
-            part = who[new[s] : new[s] + length[s]]
-            at = np.searchsorted(part, found)
-            at[at == len(part)] = 0
-            count += part[at] == found
-        hit = found[count >= wanted]
-        left += by_size[hit].tolist()
-        right += [int(by_size[q])] * len(hit)
+        found, count = _merge(parts)
+        first = len(found)
+        if spanning:
+            # The likeliest first: once one links, those that hang together with it need no look.
+            order = np.argsort(-count, kind="stable")
+            found, count, first = found[order], count[order], FIRST
+        while len(found):
+            # Overlap that makes the pair near: o / (n + m - o) >= share.
+            wanted = -(-up * (n + ordered_size[found[:first]]) // (up + down))
+            if len(wanted) <= FIRST:
+                # For a few, one search each in the set's own sorted shingles is less than one for each list.
+                mine = lists[cuts[q] : cuts[q + 1]]
+                held_by = (lists[cuts[c] : cuts[c + 1]] for c in found[:first].tolist())
+                both = [int((mine[np.searchsorted(mine[:-1], x)] == x).sum()) for x in held_by]
+                hit = found[:first][np.array(both) >= wanted]
+            else:
+                hit = _probe(found[:first], count[:first], wanted, [who[new[s] : new[s] + length[s]] for s in long])
+            found, count, first = found[first:], count[first:], len(found)
+            if spanning and len(hit):
+                hit = hit[np.unique(root[hit], return_index=True)[1]]
+                root[np.isin(root, np.r_[root[hit], root[q]])] = min(root[hit].min(), root[q])
+                apart = root[found] != root[q]
+                found, count = found[apart], count[apart]
+            left += by_size[hit].tolist()
+            right += [int(by_size[q])] * len(hit)
     return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def _merge(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What sorted lists hold, in order, and how many lists hold it: a heap merges short lists; where even
+    the shortest of a set are long, their entries are tallied."""
+    if sum(map(len, parts)) > HEAP_ENTRIES:
+        low = min(int(part[0]) for part in parts)
+        tally = np.bincount(np.concatenate(parts) - low)
+        found = np.flatnonzero(tally)
+        return found + low, tally[found]
+    merged = np.fromiter(heapq.merge(*(part.tolist() for part in parts)), np.int64)
+    start = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1]])
+    return merged[start], np.diff(np.r_[start, len(merged)])
+
+
+def _probe(found: np.ndarray, count: np.ndarray, wanted: np.ndarray, long: list[np.ndarray]) -> np.ndarray:
+    """Those of ``found`` that reach the wanted count, by binary search in the long lists."""
+    count = count.copy()
+    for k, part in enumerate(long):
+        alive = count + (len(long) - k) >= wanted
+        if not alive.all():
+            found, count, wanted = found[alive], count[alive], wanted[alive]
+        if not len(found):
+            break
+        at = np.searchsorted(part, found)
+        at[at == len(part)] = 0
+        count += part[at] == found
+    return found[count >= wanted]
+
+
+def _central_pairs(who, new, length, lists, cuts, share: Fraction) -> Iterator[tuple[int, int]]:
+    """Near pairs of a set and the set that is most central in most of its lists.
+
+    A set is central if its lists are long, as those of a text with many edited copies.
+    """
+    sets = len(cuts) - 1
+    weight = np.bincount(who, np.repeat(length, length), minlength=sets)
+    by_weight = np.argsort(weight, kind="stable")
+    rank = np.empty(sets, np.int64)
+    rank[by_weight] = np.arange(sets)
+    centre = by_weight[np.maximum.reduceat(rank[who], new)]
+    for q in range(sets):
+        own = lists[cuts[q] : cuts[q + 1]]
+        found, count = np.unique(centre[own], return_counts=True)
+        for c in found[np.argsort(-count, kind="stable")][:CENTRES]:
+            other = lists[cuts[c] : cuts[c + 1]]
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            if c != q and both * (share.numerator + share.denominator) >= share.numerator * (len(own) + len(other)):
+                yield q, int(c)

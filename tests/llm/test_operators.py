@@ -143,6 +143,8 @@ def test_jaccard_groups(docs, none, size, percent, classes):
     got = jaccard.jaccard_groups(docs, size, percent, block_classes=classes).drop("text_hash").collect()
     assert sorted(map(tuple, got)) == sorted(near_groups(corpus(), size, percent))
     assert jaccard.jaccard_groups(none).count() == 0
+    groups = jaccard.jaccard_groups(docs, size, percent, block_classes=classes, count_links=False).drop("text_hash", "n_links")
+    assert sorted(map(tuple, groups.collect())) == sorted(row[:3] for row in near_groups(corpus(), size, percent))
 
 
 def test_divide_skip():
@@ -160,6 +162,29 @@ def test_divide_skip():
     assert got == want and len(got) == len(a)
 
 
+def roots(pairs, n):
+    root = list(range(n))
+    for _ in range(n):
+        for x, y in pairs:
+            root[x] = root[y] = min(root[x], root[y])
+    return root
+
+
+def test_divide_skip_spanning(monkeypatch):
+    draw = np.random.default_rng(1)
+    monkeypatch.setattr(jaccard, "SETTLE", 7)
+    monkeypatch.setattr(jaccard, "FIRST", 2)
+    for round_ in range(30):
+        monkeypatch.setattr(jaccard, "HEAP_ENTRIES", round_ * 10)
+        base = [np.unique(draw.integers(0, 400, 40)) for _ in range(4)]
+        sets = [np.unique(draw.permutation(base[draw.integers(4)])[: draw.integers(1, 40)]) for _ in range(70)]
+        flat = np.concatenate(sets).astype(np.uint64), np.repeat(np.arange(70), [len(s) for s in sets]), 70, Fraction(8, 10)
+        every = list(zip(*map(np.ndarray.tolist, jaccard.divide_skip(*flat))))
+        some = list(zip(*map(np.ndarray.tolist, jaccard.divide_skip(*flat, spanning=True))))
+        assert {tuple(sorted(x)) for x in some} <= {tuple(sorted(x)) for x in every}
+        assert roots(every, 70) == roots(some, 70) and len(some) < 70
+
+
 def test_statistics_and_rules(spark, docs, none):
     got = {r["doc_id"]: r for r in quality.statistics(docs).collect()}
     for doc_id, text, *_ in corpus():
