@@ -19,6 +19,22 @@ def sample_id(name: str = "sequenced_id") -> Column:
     return F.col(name).cast("string").alias("sequenced_id")
 
 
+# Characters besides control characters that Spark writes as %XX in the name of a partition folder.
+FOLDER_ESCAPES = "\"#%'*/:=?\\{[]^\x7f"
+
+
+def folder_value(value: Column) -> Column:
+    """A text as it stands in the name of a partition folder."""
+
+    def shown(c: Column) -> Column:
+        special = (F.ascii(c) < 32) | F.lit(FOLDER_ESCAPES).contains(c)
+        return F.when(special, F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)
+
+    return F.when(F.coalesce(value, F.lit("")) == "", "__HIVE_DEFAULT_PARTITION__").otherwise(
+        F.array_join(F.transform(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), shown), "")
+    )
+
+
 def conform_metadata(df: DataFrame) -> DataFrame:
     """Cast the core sample columns by name; keep all other columns as they are.
 

@@ -140,6 +140,8 @@ def release_report(
 
     ``problems`` names releases whose load or columns failed before any row was read.
     """
+    if "sequenced_id" not in metadata.columns:  # no release has it; `problems` says so
+        metadata = metadata.withColumn("sequenced_id", F.lit(None).cast("string"))
     sides = reconcile(sequencing, metadata)
     previews = (
         issue_previews(sides)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import folder_value
 from ..operators.export import annotated_matrix, write_annotated
 from ..operators.validate import release_report, status_of, summarize
 from ..schemas import REPORT
@@ -77,7 +78,7 @@ def _export(
         issues = F.when(sound, F.concat("issues", failed)).otherwise(F.col("issues"))
         reports = reports.withColumn("issues", issues)
     else:
-        folder = F.concat(F.lit(f"{path}/x/job_id="), F.col("job_id"))
+        folder = F.concat(F.lit(f"{path}/x/job_id="), folder_value(F.col("job_id")))
         reports = reports.withColumn("output_path", F.when(sound, folder))
     return reports.withColumn("status", status_of(F.col("fatal"), F.col("issues")))
 

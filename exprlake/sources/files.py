@@ -12,6 +12,7 @@ from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -200,7 +201,7 @@ def read_sequencing(
         root, _, folder = entry.path.rstrip("/").rpartition("/")
         if entry.job_id in unusable:
             continue
-        if is_long(schema) and folder == f"job_id={entry.job_id}":
+        if is_long(schema) and unquote(folder) == f"job_id={entry.job_id}":
             stores[root].append(entry.path)
         elif is_long(schema):
             rows = spark.read.schema(schema).parquet(entry.path).withColumn("job_id", F.lit(entry.job_id))

@@ -15,6 +15,7 @@ from exprlake import (
     validate_releases,
     var_table,
 )
+from exprlake.functions.columns import folder_value
 from exprlake.functions.ranking import index_within
 from exprlake.operators.export import sample_cells
 from exprlake.operators.validate import reconcile, validate_counts
@@ -120,6 +121,12 @@ class TestFiles:
         assert got["r1"] == "metadata missing 'sequenced_id' column"
         assert got["r2"].startswith("all columns are numeric")
 
+    def test_no_release_has_the_sample_column(self, release_files):
+        spark, files, tmp_path = release_files
+        (tmp_path / "r1.csv").write_text("sample,job_id\n0012,r1\n")
+        got = validate_releases(spark, files, ["r1"]).reports.collect()
+        assert [r["fatal"] for r in got] == ["metadata missing 'sequenced_id' column"]
+
     def test_chosen_and_unknown(self, release_files):
         spark, files, _ = release_files
         check = validate_releases(spark, files, ["first"])
@@ -221,3 +228,12 @@ class TestCommand:
         assert code == 2 and f"wrote {tmp_path}/o/x/job_id=r1" in out.out and "fatal: load_experiment failed" in out.out
         code, out = self.run(capsys, catalog, "--job", "nope")
         assert code == 2 and "unknown release(s): nope" in out.err
+
+
+def test_folder_value(spark, tmp_path):
+    ids = ["plain", "a:b", "50%", "x=y/z", "q'\"#*?", "{[^]}", "tab\tline\n", "é ü", "back\\slash", "\x7f"]
+    frame = spark.createDataFrame([(i, 1) for i in ids], "job_id string, n int")
+    frame.write.partitionBy("job_id").parquet(str(tmp_path / "x"))
+    on_disk = {p.name for p in (tmp_path / "x").iterdir() if p.is_dir()}
+    told = {"job_id=" + r["v"] for r in frame.select(folder_value(F.col("job_id")).alias("v")).collect()}
+    assert told == on_disk
