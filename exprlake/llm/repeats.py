@@ -213,7 +213,8 @@ def _piece_anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+    # Anchors have the least hashes of their windows, so nearly all lie in the lowest part of the range.
+    return ((tk.mix(hashes) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
 
 _SENT = "shard int, ids array<long>, texts array<long>, counts binary, a binary, b binary, c binary"
