@@ -80,17 +80,18 @@ def _class_and_keys(sets: np.ndarray, of: np.ndarray, rows: int, share: Fraction
     digest = np.zeros(rows, np.uint64)
     np.add.at(digest, of, tk.mix(sets ^ np.uint64(0x5851F42D4C957F2D)))
     digest = tk.mix(digest + size.astype(np.uint64))
-    edges = _bands(int(size.max(initial=0)) * 2 + 2)
+    edges = _bands(int(size.max(initial=0) / share) + 1)
     keys: list = []
     for i in range(rows):
         found = []
         if size[i]:
             x = sets[cuts[i] : cuts[i + 1]]
             own = int(np.searchsorted(edges, size[i], side="right")) - 1
-            for band in (own, own + 1):
-                # A smaller set meets the next band only if a set of that band may be near enough.
-                if band == own or size[i] >= share * edges[band]:
-                    found.append(_range_keys(x, band, edges[band], edges[band + 1] - 1, share))
+            band = own
+            # A smaller set meets every band above its own in which a set may be near enough.
+            while band == own or share * edges[band] <= int(size[i]):
+                found.append(_range_keys(x, band, edges[band], edges[band + 1] - 1, share))
+                band += 1
         keys.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
     return digest, keys
 

@@ -147,6 +147,29 @@ def test_jaccard_groups(docs, none, size, percent, classes):
     assert sorted(map(tuple, groups.collect())) == sorted(row[:3] for row in near_groups(corpus(), size, percent))
 
 
+def cut_and_lengthened(size: int, sizes: list[tuple[int, int]]) -> list[tuple]:
+    """Pairs of a text and its cut copy, of so many shingles each; texts of different pairs share no word."""
+    rows = []
+    for k, pair in enumerate(sizes):
+        rows += [(2 * k + i, " ".join(f"w{k}x{j}" for j in range(n + size - 1)), "src", "clash", 1) for i, n in enumerate(pair)]
+    return rows
+
+
+@pytest.mark.parametrize(
+    "percent,sizes",
+    [
+        (80, [(8, 10), (100, 124), (124, 155), (200, 247), (250, 200), (1000, 1250), (100, 126)]),
+        (60, [(6, 10), (60, 99), (120, 200), (240, 400), (100, 168)]),
+        (30, [(3, 10), (30, 99), (120, 400)]),
+    ],
+)
+def test_jaccard_groups_of_cut_copies(spark, percent, sizes):
+    rows = cut_and_lengthened(5, sizes)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = jaccard.jaccard_groups(docs, 5, percent).drop("text_hash").collect()
+    assert sorted(map(tuple, got)) == sorted(near_groups(rows, 5, percent))
+
+
 def test_divide_skip():
     draw = np.random.default_rng(0)
     sets = [np.unique(draw.integers(0, 40, draw.integers(1, 30))) for _ in range(80)]
