@@ -1,8 +1,8 @@
 """Licence recognition by sentences and rules.
 
-A text is cut into sentences, each is normalised and mapped to the identifier of a known licence
-sentence, and the identifiers of a text, in order, are matched against ordered rules: an early rule takes
-its sentences before a later one sees them.  Everything happens within a row, so nothing is shuffled.
+A text is normalised, the known licence sentences in it, wrapped or not, are mapped to identifiers, and
+the identifiers of a text, in order, are matched against ordered rules: an early rule takes its sentences
+before a later one sees them.  Everything happens within a row, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -78,13 +78,37 @@ RULES = [
 ]
 _END = r"([.!?;:])[ \t\f\r]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# What comments put before each line of a text.
+_LEADER = r"(^|\n)[^A-Za-z0-9\n]*+(?:(?:REM|rem|dnl)[ \t][^A-Za-z0-9\n]*+)?"
+# Places inside known sentences where the usual text has a full stop or a semicolon.
+_INNER_STOPS = {"foundation either": "foundation;either", "license v 2 0": "license v;2 0"}
+
+
+def _known_pattern() -> str:
+    """Any known sentence, the longest first, from one boundary to another; lines may break between its words."""
+    found = []
+    for sentence in sorted(SENTENCES, key=lambda s: (-len(s.split()), s)):
+        for plain, stopped in _INNER_STOPS.items():
+            sentence = sentence.replace(plain, stopped)
+        found.append(sentence.replace(" ", "[ \n]").replace(";", "[ \n;]"))
+    return f"(?<![a-z0-9 ])(?:{'|'.join(found)})(?![a-z0-9 ])"
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order, each followed by a space."""
+    """Identifiers of the known sentences of a text, in order, each followed by a space.
+
+    A known sentence begins and ends at the end of a sentence, of a line or of the text.  Between its words
+    a single line break, with what a comment puts before the next line, counts as a space; a blank line does not.
+    """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    plain = F.regexp_replace(F.translate(F.regexp_replace(text, _END, "$1\n"), _UPPER, _LOWER), "[^a-z0-9\n]+", " ")
-    ids = F.transform(F.split(plain, "\n"), lambda s: F.try_element_at(known, F.trim(s)))
+    # Sentences and paragraphs end in ";", other lines in a line break.
+    plain = F.regexp_replace(F.regexp_replace(text, _LEADER, "$1"), r"[.!?;:]\s+", "\n\n")
+    plain = F.regexp_replace(F.translate(plain, _UPPER, _LOWER), "[^a-z0-9\n]+", " ")
+    plain = F.regexp_replace(F.regexp_replace(F.trim(plain), " ?\n ?", "\n"), "\n{2,}+", ";")
+    ids = F.transform(
+        F.regexp_extract_all(plain, F.lit(_known_pattern()), F.lit(0)),
+        lambda s: F.try_element_at(known, F.translate(s, "\n;", "  ")),
+    )
     return F.array_join(F.transform(F.filter(ids, lambda i: i.isNotNull()), lambda i: F.concat(i, F.lit(" "))), "")
 
 

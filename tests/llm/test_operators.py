@@ -374,6 +374,79 @@ def test_licenses(spark, docs, none):
     assert licenses.licenses(none).count() == 0 and licenses.licenses(docs).count() == 0
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2024 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+}
+WRAPPED["BSD-3-Clause"] = WRAPPED["BSD-2-Clause"] + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_wrapped_licenses(spark):
+    rows, want = [], set()
+    for name, text in WRAPPED.items():
+        # Bare, with DOS line ends, and behind the leaders of comments; all after a line without an end.
+        forms = [text, text.replace("\n", "\r\n"), " ".join(text.split())]
+        forms += ["".join(f"{c}{line}\n" for line in text.splitlines()) for c in ("# ", " * ", "// ", ";; ", "REM ", "    ")]
+        for form in forms[:2] + forms[3:] if name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0") else forms:
+            want.add((len(rows), name))
+            rows.append((len(rows), "file of someone\n" + form))
+    # A blank line, or the end of a sentence, still ends it; a word before or after it makes it another.
+    split = WRAPPED["ISC"].replace("any\n", "any\n\n"), "released under\n\nthe MIT License", "not the MIT License", "the MIT. License"
+    rows += [(len(rows) + i, text) for i, text in enumerate(split)]
+    got = licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["license"]) for r in got} == want | {(len(rows) - 3, "MIT")}
+
+
 def test_secrets(spark, none):
     draw = random.Random(9)
     rows, planted = [], set()
