@@ -1,6 +1,6 @@
 """Secret findings, with false positives removed by a random forest.
 
-Long runs of key characters are candidates.  Each is described by its length, how often its characters
+Long runs of key characters, and values that stand by a key word, are candidates.  Each is described by its length, how often its characters
 change kind, how much of it the corpus' frequent words cover, the path it comes from and the words around
 it.  A random forest learned from labelled findings decides.  All of it is DataFrame functions.
 """
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 MIN_LENGTH = 16
+# Characters of a value that stands by a key word, at least.
+MIN_VALUE = 6
 CONTEXT = 60
 DICTIONARY_WORDS = 500
 # Labelled findings that a forest is learned from, at most; those with the least hashes are taken.
@@ -24,11 +26,26 @@ TREES = 20
 DEPTH = 6
 THRESHOLD = 0.5
 
-_RUN = f"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}+"
+# A long run of key characters, with what dots and tildes join to it and its padding.
+_C = "[A-Za-z0-9+/_-]"
+_RUN = (
+    rf"(?<!{_C})(?:{_C}++[.~]){{0,8}}{_C}{{{MIN_LENGTH},}}+(?:[.~]{_C}++){{0,8}}+"
+    rf"""(?:==(?!{_C}|=)|=(?=["'`,;)\]}}<>]|[ \t\r]*(?:\n|$)))?+"""
+)
 # Words that stand by secrets, words that stand by other codes, and paths of examples.
-_KEY_WORDS = r"(?i)(token|secret|passw(or)?d|pwd|api_?key|credential|bearer|auth|private|access)"
+_KEYS = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|credential|bearer|auth|private|access)(?:[_-]?key|s)?"
+_KEY_WORDS = f"(?i){_KEYS}"
 _CODE_WORDS = r"(?i)(sha-?\d*|md5|commit|digest|checksum|hash|uuid|isbn|card|phone|example|placeholder|dummy)"
 _EXAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|doc)"
+# A value that is assigned to a key word or quoted after it, however short its characters make it.
+_IS = r"""["'`]?\s{0,3}(?::=|=>|[=:])\s{0,3}"""
+_VALUE = "|".join(
+    [rf"(?<=[=:>\s]{q})(?<=(?i:{_KEYS})(?:{_IS}|\s{{1,3}}(?:is\s)?){q})[^\s{q}]{{{MIN_VALUE},}}+" for q in "\"'`"]
+    + [
+        rf"""(?<=[=:>]\s{{0,3}})(?<=(?i:{_KEYS}){_IS})[^\s"'`<>,;=:][^\s"'`<>,;]{{{MIN_VALUE - 2},}}[^\s"'`<>,;.:)\]}}]"""
+    ]
+)
+_FOUND = f"{_VALUE}|{_RUN}"
 
 FEATURES = [
     "chars", "changes", "digits", "uppers", "distinct", "hex", "covered",
@@ -37,7 +54,9 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, value, before, after, path): every run of 16 or more key characters.
+    """(doc_id, text_hash, start, value, before, after, path): every run of 16 or more key
+    characters, and every value of 6 or more characters other than space that is assigned to a key word or
+    quoted after it.
 
     ``start`` counts characters from 0, ``path`` is the column ``source`` if there is one.  Null and
     empty texts have no candidates; other columns are ignored; repeated rows give repeated candidates.
@@ -46,10 +65,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     found = docs.select(
         F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), path.alias("path"), text.alias("text"),
-        F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)).alias("runs"),
+        F.regexp_extract_all(text, F.lit(_FOUND), F.lit(0)).alias("runs"),
     ).filter(F.size("runs") > 0)
     # What lies between the runs, one more than there are runs.
-    gaps = found.withColumn("gaps", F.split("text", _RUN)).withColumn("row", F.monotonically_increasing_id())
+    gaps = found.withColumn("gaps", F.split("text", _FOUND)).withColumn("row", F.monotonically_increasing_id())
     each = gaps.select(
         "row", "doc_id", "text_hash", "path",
         F.posexplode(
@@ -58,7 +77,10 @@ def candidates(docs: DataFrame) -> DataFrame:
                 lambda run, i: F.struct(
                     run.alias("value"),
                     F.length(F.get("gaps", i)).alias("gap"),
-                    F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("before"),
+                    # A long name that a value is assigned to is a run itself.
+                    F.right(
+                        F.concat(F.coalesce(F.get("runs", i - 1), F.lit("")), F.get("gaps", i)), F.lit(CONTEXT)
+                    ).alias("before"),
                     F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after"),
                 ),
             )
@@ -107,7 +129,7 @@ def described(found: DataFrame, words: list[str]) -> DataFrame:
             "quoted": flag(before.rlike("""["']$""") & after.rlike("""^["']""")),
             "key_word": flag(before.rlike(_KEY_WORDS + r"\W{0,5}$")),
             "code_word": flag(F.concat(before, after).rlike(r"\b" + _CODE_WORDS + r"\b")),
-            "in_path": flag(before.rlike(r"[/\\]$") | after.rlike(r"^\.[a-z]{2,4}\b") | value.rlike("/.*/")),
+            "in_path": flag(before.rlike(r"[/\\]$") | after.rlike(r"^\.[a-z]{2,4}\b") | value.rlike(r"/.*/|\.[a-z]{2,4}$")),
             "example_path": flag(F.coalesce(F.col("path").rlike(_EXAMPLE_PATH), F.lit(False))),
         }
     )

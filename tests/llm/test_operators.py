@@ -467,6 +467,35 @@ def test_secrets(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_short_and_dotted_secrets(spark):
+    draw = random.Random(5)
+    rows, values = [], {}
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for i in range(240):
+        key = lambda n: "".join(draw.choices(alnum, k=n - 1)) + "7"  # noqa: E731, B023
+        forms = [
+            ('password = "{}"', f"Winter{draw.randrange(1000, 9999)}!"),
+            ("api_key: {}", key(12)),
+            ("MY_SERVICE_DB_PASSWORD={}", f"p@ss#w0rd${key(4)}"),
+            ("pwd='{}'", f"tr0ub4dor.{key(3)}"),
+            ('token = "{}"', f"{key(20)}.{key(30)}.{key(25)}"),
+            ('secret = "{}"', key(22) + "=="),
+            ("the commit was {}", None),
+            ("{}", None),
+        ]
+        form, value = forms[i % len(forms)]
+        shown = form.format(value if value else "incomprehensibilities")
+        rows.append((i, f"some plain words here\n{shown}\nand more words follow", "src"))
+        if value:
+            values[i] = value
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secrets.scan(frame)
+    secret = {(r["doc_id"], r["start"], r["value"]) for r in found.filter("is_secret").collect()}
+    assert secret == {(i, rows[i][1].index(v), v) for i, v in values.items()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(frame, found).collect()}
+    assert all(clean[i] == text.replace(values.get(i, "\0"), "<SECRET>") for i, text, _ in rows)
+
+
 def test_pair_model(docs, none):
     rows = corpus()
     train = [r for r in rows if r[0] % 2]
