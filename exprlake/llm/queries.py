@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from . import decontaminate, jaccard, licenses, ngram_model, packing, passages, quality, repeats, secrets, sharding
+from ..session import materialize, new_scratch_path
+from . import (
+    decontaminate,
+    digest_index,
+    jaccard,
+    licenses,
+    ngram_model,
+    packing,
+    passages,
+    quality,
+    repeats,
+    secrets,
+    sharding,
+)
 from .common import table
 
 SHARDS = 24
+# Loads in which the documents reach the digest index, so that all but the first meet one that holds something.
+LOADS = 2
 
 
 def tokenizer_path() -> str:
@@ -100,6 +114,17 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = digest_index.open_index(docs.sparkSession, new_scratch_path(spark, "digest-index"))
+    arrives = F.pmod(F.xxhash64("doc_id"), F.lit(LOADS))
+    for load in range(LOADS):
+        digest_index.add(index, docs.filter(arrives == load), load)
+    return digest_index.decisions(index).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -111,5 +136,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scans": op9_license_scans,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_exact_dedup": op13_exact_dedup,
 }
-ORACLE: dict[str, str] = {"op9_license_scans": licenses.oracle()}
+ORACLE: dict[str, str] = {"op9_license_scans": licenses.oracle(), "op13_exact_dedup": digest_index.oracle()}
