@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, new_scratch_path
 from . import (
+    alignment,
     decontaminate,
     digest_index,
     jaccard,
@@ -14,11 +19,13 @@ from . import (
     ngram_model,
     packing,
     passages,
+    periodic,
     quality,
     repeats,
     secrets,
     sharding,
 )
+from . import textkit as tk
 from .common import table
 
 SHARDS = 24
@@ -26,10 +33,10 @@ SHARDS = 24
 LOADS = 2
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +121,54 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def planted_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document, every tenth of which is given a long run that its id decides."""
+    g, h = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    n = len(words)
+    if doc_id is None or h or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.slices(batches):
+            ids = tk.column(batch, "doc_id")
+            texts = tk.column(batch, "text").cast(pa.binary()).to_pylist()
+            texts = [b" ".join(planted_words(d, (t or b"").split())).decode() for d, t in zip(ids.to_pylist(), texts)]
+            yield pa.record_batch([ids, pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(plant, "doc_id long, text string")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    # Runs come by start and period, so the first of the greatest wins; exponents are compared exactly.
+    top = F.aggregate(
+        "runs",
+        F.try_element_at("runs", F.lit(1)),
+        lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best),
+    )
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("*", top.alias("top"), F.array_join(line, "").alias("lines")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = digest_index.open_index(docs.sparkSession, new_scratch_path(spark, "digest-index"))
@@ -136,6 +191,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scans": op9_license_scans,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLE: dict[str, str] = {"op9_license_scans": licenses.oracle(), "op13_exact_dedup": digest_index.oracle()}
