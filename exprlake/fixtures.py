@@ -22,6 +22,9 @@ ZERO_UP_TO = 45
 
 _SCHEMAS: dict[str, T.StructType] = {}
 
+# Matrix rows that a part may have where line numbers tell them apart.
+ROWS_PER_PART = 8
+
 # Fixed value: releases of mapping B, named 0 to 4 after the regions.
 RELEASES_B = 5
 
@@ -99,6 +102,31 @@ def sequencing_raw_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sequencing_rows_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a matrix with a row for each (part, line number): a gene stands in up to seven rows."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", _release())
+    return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "job_id",
+        F.col("l_partkey").cast("string").alias("gene_id"),
+        F.col("l_orderkey").cast("string").alias("sequenced_id"),
+        _value().alias("value"),
+        (F.col("l_partkey") * ROWS_PER_PART + F.col("l_linenumber")).alias("gene_row"),
+    )
+
+
+def sequencing_rows_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as above with suppliers as samples: a supplier that sold a part on one line number twice is there twice."""
+    samples = metadata_b(spark, sf_dir).select("job_id", "sequenced_id")
+    cells = table(spark, sf_dir, "lineitem")
+    return cells.join(samples, F.col("l_suppkey").cast("string") == F.col("sequenced_id")).select(
+        "job_id",
+        F.col("l_partkey").cast("string").alias("gene_id"),
+        "sequenced_id",
+        _value().alias("value"),
+        (F.col("l_partkey") * ROWS_PER_PART + F.col("l_linenumber")).alias("gene_row"),
+    )
+
+
 def metadata_raw_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item, so samples repeat; the line number is the ingest order."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", _release())
@@ -247,6 +275,13 @@ SQL = {
         SELECT 'job-' || substr(o_orderpriority, 1, 1) AS job_id, CAST(l_partkey AS VARCHAR) AS gene_id,
                CAST(l_orderkey AS VARCHAR) AS sequenced_id, greatest(l_quantity - 45, 0) AS value
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+    "sequencing_rows_a": """
+        SELECT 'job-' || substr(o_orderpriority, 1, 1) AS job_id, CAST(l_partkey AS VARCHAR) AS gene_id,
+               CAST(l_orderkey AS VARCHAR) AS sequenced_id, l_partkey * 8 + l_linenumber AS gene_row
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+    "sequencing_rows_b": """
+        SELECT m.job_id, CAST(l_partkey AS VARCHAR) AS gene_id, m.sequenced_id, l_partkey * 8 + l_linenumber AS gene_row
+        FROM lineitem JOIN metadata_b m ON m.sequenced_id = CAST(l_suppkey AS VARCHAR)""",
     "metadata_raw_a": """
         SELECT CAST(l_orderkey AS VARCHAR) AS sequenced_id, 'job-' || substr(o_orderpriority, 1, 1) AS job_id,
                l_returnflag AS cell_line, (o_orderstatus = 'F') AS is_control,

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import conform_to, is_numeric, quoted, sample_id
 from ..functions.ranking import index_within
-from ..schemas import SEQUENCING
+from ..schemas import SEQUENCING, SEQUENCING_ROWS
 from ..session import measured_side
 
 # Sizes at which the report on a combined wide matrix says "warn" and "fallback".
@@ -74,9 +74,12 @@ def to_long(
     samples: list[str] | None = None,
     job_id: str | None = None,
     keep_nulls: bool = True,
+    with_rows: bool = False,
 ) -> DataFrame:
     """Turn a wide matrix long.  ``samples`` limits the Parquet columns that are read.
 
+    ``with_rows`` adds `gene_row`, an ordinal of the row a cell comes from.
+
     One array of (name, value) pairs per gene row is exploded; on 1,000 columns this
     runs about four times faster than `unpivot`, which re-reads the row per column.
     """
@@ -85,14 +88,16 @@ def to_long(
         samples = [c for c in wide.columns if c != gene_col]
     gene = known_gene(F.col(quoted(gene_col))).alias("gene_id")
     job = F.lit(job_id).cast("string").alias("job_id")
+    row = [F.monotonically_increasing_id().alias("gene_row")] if with_rows else []
     if not samples:
-        return conform_to(wide.select(job, gene).limit(0), SEQUENCING)
+        return conform_to(wide.select(job, gene, *row).limit(0), SEQUENCING_ROWS if with_rows else SEQUENCING)
     # Expression texts: a Column object per sample would take seconds on wide frames.
     names = "array(" + ", ".join(f"'{_escaped(s)}'" for s in samples) + ")"
     cells = F.arrays_zip(F.expr(names).alias("sequenced_id"), F.expr(_values(wide, samples)).alias("value"))
     if not keep_nulls:
         cells = F.filter(cells, lambda cell: cell["value"].isNotNull())
-    return wide.select(job, gene, F.inline(cells).alias("sequenced_id", "value"))
+    long = wide.select(job, gene, *row, F.inline(cells).alias("sequenced_id", "value"))
+    return long.select(*SEQUENCING_ROWS.fieldNames()) if with_rows else long
 
 
 def _escaped(text: str) -> str:
@@ -153,7 +158,7 @@ def to_blocks(
     same = F.col("job_id").eqNullSafe(F.col("__job")) & F.col("sequenced_id").eqNullSafe(F.col("__id"))
     placed = long.join(here, same).select("gene_id", _unnamed_in(), "block", "position", "value")
     cells = _side_by_side(
-        placed, ["gene_id", "__unnamed_in", "block"], "position", {f"c{i}": F.lit(i) for i in range(width)}
+        placed, ["gene_id", "__unnamed_in", "block"], "position", {f"c{i}": i for i in range(width)}
     )
     return WideBlocks(_finished(cells, long, extra_genes, fill_value), samples)
 
@@ -190,7 +195,7 @@ def to_wide(
         chosen.select("gene_id", _unnamed_in(), "sequenced_id", "value"),
         ["gene_id", "__unnamed_in"],
         "sequenced_id",
-        {s: F.lit(s) for s in samples},
+        {s: s for s in samples},
     )
     return _finished(cells, long, extra_genes, fill_value)
 
@@ -205,21 +210,22 @@ def _unnamed_in() -> Column:
     return F.when(F.col("gene_id") == NO_GENE_ID, F.col("job_id")).alias("__unnamed_in")
 
 
-def _side_by_side(cells: DataFrame, row: list[str], slot: str, columns: dict[str, Column]) -> DataFrame:
+def _side_by_side(cells: DataFrame, row: list[str], slot: str, columns: dict[str, object]) -> DataFrame:
     """One row for each ``row`` key (and repetition), one column per slot; one shuffle.
 
     Cells move while they are long: pivoting in the map tasks first would send a full-width row
     per gene and task.  The window and the groups need no shuffle of their own, as they are finer
-    than the keys the cells were dealt by.
+    than the keys the cells were dealt by.  A cell is written to its place once, whatever the number of columns.
     """
     repeated = Window.partitionBy(*row, slot).orderBy("value")
     cells = cells.repartition(*row).withColumn("__repeat", F.row_number().over(repeated))
-    # Columns get plain names first, so that no sample can clash with a key.
-    aggregates = [
-        F.max(F.when(F.col(slot) == where, F.col("value"))).alias(f"__v{i}") for i, where in enumerate(columns.values())
-    ]
     grouped = cells.groupBy(*row, "__repeat")
-    wide = grouped.agg(*aggregates) if aggregates else grouped.agg(F.count(F.lit(1)))
+    if columns:
+        wide = grouped.pivot(slot, list(columns.values())).agg(F.first("value"))
+    else:
+        wide = grouped.agg(F.count(F.lit(1)))
+    # Columns get plain names first, so that no sample can clash with a key.
+    wide = wide.toDF(*row, "__repeat", *[f"__v{i}" for i in range(len(wide.columns) - len(row) - 1)])
     named = [F.col(f"__v{i}").alias(name) for i, name in enumerate(columns)]
     return wide.select(*[c for c in row if c != "__unnamed_in"], *named)
 

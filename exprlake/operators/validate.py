@@ -9,7 +9,8 @@ from ..functions.columns import sample_id
 from ..functions.facts import one_row_per_release
 from ..functions.ranking import first_rows
 from ..schemas import REPORT
-from .matrix import gene_counts
+from ..session import materialize
+from . import coverage as cv
 
 PREVIEW_IDS = 5
 
@@ -18,6 +19,8 @@ MATRIX_EMPTY = "parquet returned 0 rows"
 METADATA_EMPTY = "metadata returned 0 rows"
 NO_SAMPLE_COLUMN = "metadata missing 'sequenced_id' column"
 NO_OVERLAP = "no overlapping samples between metadata and parquet"
+MATRIX_DUPLICATES = "parquet has duplicate sample columns"
+METADATA_DUPLICATES = "metadata has duplicate sequenced_id rows"
 ONLY_IN_MATRIX = "sample(s) in parquet but missing from metadata"
 ONLY_IN_METADATA = "sample(s) in metadata but missing from parquet"
 
@@ -78,15 +81,19 @@ def metadata_counts(metadata: DataFrame) -> DataFrame:
 
 
 def validate_counts(sequencing: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Genes, samples on each side and shared samples of each release."""
-    sides = side_counts(reconcile(sequencing, metadata))
-    return one_row_per_release([sides, gene_counts(sequencing), metadata_counts(metadata)]).select(
+    """Gene rows, samples on each side and shared samples of each release."""
+    covered = materialize(cv.coverage(sequencing), "coverage")
+    sides = side_counts(reconcile(covered, metadata))
+    return one_row_per_release([sides, cv.row_counts(covered), metadata_counts(metadata)]).select(
         "job_id", "n_genes", "n_samples_metadata", "n_samples_parquet", "n_samples_intersection"
     )
 
 
 def duplicate_cells(sequencing: DataFrame) -> DataFrame:
-    """Per release, matrix cells beyond the first of their (gene, sample)."""
+    """Per release, matrix cells beyond the first of their (gene, sample).
+
+    For tables bucketed by (release, gene), where this shuffles nothing; `coverage.duplicate_cells` needs no layout.
+    """
     return (
         sequencing.groupBy("job_id", "gene_id", "sequenced_id")
         .agg(F.count(F.lit(1)).alias("__n"))
@@ -138,11 +145,15 @@ def release_report(
 ) -> DataFrame:
     """One REPORT row for each release of ``catalog``.
 
-    ``problems`` names releases whose load or columns failed before any row was read.
+    ``problems`` names releases whose load or columns failed before any row was read.  The matrix is read
+    once: its coverage, at a bit for each cell, answers for its rows, samples and duplicates.  With a
+    `gene_row` in ``sequencing`` a gene in two rows counts twice and is no duplicate; without one, two cells
+    of one gene and sample are.
     """
+    covered = materialize(cv.coverage(sequencing), "coverage")
     if "sequenced_id" not in metadata.columns:  # no release has it; `problems` says so
         metadata = metadata.withColumn("sequenced_id", F.lit(None).cast("string"))
-    sides = reconcile(sequencing, metadata)
+    sides = reconcile(covered, metadata)
     previews = (
         issue_previews(sides)
         .groupBy("job_id")
@@ -152,10 +163,10 @@ def release_report(
         )
     )
     parts = [
-        gene_counts(sequencing),
+        cv.row_counts(covered),
         metadata_counts(metadata),
         side_counts(sides),
-        duplicate_cells(sequencing),
+        cv.duplicate_cells(covered),
         previews,
     ]
     kinds = [LOAD_FAILED, SAMPLE_COLUMN_MISSING, GENE_COLUMN_MISSING]
@@ -179,10 +190,8 @@ def release_report(
     readable = F.col("__structural").isNull()
     issues = F.array_compact(
         F.array(
-            duplicate_text(F.col("n_duplicate_cells"), "parquet has duplicate sample columns"),
-            duplicate_text(
-                F.col("n_samples_metadata") - F.col("n_metadata_ids"), "metadata has duplicate sequenced_id rows"
-            ),
+            duplicate_text(F.col("n_duplicate_cells"), MATRIX_DUPLICATES),
+            duplicate_text(F.col("n_samples_metadata") - F.col("n_metadata_ids"), METADATA_DUPLICATES),
             preview_text(F.col("n_only_matrix"), ONLY_IN_MATRIX, F.col("matrix_preview")),
             preview_text(F.col("n_only_metadata"), ONLY_IN_METADATA, F.col("metadata_preview")),
         )

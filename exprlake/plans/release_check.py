@@ -49,7 +49,8 @@ def validate_releases(
 
     sequencing = source.sequencing(spark, job_ids)
     metadata = source.metadata(spark, job_ids)
-    reports = release_report(catalog, sequencing, metadata, source.problems(spark, job_ids))
+    rows = source.sequencing(spark, job_ids, with_rows=True)
+    reports = release_report(catalog, rows, metadata, source.problems(spark, job_ids))
     if output_path is not None:
         reports = materialize(reports, "release-report")
         reports = _export(spark, source, reports, sequencing, job_ids, output_path)

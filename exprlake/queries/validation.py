@@ -81,6 +81,14 @@ def release_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def validate_repeated_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of matrices whose genes stand in several rows, without and with repeated sample columns."""
+    catalog = fx.catalog_a(spark, sf_dir).unionByName(fx.catalog_b(spark, sf_dir))
+    rows = fx.sequencing_rows_a(spark, sf_dir).unionByName(fx.sequencing_rows_b(spark, sf_dir))
+    samples = [m.select("job_id", "sequenced_id") for m in (fx.metadata_a(spark, sf_dir), fx.metadata_b(spark, sf_dir))]
+    return _report_columns(vd.release_report(catalog, rows, samples[0].unionByName(samples[1])))
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports over releases that fail in different ways.
 
@@ -157,6 +165,7 @@ QUERIES = {
     "duplicate_samples": duplicate_samples,
     "issue_preview": issue_preview,
     "release_status": release_status,
+    "validate_repeated_genes": validate_repeated_genes,
     "validate_fatal": validate_fatal,
     "validation_summary": validation_summary,
     "validate_releases": validate_releases,
@@ -178,8 +187,8 @@ def _sides(matrix: str, metadata: str) -> str:
                      FROM ranked WHERE place <= 5 GROUP BY 1, 2)"""
 
 
-def _report(catalog: str, matrix: str, metadata: str) -> str:
-    """Report rows in DuckDB; `_sides` has to come before."""
+def _report(catalog: str, matrix: str, metadata: str, row: str = "gene_id") -> str:
+    """Report rows in DuckDB; `_sides` has to come before.  ``row`` names the rows of the matrix."""
 
     def preview(alias: str, what: str) -> str:
         more = f"CASE WHEN {alias}.n > 5 THEN ', ... (+' || ({alias}.n - 5) || ' more)' ELSE '' END"
@@ -189,13 +198,13 @@ def _report(catalog: str, matrix: str, metadata: str) -> str:
         return f"CASE WHEN {n} > 0 THEN '{what} (' || CAST({n} AS BIGINT) || ' duplicates)' END"
 
     return f"""
-        g AS (SELECT job_id, count(DISTINCT gene_id) AS n_genes, count(DISTINCT sequenced_id) AS n_matrix
+        g AS (SELECT job_id, count(DISTINCT {row}) AS n_genes, count(DISTINCT sequenced_id) AS n_matrix
               FROM {matrix} GROUP BY 1),
         d AS (SELECT job_id, count(*) AS n_meta, count(DISTINCT sequenced_id) AS n_ids FROM {metadata} GROUP BY 1),
         b AS (SELECT job_id, count(*) AS n_both
               FROM (SELECT * FROM ms INTERSECT SELECT * FROM ds) GROUP BY 1),
         dup AS (SELECT job_id, sum(n - 1) AS n_dup
-                FROM (SELECT job_id, gene_id, sequenced_id, count(*) AS n FROM {matrix} GROUP BY 1, 2, 3)
+                FROM (SELECT job_id, {row}, sequenced_id, count(*) AS n FROM {matrix} GROUP BY 1, 2, 3)
                 WHERE n > 1 GROUP BY 1),
         facts AS (
             SELECT c.job_id, c.job_name, n_genes, n_meta, n_matrix, coalesce(n_both, 0) AS n_both,
@@ -286,6 +295,15 @@ ORACLE = {
         f""", {_QC}, {_sides("sequencing_raw_a", "qc")}, {_report("catalog_a", "sequencing_raw_a", "qc")}
            SELECT {_REPORT_COLUMNS} FROM report""",
     ),
+    "validate_repeated_genes": fx.with_views(
+        "catalog_a metadata_a sequencing_rows_a catalog_b metadata_b sequencing_rows_b",
+        f""", cat AS (SELECT * FROM catalog_a UNION ALL SELECT * FROM catalog_b),
+             mat AS (SELECT * FROM sequencing_rows_a UNION ALL SELECT * FROM sequencing_rows_b),
+             met AS (SELECT job_id, sequenced_id FROM metadata_a
+                     UNION ALL SELECT job_id, sequenced_id FROM metadata_b),
+             {_sides("mat", "met")}, {_report("cat", "mat", "met", "gene_row")}
+           SELECT {_REPORT_COLUMNS} FROM report""",
+    ),
     "validate_fatal": fx.with_views(
         _MIXED_VIEWS, f"{_MIXED} SELECT job_id, n_genes, n_samples_intersection, fatal, status FROM report"
     ),

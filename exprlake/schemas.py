@@ -77,6 +77,9 @@ SEQUENCING = _struct(
     ("value", _REAL),
 )
 
+# The same with the ordinal of the matrix row that a cell comes from, where its source has one.
+SEQUENCING_ROWS = T.StructType([*SEQUENCING.fields, T.StructField("gene_row", _INT, True)])
+
 # A release part that could not be read, or a column check that failed.
 PROBLEMS = _struct(("job_id", _TEXT), ("source", _TEXT), ("message", _TEXT))
 
