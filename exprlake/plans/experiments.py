@@ -19,6 +19,7 @@ from ..operators.matrix import (
 )
 from ..schemas import CHEMISTRY
 from ..session import measured_side
+from ..sources.store import Store
 from .sql import query
 
 
@@ -146,7 +147,8 @@ def load_experiments(
     if sql is not None:
         only = job_ids if filter_scope == "requested" else None
         metadata, ids = filter_metadata_by_sql(spark, source, metadata, sql, only)
-        data = keep_samples(data, ids)
+        # A store reads only where the chosen samples lie.
+        data = source.sequencing_of(spark, ids, job_ids) if isinstance(source, Store) else keep_samples(data, ids)
     genes = measured_side(expressed_genes(data, scope), "expressed-genes")
     return Combined(
         data=drop_unexpressed(data, scope, genes),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,16 @@ from ..plans.experiments import load_experiment
 from ..session import new_scratch_path
 from ..sources.catalog import catalog_stats, resolve_jobs, select_wanted
 from ..sources.files import ReleaseFiles
-from ..sources.store import write_catalog, write_chemistry, write_matrix, write_metadata, write_wide
+from ..sources.store import (
+    Store,
+    append,
+    open_store,
+    write_catalog,
+    write_chemistry,
+    write_matrix,
+    write_metadata,
+    write_wide,
+)
 
 
 @dataclass(frozen=True)
@@ -28,6 +37,33 @@ class _Store:
 _STORES: dict[tuple[str, str, str], _Store] = {}
 
 
+# Loads in which samples reach the ingested store, so that its statistics have something to be merged with.
+LOADS = 2
+# Samples whose ids start like this, neighbours in rank as those of one plate would be: under one in a hundred.
+PLATE = "121"
+
+_INGESTED: dict[tuple[str, str], str] = {}
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> Store:
+    """Mapping A in an ingested store; each load brings samples to all releases.  Written once, like `_store`."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INGESTED:
+        root = new_scratch_path(spark, "ingested")
+        whole = fx.release_a(sf_dir)
+        for load in range(LOADS):
+            here = F.pmod(F.xxhash64("sequenced_id"), F.lit(LOADS)) == load
+            arrived = replace(
+                whole,
+                metadata_table=lambda s, here=here: whole.metadata_table(s).filter(here),
+                chemistry_table=lambda s, load=load: whole.chemistry_table(s).filter(F.lit(load == 0)),
+                sequencing_table=lambda s, here=here: whole.sequencing_table(s).filter(here),
+            )
+            append(spark, arrived, root)
+        _INGESTED[key] = root
+    return open_store(_INGESTED[key])
+
+
 def _store(spark: SparkSession, sf_dir: str, mapping: str) -> _Store:
     """The tables of one mapping as files; written once per application and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir, mapping)
@@ -188,6 +224,38 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the statistics that each load left in the store; the matrix is not read."""
+    return _ingested(spark, sf_dir).stats(spark).select(
+        "job_id",
+        "datapoint_count",
+        "metadata_row_count",
+        F.array_join("cell_lines", ",").alias("cell_lines"),
+        F.array_join("timepoints", ",").alias("timepoints"),
+    )
+
+
+def stored_size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested(spark, sf_dir).sizes(spark)
+
+
+def zorder_keep_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of neighbouring samples, from the row groups that can hold them."""
+    ids = fx.metadata_a(spark, sf_dir).select("sequenced_id").filter(F.col("sequenced_id").startswith(PLATE))
+    return _ingested(spark, sf_dir).sequencing_of(spark, ids)
+
+
+def wide_gene_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, cells and totals of every wide release, all read in one stage."""
+    cells = _store(spark, sf_dir, "b").files.sequencing(spark, with_rows=True)
+    rows = cells.groupBy("job_id", "gene_id", "gene_row").agg(
+        F.count("value").alias("n_cells"), F.sum("value").alias("total_value")
+    )
+    return rows.groupBy("job_id", "gene_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("n_cells").alias("n_cells"), F.sum("total_value").alias("total_value")
+    )
+
+
 def union_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sample tables with different columns."""
     return concat_metadata(spark, [fx.metadata_a(spark, sf_dir), fx.metadata_b(spark, sf_dir)])
@@ -209,6 +277,10 @@ QUERIES = {
     "resolve_job": resolve_job,
     "select_releases": select_releases,
     "catalog_stats": stats,
+    "stored_catalog_stats": stored_catalog_stats,
+    "stored_size_estimate": stored_size_estimate,
+    "zorder_keep_samples": zorder_keep_samples,
+    "wide_gene_rows": wide_gene_rows,
     "concat_metadata": union_metadata,
     "concat_chemistry": union_chemistry,
 }
@@ -221,6 +293,13 @@ _STATS = """
                         string_agg(DISTINCT timepoint, ',' ORDER BY timepoint) AS timepoints
                  FROM metadata_a GROUP BY 1)"""
 
+_CATALOG_STATS = fx.with_views(
+    "metadata_a sequencing_a",
+    f""", {_STATS}
+    SELECT meta.job_id, datapoint_count, metadata_row_count, cell_lines, timepoints
+    FROM meta JOIN cells ON cells.job_id = meta.job_id""",
+)
+
 ORACLE = {
     "list_datasets": fx.with_views(
         "catalog_a metadata_a sequencing_a",
@@ -275,11 +354,21 @@ ORACLE = {
               OR job_name IN (SELECT substr(o_orderpriority, 3) FROM orders
                               WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders))""",
     ),
-    "catalog_stats": fx.with_views(
-        "metadata_a sequencing_a",
-        f""", {_STATS}
-        SELECT meta.job_id, datapoint_count, metadata_row_count, cell_lines, timepoints
-        FROM meta JOIN cells ON cells.job_id = meta.job_id""",
+    "catalog_stats": _CATALOG_STATS,
+    "stored_catalog_stats": _CATALOG_STATS,
+    "stored_size_estimate": fx.with_views(
+        "sequencing_a",
+        """SELECT job_id, count(DISTINCT gene_id) AS n_genes, count(DISTINCT sequenced_id) AS n_samples,
+                  CAST(count(DISTINCT gene_id) * count(DISTINCT sequenced_id) * 8 AS BIGINT) AS estimated_bytes
+           FROM sequencing_a GROUP BY 1""",
+    ),
+    "zorder_keep_samples": fx.with_views(
+        "sequencing_a", f"SELECT * FROM sequencing_a WHERE sequenced_id LIKE '{PLATE}%'"
+    ),
+    "wide_gene_rows": fx.with_views(
+        "metadata_b observed_b",
+        """SELECT job_id, gene_id, CAST(1 AS BIGINT) AS n_rows, count(value) AS n_cells, sum(value) AS total_value
+           FROM observed_b GROUP BY 1, 2""",
     ),
     "concat_metadata": fx.with_views(
         "metadata_a metadata_b",

@@ -24,9 +24,10 @@ from ..functions.columns import conform_to, quoted
 from ..operators.matrix import gene_column, to_long
 from ..operators.union import concat_metadata, empty_chemistry
 from ..operators.validate import GENE_COLUMN_MISSING, LOAD_FAILED, SAMPLE_COLUMN_MISSING
-from ..schemas import CHEMISTRY, PROBLEMS, SEQUENCING
+from ..schemas import CHEMISTRY, PROBLEMS, SEQUENCING, SEQUENCING_ROWS
 from ..session import small_frame
 from .catalog import list_datasets, read_documents, resolve_all, resolve_dataset_url, resolve_job
+from .wide import LONG_COLUMNS, Wide, look_at, read_wide, readable_by_arrow
 
 logger = logging.getLogger(__name__)
 
@@ -38,7 +39,6 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
 # A quoted value may hold line breaks, so a file is read by one task; large metadata is a folder of many files.
 CSV_READ_OPTIONS = {**CSV_OPTIONS, "enforceSchema": "false", "multiLine": "true"}
 PARTS = ("data_path", "metadata_path", "chemistry_path")
-LONG_COLUMNS = {"gene_id", "sequenced_id", "value"}
 
 
 @dataclass(frozen=True)
@@ -169,34 +169,57 @@ def broken_chemistry(spark: SparkSession, entries: list[Entry]) -> DataFrame:
 # --- matrix --------------------------------------------------------------------------
 
 
-def is_long(schema: T.StructType) -> bool:
-    return LONG_COLUMNS <= set(schema.fieldNames())
+# A footer's schema, or of a wide matrix that Arrow can read what there is to know.
+Shape = T.StructType | Wide
 
 
-def gene_column_problems(entries: list[Entry], schemas: list[T.StructType]) -> list[tuple[str, str]]:
+def is_long(shape: Shape) -> bool:
+    return not isinstance(shape, Wide) and LONG_COLUMNS <= set(shape.fieldNames())
+
+
+def gene_column_problems(entries: list[Entry], shapes: list[Shape]) -> list[tuple[str, str]]:
     """(job, message) of the wide releases without a gene column."""
     problems = []
-    for entry, schema in zip(entries, schemas):
-        if not is_long(schema):
+    for entry, shape in zip(entries, shapes):
+        if isinstance(shape, Wide):
+            if shape.problem is not None:
+                problems.append((entry.job_id, shape.problem))
+        elif not is_long(shape):
             try:
-                gene_column(schema)
+                gene_column(shape)
             except ValueError as exc:
                 problems.append((entry.job_id, str(exc)))
     return problems
 
 
+def shapes_ahead(spark: SparkSession, entries: list[Entry]) -> dict[Entry, tuple[object, str | None]]:
+    """Shapes of all wide matrices that Arrow can read, looked at in one job; the others are left to Spark."""
+    reachable = [e for e in entries if readable_by_arrow(e.path)]
+    if not reachable:
+        return {}
+    seen = look_at(spark, [(e.path, e.is_folder) for e in reachable])
+    return {e: (shape, None) for e, (shape, _) in zip(reachable, seen) if shape is not None}
+
+
 def read_sequencing(
-    spark: SparkSession, entries: list[Entry], schemas: list[T.StructType], keep_nulls: bool = True
+    spark: SparkSession,
+    entries: list[Entry],
+    schemas: list[Shape],
+    keep_nulls: bool = True,
+    with_rows: bool = False,
 ) -> DataFrame:
     """The long matrix of all given releases; those without a gene column are left out.
 
     Long releases in `job_id=...` folders of one store are a single scan with `job_id` as
-    partition column.  Wide releases differ in their columns and are read one by one; ingest
-    them once (`store.ingest`) to get the single scan.
+    partition column.  Wide releases differ in their columns, so Spark could only scan them one by one;
+    all of them together are one work list of Parquet parts (`wide.read_wide`), where Arrow can reach their files.
+    ``with_rows`` adds `gene_row`, the ordinal of a cell's matrix row, NULL where the source has none.
     """
+    target = SEQUENCING_ROWS if with_rows else SEQUENCING
     unusable = {job for job, _ in gene_column_problems(entries, schemas)}
     frames: list[DataFrame] = []
     stores: dict[str, list[str]] = defaultdict(list)
+    listed: list[tuple[Entry, str]] = []
     for entry, schema in zip(entries, schemas):
         root, _, folder = entry.path.rstrip("/").rpartition("/")
         if entry.job_id in unusable:
@@ -205,15 +228,21 @@ def read_sequencing(
             stores[root].append(entry.path)
         elif is_long(schema):
             rows = spark.read.schema(schema).parquet(entry.path).withColumn("job_id", F.lit(entry.job_id))
-            frames.append(conform_to(rows, SEQUENCING))
+            frames.append(conform_to(rows, target))
+        elif isinstance(schema, Wide):
+            listed.append((entry, schema.gene_column))
         else:
             wide = spark.read.schema(schema).parquet(entry.path)
-            frames.append(to_long(wide, gene_column(schema), job_id=entry.job_id, keep_nulls=keep_nulls))
+            long = to_long(wide, gene_column(schema), job_id=entry.job_id, keep_nulls=keep_nulls, with_rows=with_rows)
+            frames.append(conform_to(long, target))
+    if listed:
+        rows = read_wide(spark, [(e.job_id, e.path, e.is_folder, gene) for e, gene in listed], keep_nulls)
+        frames.append(conform_to(rows, target))
     for root, paths in stores.items():
-        rows = spark.read.schema(SEQUENCING).option("basePath", root).parquet(*paths)
-        frames.append(conform_to(rows, SEQUENCING))
+        rows = spark.read.schema(target).option("basePath", root).parquet(*paths)
+        frames.append(conform_to(rows, target))
     if not frames:
-        return spark.createDataFrame([], SEQUENCING)
+        return spark.createDataFrame([], target)
     long = reduce(DataFrame.unionByName, frames)
     return long if keep_nulls else long.filter(F.col("value").isNotNull())
 
@@ -267,10 +296,15 @@ class ReleaseFiles:
         return read_chemistry(spark, present)
 
     def sequencing(
-        self, spark: SparkSession, job_ids: list[str] | None = None, keep_nulls: bool = True
+        self, spark: SparkSession, job_ids: list[str] | None = None, keep_nulls: bool = True, with_rows: bool = False
     ) -> DataFrame:
         present, schemas, _ = self._schemas(spark, job_ids)
-        return read_sequencing(spark, present, schemas, keep_nulls)
+        return read_sequencing(spark, present, schemas, keep_nulls, with_rows)
+
+    def is_one_scan(self, spark: SparkSession) -> bool:
+        """Whether the matrices of all releases are read by plans of one size, however many they are."""
+        present, shapes, _ = self._schemas(spark, None)
+        return all(is_long(s) or isinstance(s, Wide) for _, s in zip(present, shapes))
 
     def problems(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
         """What keeps a release from being checked: matrix missing or unreadable, columns missing."""
@@ -326,19 +360,25 @@ class ReleaseFiles:
         return self._look_up(spark, "metadata_path", job_ids, lambda e: csv_header(spark, e))
 
     def _schemas(self, spark: SparkSession, job_ids: list[str] | None):
-        return self._look_up(spark, "data_path", job_ids, lambda e: spark.read.parquet(e.path).schema)
+        def read(entry: Entry) -> T.StructType:
+            return spark.read.parquet(entry.path).schema
+
+        return self._look_up(spark, "data_path", job_ids, read, shapes_ahead)
 
     def _look_up(
-        self, spark: SparkSession, part: str, job_ids: list[str] | None, read
+        self, spark: SparkSession, part: str, job_ids: list[str] | None, read, ahead=lambda spark, entries: {}
     ) -> tuple[list[Entry], list, list[tuple[str, str]]]:
         """The readable files of one part, their headers or footers, and (job, message) for the others.
 
-        A header or footer is read once for each state of its file; a failure is not remembered.
+        A header or footer is read once for each state of its file; a failure is not remembered.  What
+        ``ahead`` finds for many files at once is not read again.
         """
         present, missing = self._entries(spark, part, job_ids)
         new = [e for e in present if (part, e.path, e.changed_at) not in self._looked_up]
         failed: dict[Entry, str] = {}
-        for entry, (found, error) in zip(new, _map(lambda e: _attempt(read, e), new)):
+        known_ahead = ahead(spark, new)
+        seen = _map(lambda e: known_ahead.get(e) or _attempt(read, e), new)
+        for entry, (found, error) in zip(new, seen):
             if error is None:
                 self._looked_up[part, entry.path, entry.changed_at] = found
             else:

@@ -46,8 +46,12 @@ class ReleaseFrames:
     def chemistry(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
         return _only(self.chemistry_table(spark), job_ids)
 
-    def sequencing(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
-        return _only(self.sequencing_table(spark), job_ids)
+    def sequencing(
+        self, spark: SparkSession, job_ids: list[str] | None = None, with_rows: bool = False
+    ) -> DataFrame:
+        """The long matrix; ``with_rows`` keeps the `gene_row` of a table that has one."""
+        cells = _only(self.sequencing_table(spark), job_ids)
+        return cells if with_rows else cells.drop("gene_row")
 
     def load_dataset(self, spark: SparkSession, job: str) -> DataFrame:
         """The matrix of one release, wide.  Runs a job to learn the names of its columns."""
