@@ -1,8 +1,8 @@
 """One check query per operator: a Spark callable and, for DuckDB, the SQL it has to equal."""
 
-from . import matrix, sources, sql, validation
+from . import analytics, matrix, sources, sql, validation
 
-_MODULES = (sources, sql, matrix, validation)
+_MODULES = (sources, sql, matrix, validation, analytics)
 
 
 def all_queries() -> dict:
