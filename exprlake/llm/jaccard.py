@@ -1,8 +1,7 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Texts with the same set of shingles are one class, joined by their digest.  Different sets that are near
-enough agree in at least one of ``d + 1`` hash ranges, where ``d`` is the largest number of shingles in
-which they may differ; equal ranges (Spark joins on their hashes) tell which classes have to meet.  Classes
+enough share one of their rarest shingles (`prefixes`), which tells which classes have to meet.  Classes
 that hang together that way go to one block.  In a block, the search is DivideSkip: each shingle
 has the list of classes that hold it, a class merges its short lists with a heap, keeps what occurs often
 enough, and looks it up in the long lists by binary search until the required overlap is reached or out of
@@ -12,19 +11,19 @@ reach.
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import textkit as tk
 from .common import components
+from .prefixes import BATCH_BYTES, COLUMNS, pack, shard_bits, shared_prefixes
 
 WORDS = 3
 PERCENT = 90
@@ -38,10 +37,8 @@ SETTLE = 500
 FIRST = 16
 # Entries that a heap merges for one set.
 HEAP_ENTRIES = 2_000
-# Set sizes are cut into bands that grow by this factor.
-BAND = 1.15
 
-_SETS = "doc_id long, text_hash long, n_shingles long, class long, keys array<long>"
+_DOCS = "docs array<struct<doc_id:long,text_hash:long,n_shingles:long,class:long>>"
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,65 +63,11 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarra
     return shingle[new], of[new]
 
 
-def _bands(limit: int) -> list[int]:
-    edges = [1]
-    while edges[-1] <= limit:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
-    return edges
-
-
-def _class_and_keys(sets: np.ndarray, of: np.ndarray, rows: int, share: Fraction) -> tuple[np.ndarray, list]:
-    """Digest of each row's set, and hashes of the ranges in which a near set may agree."""
-    cuts = np.searchsorted(of, np.arange(rows + 1))
-    size = np.diff(cuts)
+def digests(sets: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
+    """Digest of each row's set."""
     digest = np.zeros(rows, np.uint64)
     np.add.at(digest, of, tk.mix(sets ^ np.uint64(0x5851F42D4C957F2D)))
-    digest = tk.mix(digest + size.astype(np.uint64))
-    edges = _bands(int(size.max(initial=0) / share) + 1)
-    keys: list = []
-    for i in range(rows):
-        found = []
-        if size[i]:
-            x = sets[cuts[i] : cuts[i + 1]]
-            own = int(np.searchsorted(edges, size[i], side="right")) - 1
-            band = own
-            # A smaller set meets every band above its own in which a set may be near enough.
-            while band == own or share * edges[band] <= int(size[i]):
-                found.append(_range_keys(x, band, edges[band], edges[band + 1] - 1, share))
-                band += 1
-        keys.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
-    return digest, keys
-
-
-@lru_cache(maxsize=None)
-def _ranges(smallest: int, largest: int, share: Fraction) -> tuple[int, int]:
-    """Into how many ranges sets of a band are cut, and how many of them may be empty.
-
-    Near sets differ in some ranges at most and agree in the others, which are one more than may be empty.
-    """
-    # |a| + |b| - 2 |a and b| <= (|a| + |b|) (1 - s) / (1 + s) for similarity s.
-    differ = int(2 * largest * (1 - share) / (1 + share))
-    empty = 1
-    for _ in range(20):
-        ranges = differ + 1 + empty
-        expected = ranges * math.exp(-float(smallest * share) / ranges)
-        empty = math.ceil(1 + expected + 3 * math.sqrt(expected))
-    return (differ + 1 + empty if differ else 0), empty
-
-
-def _range_keys(x: np.ndarray, band: int, smallest: int, largest: int, share: Fraction) -> np.ndarray:
-    ranges, may_be_empty = _ranges(smallest, largest, share)
-    if not ranges:
-        return np.zeros(0, np.uint64)  # only equal sets are near
-    part = ((x >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-    new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    sums = np.add.reduceat(tk.mix(x), new)
-    part = part[new]
-    if ranges - len(part) > may_be_empty:
-        # Sets with more empty ranges may agree in those alone, so these count like any other.
-        empty = np.setdiff1d(np.arange(ranges), part)
-        part, sums = np.r_[part, empty], np.r_[sums, np.zeros(len(empty), np.uint64)]
-    return tk.mix(sums + tk.mix(part.astype(np.uint64) + (np.uint64(band) << np.uint64(32))))
+    return tk.mix(digest + np.bincount(of, minlength=rows).astype(np.uint64))
 
 
 def jaccard_groups(
@@ -135,56 +78,80 @@ def jaccard_groups(
     block_classes: int = BLOCK_CLASSES,
     count_links: bool = True,
 ) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, n_links) of every document.
+    """(doc_id, text_hash, n_shingles, component_id, n_links) of every document, of null doc_ids too.
 
     Two documents link when their sets of word shingles have a Jaccard similarity of at least ``percent``
     per cent; ``component_id`` is the least doc_id that links lead to, ``n_links`` the number of other
     documents it links with, null unless ``count_links``: groups alone are found without looking at
     pairs whose documents are known to hang together.  A text without words, or null, has no shingles and links with nothing.
     Columns other than doc_id and text are ignored; repeated rows link with each other; an empty table
-    gives no rows.  Shingles are compared by 64-bit hashes.
+    gives no rows.  Shingles are compared by 64-bit hashes.  A null doc_id counts as larger than all others.
     """
+    return grouped(docs, words, percent, block_shingles, block_classes, count_links).drop("group")
+
+
+def grouped(
+    docs: DataFrame,
+    words: int = WORDS,
+    percent: int = PERCENT,
+    block_shingles: int = BLOCK_SHINGLES,
+    block_classes: int = BLOCK_CLASSES,
+    count_links: bool = True,
+) -> DataFrame:
+    """`jaccard_groups` with a ``group`` that all rows of one have and no others, whatever their doc_ids; it is
+    null for rows without shingles."""
     share = Fraction(percent, 100)
     texts = docs.select(
         F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")
     )
 
-    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches):
-            sets, of = shingle_sets(*tk.text_buffer(tk.column(batch, "text")), words)
-            digest, keys = _class_and_keys(sets, of, batch.num_rows, share)
-            sizes = np.bincount(of, minlength=batch.num_rows).astype(np.int64)
-            offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            yield pa.record_batch(
-                [
-                    tk.column(batch, "doc_id"),
-                    tk.column(batch, "text_hash"),
-                    pa.array(sizes),
-                    pa.array(digest.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))),
-                ],
-                names=["doc_id", "text_hash", "n_shingles", "class", "keys"],
-            )
-
-    sets = materialize(texts.mapInArrow(summarize, _SETS), "shingle-sets")
-    facts = sets.select("doc_id", "n_shingles", "class").filter("n_shingles > 0")
-    classes = facts.groupBy("class").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"), F.max("n_shingles").alias("n_shingles")
+    bits = shard_bits(texts)
+
+    def summarize(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for rows_of in rows:
+            for batch in tk.slices(iter([rows_of]), limit=BATCH_BYTES):
+                sets, of = shingle_sets(*tk.text_buffer(tk.column(batch, "text")), words)
+                digest = digests(sets, of, batch.num_rows)
+                size = np.bincount(of, minlength=batch.num_rows).astype(np.int64)
+                # Of equal sets in a batch one is packed.
+                one = np.zeros(batch.num_rows, bool)
+                one[np.unique(digest, return_index=True)[1]] = True
+                one &= size > 0
+                renamed = np.cumsum(one) - 1
+                packed = pack(digest[one], sets[one[of]], renamed[of[one[of]]], bits)
+                docs = pa.StructArray.from_arrays(
+                    [tk.column(batch, "doc_id"), tk.column(batch, "text_hash"), pa.array(size), pa.array(digest.view(np.int64))],
+                    names=["doc_id", "text_hash", "n_shingles", "class"],
+                )
+                columns = {"batch": pa.array([number]), "docs": _one_row(docs)}
+                for name, values in packed.items():
+                    columns[name] = pa.array([values], pa.binary()) if isinstance(values, bytes) else _one_row(values)
+                yield pa.record_batch(list(columns.values()), names=list(columns))
+                number += 1
+
+    batches = materialize(texts.mapInArrow(summarize, f"batch long, {_DOCS}, {COLUMNS}"), "shingle-sets")
+    sets = batches.select(F.inline("docs"))
+    # The first row of each class, whose text stands for it.
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    classes = sets.filter("n_shingles > 0").groupBy("class").agg(
+        F.min(first).alias("first"), F.count(F.lit(1)).alias("n_docs"), F.max("n_shingles").alias("n_shingles")
     )
+    classes = classes.select("class", F.col("first.doc_id").alias("first_id"), "first.text_hash", "n_docs", "n_shingles")
     classes = materialize(classes, "classes")
 
-    # Ranges that different classes share, and for each member the least class of the range.
-    postings = sets.select("class", F.explode("keys").alias("key"))
+    # Rare shingles that different classes share, and for each member the least class that has it.
+    postings = materialize(shared_prefixes(batches, share), "prefixes")
     shared = postings.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"))
     shared = shared.filter("least < most").select("key", "least")
     meets = postings.join(shared, "key").filter("class <> least").select("class", "least").distinct()
     together = components(meets.select(F.col("class").alias("a"), F.col("least").alias("b")), "meets")
-    links = _search(texts, sets, classes, together, words, share, block_shingles, block_classes, count_links)
+    links = _search(texts, classes, together, words, share, block_shingles, block_classes, count_links)
 
     linked = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")), "links")
     root = linked.join(classes, linked["node"] == classes["class"]).select("class", "component", "first_id")
     named = root.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = root.join(named, "component").select("class", "component_id")
+    named = root.join(named, "component").select("class", "component_id", "component")
     n_linked = links.groupBy("class").agg(F.sum("n_linked").alias("n_linked"))
     per_class = (
         classes.join(named, "class", "left")
@@ -192,6 +159,7 @@ def jaccard_groups(
         .select(
             "class",
             F.coalesce("component_id", "first_id").alias("component_id"),
+            F.coalesce("component", "class").alias("group"),
             (F.coalesce("n_linked", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"),
         )
     )
@@ -204,17 +172,24 @@ def jaccard_groups(
             "n_shingles",
             F.coalesce("component_id", "doc_id").alias("component_id"),
             (F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None).cast("long")).alias("n_links"),
+            "group",
         )
     )
 
 
-def _search(texts, sets, classes, together, words, share, block_shingles, block_classes, count_links) -> DataFrame:
+def _one_row(values: pa.Array) -> pa.Array:
+    """A list column of one row that holds ``values``."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _search(texts, classes, together, words, share, block_shingles, block_classes, count_links) -> DataFrame:
     """(class, root, n_linked) for every linked class of a block: the least class that links in the block
     lead to, and how many documents of other classes it links with there.  Each link is found in one block;
     unless ``count_links``, only as many links as connect the same classes.
     """
     members = together.join(classes, together["node"] == classes["class"])
-    members = materialize(members.select("class", "component", "first_id", "n_docs", "n_shingles"), "members")
+    members = members.select("class", "component", "first_id", "text_hash", "n_docs", "n_shingles")
+    members = materialize(members, "members")
     # A block too large for one task is cut into chunks, and every two chunks meet.
     sizes = members.groupBy("component").agg(
         F.greatest(
@@ -222,10 +197,12 @@ def _search(texts, sets, classes, together, words, share, block_shingles, block_
         ).alias("chunks")
     )
     chunked = members.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")))
-    # One text for each class.
-    source = sets.join(chunked.select("class", F.col("first_id").alias("doc_id")), ["class", "doc_id"], "left_semi")
-    source = source.groupBy("class", "doc_id").agg(F.min("text_hash").alias("text_hash"))
-    found = texts.join(source, ["doc_id", "text_hash"]).select("class", "text")
+    # One text for each class.  Rows that agree in id and text are one to it, whichever is read.
+    source = chunked.select(
+        F.col("class"), F.col("first_id").alias("__id"), F.col("text_hash").alias("__hash")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    found = texts.join(source, same).select("class", "text")
     placed = found.join(chunked, "class").select(
         "component", "chunk", "class", "n_docs", "text", "chunks",
         F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other"),

@@ -170,6 +170,48 @@ def test_jaccard_groups_of_cut_copies(spark, percent, sizes):
     assert sorted(map(tuple, got)) == sorted(near_groups(rows, 5, percent))
 
 
+def test_jaccard_groups_without_ids(spark):
+    """Rows without a doc_id, and different texts under one, link like any others."""
+    text = [f"w{i}" for i in range(60)]
+    near = [*text[:30], "edit", *text[31:]]
+    rows = [(None, " ".join(text)), (4, " ".join(near)), (None, "a b c d e f"), (7, "g h i j k l"), (7, "m n o p q r"), (None, "a b c d e f")]
+    docs = spark.createDataFrame([(d, t, "s", "n", 1) for d, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["component_id"], r["n_links"], r["group"]) for r in jaccard.grouped(docs, 1, 90).collect()]
+    assert sorted((d is None, d, c, n) for d, c, n, _ in got if c == 4) == [(False, 4, 4, 1), (True, None, 4, 1)]
+    assert sorted((str(d), str(c), n) for d, c, n, _ in got if c != 4) == [
+        ("7", "7", 0), ("7", "7", 0), ("None", "None", 1), ("None", "None", 1)
+    ]
+    assert len({g for *_, g in got}) == 4
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_shared_prefixes(spark, bits, monkeypatch):
+    """Sets that are near enough have a key in common; elements of one set alone are none."""
+    from exprlake.llm import prefixes
+
+    monkeypatch.setattr(prefixes, "shard_bits", lambda docs: bits)
+    draw = np.random.default_rng(3)
+    base = [draw.integers(0, 2**63, 120).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.r_[b[draw.random(120) < 0.95], draw.integers(0, 2**63, 6).astype(np.uint64)]) for b in base for _ in range(8)]
+    rows = []
+    for batch in range(4):
+        some = sets[batch::4]
+        of = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        packed = prefixes.pack(np.arange(len(some), dtype=np.uint64) * np.uint64(4) + np.uint64(batch), np.concatenate(some), of, bits)
+        rows.append((batch, *[v if isinstance(v, bytes) else v.to_pylist() for v in packed.values()]))
+    keys = prefixes.shared_prefixes(spark.createDataFrame(rows, f"batch long, {prefixes.COLUMNS}"), Fraction(8, 10))
+    held = collections.defaultdict(set)
+    for r in keys.collect():
+        held[r["class"]].add(r["key"])
+    near = 0
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j])):
+            near += 1
+            assert held[i] & held[j]
+    assert near > 50
+    assert all(sum(k in keys for keys in held.values()) > 0 for k in set().union(*held.values()))
+
+
 def test_divide_skip():
     draw = np.random.default_rng(0)
     sets = [np.unique(draw.integers(0, 40, draw.integers(1, 30))) for _ in range(80)]
