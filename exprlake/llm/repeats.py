@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 
@@ -242,8 +243,11 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, block_bytes:
     Columns other than doc_id and text are ignored; an empty table gives no rows.  ``docs`` is read more
     than once.
     """
+    # A cast that does nothing would leave an alias in one of the two joins, and the shuffle of the texts that
+    # they have in common would not be recognised as one.
+    doc_id = F.col("doc_id") if docs.schema["doc_id"].dataType == T.LongType() else F.col("doc_id").cast("long")
     texts = docs.select(
-        F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"),
+        doc_id, F.xxhash64("text").alias("text_hash"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
