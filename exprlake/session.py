@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,19 +71,44 @@ def new_scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/exprlake/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+_TEMPORARY: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
+
+
+def materialize(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts the lineage, survives the loss of executors, and gives the planner real sizes.
+    Cuts the lineage, survives the loss of executors, and gives the planner real sizes.  The table stays, unless
+    `temporary_tables` encloses the call and it does not outlive that.
     """
     path = new_scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    listed = _TEMPORARY.get()
+    if listed is not None and not outlives:
+        listed.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end all tables that `materialize` writes inside, but those that outlive it.
+
+    Only tables that outlive it may be read afterwards.
+    """
+    listed: list[str] = []
+    before = _TEMPORARY.set(listed)
+    try:
+        yield
+    finally:
+        _TEMPORARY.reset(before)
+        for path in listed:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 # What a set may measure to be broadcast, and what a row of it costs besides its text.
 BROADCAST_BYTES = 128 * 1024**2
 ROW_BYTES = 64
+ITEM_BYTES = 16
 
 
 def measured_side(df: DataFrame, label: str) -> DataFrame:
@@ -91,7 +119,8 @@ def measured_side(df: DataFrame, label: str) -> DataFrame:
     """
     kept = materialize(df, label)
     texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType == T.StringType()]
-    row = sum(texts, F.lit(ROW_BYTES))
+    lists = [F.greatest(F.size(f.name), F.lit(0)) * ITEM_BYTES for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    row = sum(texts + lists, F.lit(ROW_BYTES))
     size = kept.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
     return F.broadcast(kept) if size <= BROADCAST_BYTES else kept
 

@@ -259,3 +259,20 @@ class TestWide:
     def test_schemes(self):
         assert wide.readable_by_arrow("/a/b") and wide.readable_by_arrow("file:///a") and wide.readable_by_arrow("s3://b/c")
         assert not wide.readable_by_arrow("viewfs://in/x")
+
+
+def test_temporary_tables(spark):
+    """Tables written inside are gone afterwards, but those that outlive it."""
+    from exprlake.session import materialize, temporary_tables
+
+    with temporary_tables(spark):
+        short = materialize(spark.range(3), "t")
+        long = materialize(short.filter("id > 0"), "t", outlives=True)
+        with temporary_tables(spark):
+            inner = materialize(spark.range(2), "t")
+        assert short.count() == 3
+    after = materialize(spark.range(4), "t")
+    assert long.count() == 2 and after.count() == 4
+    for gone in (short, inner):
+        with pytest.raises(Exception, match="(?i)not.?found|does not exist|not_exist"):
+            gone.collect()
