@@ -5,7 +5,9 @@ the releases as files (`ReleaseFiles`) or DataFrames (`ReleaseFrames`), then lis
 load, combine and validate them.  All results are lazy Spark DataFrames.
 """
 
+from .operators.coverage import coverage
 from .operators.export import export_samples_by_genes, obs_table, sample_vectors, var_table
+from .operators.intervals import interval_join
 from .operators.matrix import (
     combine,
     drop_unexpressed,
@@ -19,6 +21,10 @@ from .operators.matrix import (
     to_blocks,
     to_wide,
 )
+from .operators.ordered import asof_join, running
+from .operators.profile import summarize_parts, summarize_table
+from .operators.selection import exact_quantiles, stratified_sample
+from .operators.sketches import gene_sketches, merge_sketches
 from .operators.validate import release_report, summarize
 from .plans.experiments import (
     Combined,
@@ -41,6 +47,7 @@ from .sources.catalog import (
 )
 from .sources.files import ReleaseFiles
 from .sources.frames import ReleaseFrames
+from .sources.store import Store, append, ingest, open_store
 
 __all__ = [
     "Combined",
@@ -48,15 +55,23 @@ __all__ = [
     "ReleaseCheck",
     "ReleaseFiles",
     "ReleaseFrames",
+    "Store",
+    "append",
+    "asof_join",
     "catalog_stats",
     "combine",
+    "coverage",
     "describe",
     "drop_unexpressed",
     "engine_session",
     "estimate_size",
+    "exact_quantiles",
     "export_samples_by_genes",
     "expressed_genes",
     "gene_column",
+    "gene_sketches",
+    "ingest",
+    "interval_join",
     "join_releases",
     "keep_samples",
     "list_datasets",
@@ -65,17 +80,23 @@ __all__ = [
     "load_experiment",
     "load_experiments",
     "load_metadata",
+    "merge_sketches",
     "obs_table",
+    "open_store",
     "query",
     "release_report",
     "resolve_dataset_url",
     "resolve_job",
+    "running",
     "sample_vectors",
     "select_releases",
     "shared_gene_column",
+    "stratified_sample",
     "summarize",
-    "to_long",
+    "summarize_parts",
+    "summarize_table",
     "to_blocks",
+    "to_long",
     "to_wide",
     "validate_releases",
     "var_table",
