@@ -69,6 +69,16 @@ def full_join_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.observed_b(spark, sf_dir).groupBy("gene_id").agg(*totals)
 
 
+def join_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by full outer joins of a frame for each release."""
+    cells = fx.observed_b(spark, sf_dir)
+    frames = [
+        cells.filter(F.col("job_id") == str(job)).groupBy("gene_id").agg(F.sum("value").alias(f"total_{job}"))
+        for job in range(fx.RELEASES_B)
+    ]
+    return mx.join_releases(frames)
+
+
 def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.estimate_size(fx.sequencing_a(spark, sf_dir))
 
@@ -95,6 +105,7 @@ QUERIES = {
     "sample_blocks": sample_blocks,
     "wide_to_long": wide_to_long,
     "full_join_gene": full_join_gene,
+    "join_releases": join_releases,
     "size_estimate": size_estimate,
     "size_guard": size_guard,
     "load_experiments_sql": load_experiments_sql,
@@ -119,6 +130,18 @@ _PLACES = f"""places AS (
           FROM (SELECT DISTINCT job_id, sequenced_id FROM kept)))"""
 _SLOTS = ", ".join(f"max(CASE WHEN position = {i} THEN value END) AS c{i}" for i in range(mx.BLOCK_SAMPLES))
 
+_FULL_JOIN = fx.with_views(
+    "metadata_b observed_b",
+    ", "
+    + ", ".join(
+        f"t{j} AS (SELECT gene_id, sum(value) AS total_{j} FROM observed_b WHERE job_id = '{j}' GROUP BY 1)"
+        for j in range(fx.RELEASES_B)
+    )
+    + """ SELECT gene_id, total_0, total_1, total_2, total_3, total_4
+          FROM t0 FULL JOIN t1 USING (gene_id) FULL JOIN t2 USING (gene_id) FULL JOIN t3 USING (gene_id)
+          FULL JOIN t4 USING (gene_id)""",
+)
+
 ORACLE = {
     "filter_metadata_by_sql": fx.with_views(
         "metadata_a",
@@ -157,17 +180,8 @@ ORACLE = {
     "wide_to_long": fx.with_views(
         "metadata_b observed_b", "SELECT job_id, gene_id, sequenced_id, value FROM observed_b"
     ),
-    "full_join_gene": fx.with_views(
-        "metadata_b observed_b",
-        ", "
-        + ", ".join(
-            f"t{j} AS (SELECT gene_id, sum(value) AS total_{j} FROM observed_b WHERE job_id = '{j}' GROUP BY 1)"
-            for j in range(fx.RELEASES_B)
-        )
-        + """ SELECT gene_id, total_0, total_1, total_2, total_3, total_4
-              FROM t0 FULL JOIN t1 USING (gene_id) FULL JOIN t2 USING (gene_id) FULL JOIN t3 USING (gene_id)
-              FULL JOIN t4 USING (gene_id)""",
-    ),
+    "full_join_gene": _FULL_JOIN,
+    "join_releases": _FULL_JOIN,
     "size_estimate": fx.with_views("sequencing_a", _SIZES),
     "size_guard": fx.with_views(
         "sequencing_a",

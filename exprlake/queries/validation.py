@@ -9,6 +9,7 @@ from .. import fixtures as fx
 from ..operators import export as ex
 from ..operators import validate as vd
 from ..plans.release_check import validate_releases as check
+from ..session import new_scratch_path
 
 # Genes per block of the vector check; small, so that every sample has several blocks.
 CHECK_BLOCK = 256
@@ -133,6 +134,18 @@ def validate_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report_columns(check(spark, fx.release_a(sf_dir), names).reports)
 
 
+def export_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validate and export all releases, and count what the written tables hold."""
+    path = new_scratch_path(spark, "annotated")
+    check(spark, fx.release_b(sf_dir), output_path=path)
+
+    def rows(name: str, count: str) -> DataFrame:
+        written = spark.read.parquet(f"{path}/{name}").withColumn("job_id", F.col("job_id").cast("string"))
+        return written.groupBy("job_id").agg(F.count(F.lit(1)).alias(count))
+
+    return rows("obs", "n_samples").join(rows("var", "n_genes"), "job_id")
+
+
 def var_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.var_table(fx.observed_b(spark, sf_dir))
 
@@ -169,6 +182,7 @@ QUERIES = {
     "validate_fatal": validate_fatal,
     "validation_summary": validation_summary,
     "validate_releases": validate_releases,
+    "export_tables": export_tables,
     "var_table": var_table,
     "obs_table": obs_table,
     "sample_vectors": sample_vectors,
@@ -321,6 +335,11 @@ ORACLE = {
         f""", {_sides("sequencing_a", "metadata_a")}, {_report("catalog_a", "sequencing_a", "metadata_a")}
            SELECT {_REPORT_COLUMNS} FROM report""",
     ),
+    "export_tables": fx.with_views(
+        "metadata_b observed_b",
+        """SELECT job_id, count(DISTINCT sequenced_id) AS n_samples, count(DISTINCT gene_id) AS n_genes
+           FROM observed_b GROUP BY 1""",
+    ),
     "var_table": fx.with_views(
         "metadata_b observed_b",
         """SELECT job_id, gene_id, row_number() OVER (PARTITION BY job_id ORDER BY gene_id) - 1 AS gene_idx
