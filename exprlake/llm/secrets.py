@@ -13,7 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..operators.selection import stratified_sample
+from ..session import materialize, measured_side
 
 MIN_LENGTH = 16
 # Characters of a value that stands by a key word, at least.
@@ -137,11 +138,12 @@ def described(found: DataFrame, words: list[str]) -> DataFrame:
 
 def weak_labels(found: DataFrame) -> DataFrame:
     """Candidates with a ``label`` where their form settles it: 1 for keys by their maker's format and
-    for values of a key word, 0 for runs of one kind of character alone (prose and plain numbers)."""
+    for values of a key word with a digit, 0 for runs of one kind of character alone (prose and plain numbers)
+    that no key word stands by.  Other values of key words, such as passphrases of letters, are left to the forest."""
     value = F.col("value")
     given = value.rlike("^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[0-9A-Za-z-]{16,})$")
     named = F.col("before").rlike(_KEY_WORDS + r"""\s?[=:]\s?["']?$""") & value.rlike("[0-9]")
-    plain = value.rlike("^([A-Za-z]+|[0-9]+)$")
+    plain = value.rlike("^([A-Za-z]+|[0-9]+)$") & ~F.col("before").rlike(_KEY_WORDS + r"\W{0,5}$")
     label = F.when(given | named, F.lit(1.0)).when(plain, F.lit(0.0))
     return found.withColumn("label", label).filter("label is not null")
 
@@ -149,10 +151,9 @@ def weak_labels(found: DataFrame) -> DataFrame:
 def learn(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> RandomForestClassificationModel | None:
     """A forest from described findings with ``label`` 0 or 1; none if only one kind is there.
 
-    At most ``max_labelled`` rows of each kind are used, those with the least hashes.
+    At most ``max_labelled`` rows of each kind are used, those with the least hashes; no kind meets in one task.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("value", "doc_id", "start"), "value", "doc_id", "start")
-    bounded = labelled.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= max_labelled)
+    bounded = stratified_sample(labelled, ["label"], max_labelled, ["value", "doc_id", "start"])
     bounded = materialize(bounded.select("label", *FEATURES), "labelled-findings")
     if bounded.select("label").distinct().count() < 2:
         return None
@@ -189,13 +190,31 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, found: DataFrame, mask: str = "<SECRET>") -> DataFrame:
-    """``docs`` with every secret of ``found`` replaced in its text; other columns stay as they are."""
-    per_doc = found.filter("is_secret").groupBy("doc_id", "text_hash").agg(F.collect_set("value").alias("__values"))
-    per_doc = per_doc.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "__values")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash"))
-    # Longest first, so that no secret is cut by one that it contains.
-    longest = F.array_sort("__values", lambda a, b: F.length(b) - F.length(a))
-    clean = F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s, F.lit(mask)))
-    joined = docs.join(per_doc, same, "left")
-    text = F.when(F.col("__values").isNull(), F.col("text")).otherwise(clean)
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with every secret of ``found`` replaced where it stands; other columns stay as they are.
+
+    Secrets are cut out by place and length, so the same characters elsewhere stay.  No column's name can clash.
+    """
+    place = F.struct(F.col("start").cast("int").alias("start"), F.length("value").alias("length"))
+    per_doc = found.filter("is_secret").groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(
+        F.sort_array(F.collect_set(place)).alias("places")
+    )
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("known_id"), F.xxhash64("text").alias("known_text"))
+    same = F.col("known_id").eqNullSafe(F.col("id")) & (F.col("known_text") == F.col("hash"))
+    joined = rows.join(measured_side(per_doc, "masked"), same, "left")
+    text = F.col("row")["text"].cast("string")
+    # What stands between two secrets, and after the last.
+    before = F.transform(
+        "places",
+        lambda p, i: F.substring(
+            text,
+            F.when(i > 0, F.get("places", i - 1)["start"] + F.get("places", i - 1)["length"]).otherwise(0) + 1,
+            p["start"] - F.when(i > 0, F.get("places", i - 1)["start"] + F.get("places", i - 1)["length"]).otherwise(0),
+        ),
+    )
+    last = F.element_at("places", -1)
+    end = last["start"] + last["length"] + 1
+    rest = F.substring(text, end, F.greatest(F.length(text) - end + 1, F.lit(0)))
+    clean = F.concat(F.array_join(before, mask), F.lit(mask), rest)
+    clean = F.when(F.col("places").isNull(), F.col("row")["text"]).otherwise(clean)
+    return joined.select(*[clean.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
