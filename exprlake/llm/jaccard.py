@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, measured_side
 from . import textkit as tk
 from .common import components
 from .prefixes import BATCH_BYTES, COLUMNS, pack, shard_bits, shared_prefixes
@@ -202,7 +202,7 @@ def _search(texts, classes, together, words, share, block_shingles, block_classe
         F.col("class"), F.col("first_id").alias("__id"), F.col("text_hash").alias("__hash")
     )
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-    found = texts.join(source, same).select("class", "text")
+    found = texts.join(measured_side(source, "class-texts"), same).select("class", "text")
     placed = found.join(chunked, "class").select(
         "component", "chunk", "class", "n_docs", "text", "chunks",
         F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other"),
