@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exprlake.llm import decontaminate, jaccard, packing, quality, secrets
 from exprlake.llm.common import table
 from exprlake.llm.queries import tokenizer_path
-from exprlake.session import materialize
+from exprlake.session import materialize, measured_side, temporary_tables
 
 # Near duplicates share at least this much of their runs of so many words.
 DUPLICATE_WORDS = 5
@@ -23,30 +23,42 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(quality.statistics(docs, carry=True), rules).filter("kept").select("row.*")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each row as one value beside what it is known by, so that no column's name can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, F.col("doc_id").cast("long").alias("known_id"), F.xxhash64("text").alias("known_text"))
+
+
+def _same_row() -> Column:
+    return F.col("known_id").eqNullSafe(F.col("id")) & (F.col("known_text") == F.col("hash"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least doc_id.
 
-    Texts without words form no groups and all stay; a null doc_id counts as larger than all others.
+    A null doc_id counts as larger than all others.  Rows that repeat one doc_id are told apart by their texts,
+    and of equal rows one stays.  Texts without words form no groups and all stay.  An empty table stays empty.
     """
-    groups = jaccard.jaccard_groups(docs, DUPLICATE_WORDS, DUPLICATE_PERCENT, count_links=False)
-    # Rows that repeat one doc_id are told apart by their texts; equal rows by nothing, so one of them stays.
-    first = Window.partitionBy("component_id").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
-    grouped = groups.filter("n_shingles > 0").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
-    kept = grouped.union(groups.filter("n_shingles = 0").withColumn("__n", F.lit(0)))
-    kept = kept.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "__n").distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash"))
-    found = docs.join(kept, same)
-    once = found.filter("__n = 1").dropDuplicates(["__doc", "__hash"])
-    return once.union(found.filter("__n = 0")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    with temporary_tables(spark):
+        groups = jaccard.grouped(docs, DUPLICATE_WORDS, DUPLICATE_PERCENT, count_links=False)
+        rows = groups.groupBy("group", "n_shingles", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+        who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n")
+        first = rows.filter("n_shingles > 0").groupBy("group").agg(F.min(who).alias("who"))
+        first = first.select(F.col("who.doc_id").alias("id"), F.col("who.text_hash").alias("hash"), (F.col("who.n") > 1).alias("several"))
+        bare = rows.filter("n_shingles = 0").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.lit(False))
+        kept = materialize(first.union(bare), "kept", outlives=True)
+    # Few rows as a rule have an equal one, so the others need not meet.
+    one = _rows(docs).join(measured_side(kept.filter("not several"), "kept-once"), _same_row())
+    several = _rows(docs).join(measured_side(kept.filter("several"), "kept-of-several"), _same_row())
+    return one.union(several.dropDuplicates(["known_id", "known_text"])).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; an empty table stays empty."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     hit = found.filter(F.size("spans") > 0)
-    hit = hit.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(hit, same, "left_anti")
+    hit = hit.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    return _rows(docs).join(measured_side(hit, "contaminated"), _same_row(), "left_anti").select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
