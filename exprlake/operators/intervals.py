@@ -44,7 +44,9 @@ def _starts_inside(
     points = points.filter(F.expr(f"{at} IS NOT NULL")).select(
         *keys, F.struct(*points.columns).alias("__p"), F.explode(above).alias("__n")
     )
-    return points.join(held, [*names, "__n"]).select("__p", "__i")
+    # The planner knows a side by the size of its rows before they are cut into nodes, each with the whole row:
+    # left to itself it would broadcast many times what it believes to.
+    return points.join(held.hint("merge"), [*names, "__n"]).select("__p", "__i")
 
 
 def interval_join(

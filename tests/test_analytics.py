@@ -144,6 +144,12 @@ class TestIntervals:
         plan = pairs._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
+    def test_nodes_are_not_broadcast(self, spark):
+        """A side that looks small is many times larger once it is cut into nodes."""
+        one = spark.createDataFrame([(1, 1, 5)], "i long, lo long, hi long")
+        other = spark.createDataFrame([(2, 5, 9)], "j long, f long, l long")
+        assert "Broadcast" not in interval_join(one, other, ("lo", "hi"), ("f", "l"))._jdf.queryExecution().toString()
+
     def test_empty_sides(self, spark):
         one = spark.createDataFrame([(1, 1, 5)], "i long, lo long, hi long")
         other = spark.createDataFrame([(2, 5, 9)], "j long, f long, l long")
