@@ -22,8 +22,8 @@ from ..sources.store import (
     write_chemistry,
     write_matrix,
     write_metadata,
-    write_wide,
 )
+from ..sources.wide import write_wide_parts
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,7 @@ def _write_a(spark: SparkSession, sf_dir: str) -> _Store:
 
 
 def _write_b(spark: SparkSession, sf_dir: str) -> _Store:
-    """The same with one wide matrix per release, the shape releases are handed out in."""
+    """The same with a folder of wide files per release, the shape releases are handed out in."""
     root = new_scratch_path(spark, "store-b")
     metadata = fx.metadata_b(spark, sf_dir)
     write_matrix(fx.observed_b(spark, sf_dir), f"{root}/matrix")
@@ -102,9 +102,7 @@ def _write_b(spark: SparkSession, sf_dir: str) -> _Store:
     write_chemistry(fx.chemistry_b(spark, sf_dir), f"{root}/chemistry")
     sequencing = spark.read.schema(fx.observed_b(spark, sf_dir).schema).parquet(f"{root}/matrix")
     catalog = fx.catalog_b(spark, sf_dir)
-    # Wide frames differ in their columns, so each release is a file set of its own.
-    for row in catalog.select("job_id").collect():
-        write_wide(sequencing.filter(F.col("job_id") == row["job_id"]), f"{root}/wide/{row['job_id']}")
+    write_wide_parts(sequencing, f"{root}/wide")
     described = fx.described_catalog(catalog, sequencing, metadata)
     write_catalog(described.withColumns(_paths(root, "wide/")), f"{root}/catalog")
     return _Store(root, ReleaseFiles(f"{root}/catalog"))
@@ -247,7 +245,7 @@ def zorder_keep_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_gene_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, cells and totals of every wide release, all read in one stage."""
-    cells = _store(spark, sf_dir, "b").files.sequencing(spark, with_rows=True)
+    cells = _store(spark, sf_dir, "b").files.sequencing(spark, keep_nulls=False, with_rows=True)
     rows = cells.groupBy("job_id", "gene_id", "gene_row").agg(
         F.count("value").alias("n_cells"), F.sum("value").alias("total_value")
     )

@@ -340,7 +340,8 @@ class ReleaseFiles:
 
     def load_dataset(self, spark: SparkSession, job: str) -> DataFrame:
         """The matrix of one release as it is stored, all genes kept."""
-        return spark.read.parquet(resolve_dataset_url(self.catalog(spark), job))
+        # Files of a folder may differ in their columns.
+        return spark.read.option("mergeSchema", "true").parquet(resolve_dataset_url(self.catalog(spark), job))
 
     def load_metadata(self, spark: SparkSession, job: str) -> DataFrame:
         return self.metadata(spark, [self.resolve(spark, job)])

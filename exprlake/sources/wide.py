@@ -26,6 +26,9 @@ LONG_COLUMNS = {"gene_id", "sequenced_id", "value"}
 # Cells of one part, and of one batch that a task hands out.
 PART_CELLS = 2_000_000
 BATCH_CELLS = 200_000
+# Places (gene rows times samples) of one file of a sparse matrix, and cells that a task deals with at a time.
+FILE_PLACES = 4_000_000
+FILE_CELLS = 200_000
 # Rows of one file are numbered from the number of the file times this.
 ROWS_PER_FILE = 1 << 40
 
@@ -185,17 +188,136 @@ def _reader(keep_nulls: bool):
                 for i in range(0, len(names), wide):
                     some = names[i : i + wide]
                     values = [pc.cast(table[c], pa.float64()) for c in some]
+                    # Rows that have a cell, column by column: a sparse matrix is mostly without.
+                    if keep_nulls:
+                        at = [np.arange(n)] * len(some)
+                    else:
+                        at = [np.flatnonzero(pc.is_valid(v).to_numpy(zero_copy_only=False)) for v in values]
+                        values = [pc.drop_null(v) for v in values]
+                    place, many = np.concatenate(at), [len(a) for a in at]
+                    names_of = pa.DictionaryArray.from_arrays(
+                        pa.array(np.repeat(np.arange(len(some), dtype=np.int32), many)), pa.array(some, pa.string())
+                    )
                     cells = pa.table(
                         {
-                            "job_id": pa.repeat(pa.scalar(part["job_id"], pa.string()), n * len(some)),
-                            "gene_id": pa.chunked_array([c for _ in some for c in genes.chunks], pa.string()),
-                            "sequenced_id": pa.array(np.repeat(np.array(some, object), n), pa.string()),
+                            "job_id": pa.repeat(pa.scalar(part["job_id"], pa.string()), len(place)),
+                            "gene_id": genes.take(pa.array(place)),
+                            "sequenced_id": names_of.cast(pa.string()),
                             "value": pa.chunked_array([c for v in values for c in v.chunks], pa.float64()),
-                            "gene_row": pa.array(np.tile(rows, len(some))),
+                            "gene_row": pa.array(rows[place]),
                         }
                     )
-                    if not keep_nulls:
-                        cells = cells.filter(pc.is_valid(cells["value"]))
                     yield from cells.combine_chunks().to_batches()
 
     return read
+
+
+def write_wide_parts(sequencing: DataFrame, path: str) -> None:
+    """Every release of a long matrix as a folder ``path``/job_id of wide files, all of them in one job.
+
+    A file holds whole gene rows, and columns for the samples that have a cell in them, so what is written grows
+    with the cells of a matrix and not with its genes times its samples.  Repeated genes have a row for each
+    repetition, least values first; an unknown gene is NULL.  ``path`` has to be one that tasks may write to.
+    """
+    if not readable_by_arrow(path):
+        raise ValueError(f"tasks cannot write to {path} without Spark")
+    keys = ["job_id", "gene_id", "sequenced_id", "value"]
+    cells = sequencing.select(
+        F.col("job_id").cast("string"),
+        F.coalesce(F.col("gene_id").cast("string"), F.lit(NO_GENE_ID)).alias("gene_id"),
+        F.col("sequenced_id").cast("string"),
+        F.col("value").cast("double"),
+    ).filter("job_id IS NOT NULL AND sequenced_id IS NOT NULL")
+    ranged = cells.repartitionByRange(cells.count() // FILE_CELLS + 1, "job_id", "gene_id")
+    done = ranged.sortWithinPartitions(*keys).mapInArrow(_writer(path), "path string")
+    done.agg(F.count(F.lit(1))).collect()
+
+
+def _writer(root: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        number = 0
+
+        def put(cells: pa.Table) -> Iterator[str]:
+            """Files of the cells of whole genes of one release."""
+            nonlocal number
+            genes, samples = (cells[c].combine_chunks().dictionary_encode() for c in ("gene_id", "sequenced_id"))
+            gene, sample = (a.indices.to_numpy(zero_copy_only=False).astype(np.int64) for a in (genes, samples))
+            # The cells are in order: equal ones follow each other, and a place is how far one is from the first.
+            new = np.r_[True, (gene[1:] != gene[:-1]) | (sample[1:] != sample[:-1])]
+            at = np.arange(len(gene))
+            again = at - np.maximum.accumulate(np.where(new, at, 0))
+            _, row = np.unique(np.column_stack([gene, again]), axis=0, return_inverse=True)
+            row = row.reshape(-1)
+            n_rows, n_samples = int(row.max()) + 1, len(samples.dictionary)
+            starts = np.flatnonzero(np.r_[True, gene[1:] != gene[:-1]])
+            if n_rows * n_samples > FILE_PLACES and len(starts) > 1:
+                middle = int(starts[np.searchsorted(starts, len(gene) // 2).clip(1, len(starts) - 1)])
+                yield from put(cells.slice(0, middle))
+                yield from put(cells.slice(middle))
+                return
+            places = np.zeros((n_samples, n_rows))
+            empty = np.ones((n_samples, n_rows), bool)
+            value = cells["value"].combine_chunks()
+            places[sample, row] = value.fill_null(0.0).to_numpy(zero_copy_only=False)
+            empty[sample, row] = value.is_null().to_numpy(zero_copy_only=False)
+            of = np.empty(n_rows, np.int64)
+            of[row] = gene
+            ids = genes.dictionary.take(pa.array(of))
+            known = [None if g == NO_GENE_ID else g for g in ids.to_pylist()]
+            names = samples.dictionary.to_pylist()
+            if "gene_id" in names:
+                raise ValueError("a sample is named gene_id, like the column of the genes")
+            columns = [pa.array(known, pa.string()), *[pa.array(v, mask=e) for v, e in zip(places, empty)]]
+            system, inside = _open(f"{root.rstrip('/')}/{cells['job_id'][0].as_py()}")
+            system.create_dir(inside, recursive=True)
+            name = f"part-{task:06d}-{number:06d}.parquet"
+            number += 1
+            # A task that is run again puts the same file in the place of the first.
+            with system.open_output_stream(f"{inside}/_{attempt}-{name}") as out:
+                pq.write_table(
+                    pa.table(columns, names=["gene_id", *names]), out, use_dictionary=["gene_id"], write_statistics=False
+                )
+            system.move(f"{inside}/_{attempt}-{name}", f"{inside}/{name}")
+            yield f"{inside}/{name}"
+
+        def runs(table: pa.Table) -> Iterator[pa.Table]:
+            """The cells of one release after the other."""
+            jobs = table["job_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.r_[True, jobs[1:] != jobs[:-1], True])
+            for a, b in zip(edges[:-1], edges[1:]):
+                yield table.slice(a, b - a)
+
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def flush(last: bool) -> Iterator[str]:
+            nonlocal held, n
+            table = pa.Table.from_batches(held)
+            whole = table.num_rows
+            if not last:  # cells of the last gene may follow
+                same = [table[c].to_numpy() == table[c][-1].as_py() for c in ("job_id", "gene_id")]
+                whole = int(np.argmax(same[0] & same[1]))
+            for run in runs(table.slice(0, whole)) if whole else ():
+                yield from put(run)
+            held = table.slice(whole).to_batches()
+            n = table.num_rows - whole
+
+        names: list[str] = []
+        full = FILE_CELLS
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= full:
+                names += flush(False)
+                full = max(FILE_CELLS, 2 * n)  # a gene of very many cells is not looked at again and again
+        if n:
+            names += flush(True)
+        yield pa.record_batch([pa.array(names, pa.string())], names=["path"])
+
+    return write

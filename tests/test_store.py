@@ -276,3 +276,36 @@ def test_temporary_tables(spark):
     for gone in (short, inner):
         with pytest.raises(Exception, match="(?i)not.?found|does not exist|not_exist"):
             gone.collect()
+    @pytest.mark.parametrize("places, at_a_time", [(4, 3), (40, 7), (4_000_000, 200_000)])
+    def test_written_by_places(self, spark, tmp_path, monkeypatch, places, at_a_time):
+        """Releases there and back: repeated and unknown genes, NaN and NULL; any size of files."""
+        monkeypatch.setattr(wide, "FILE_PLACES", places)
+        monkeypatch.setattr(wide, "FILE_CELLS", at_a_time)
+        draw = random.Random(places)
+        cells = [
+            (draw.choice("ab"), draw.choice(["g1", "g2", "g3", "g10", ""]), f"s{draw.randrange(6)}", draw.choice([0.0, 1.5, float("nan")]))
+            for _ in range(90)
+        ]
+        df = spark.createDataFrame([*cells, ("a", "g1", "s0", None)], "job_id string, gene_id string, sequenced_id string, value double")
+        wide.write_wide_parts(df, str(tmp_path))
+        listed = [(job, str(tmp_path / job), True, "gene_id") for job in "ab"]
+        rows = wide.read_wide(spark, listed, keep_nulls=False).collect()
+        assert collections.Counter(str(tuple(r)[:4]) for r in rows) == collections.Counter(str(c) for c in cells)
+        again = collections.Counter((r["job_id"], r["gene_row"], r["sequenced_id"]) for r in rows)
+        assert set(again.values()) == {1}
+
+    def test_a_sparse_matrix_is_not_written_in_full(self, spark, tmp_path, monkeypatch):
+        """Genes of groups of samples that share none: places grow with the cells, not with genes times samples."""
+        monkeypatch.setattr(wide, "FILE_PLACES", 1000)
+        cells = spark.range(4000).select(
+            F.lit("r").alias("job_id"),
+            F.expr("concat('g', lpad(id div 4, 5, '0'))").alias("gene_id"),
+            F.expr("concat('s', (id div 400) * 4 + id % 4)").alias("sequenced_id"),
+            F.lit(1.0).alias("value"),
+        )
+        wide.write_wide_parts(cells, str(tmp_path))
+        files = [pq.ParquetFile(f).metadata for f in (tmp_path / "r").glob("part-*.parquet")]
+        assert sum(m.num_rows for m in files) == 1000
+        assert sum(m.num_rows * (m.num_columns - 1) for m in files) < 4 * 4000 < 1000 * 40
+        assert not list((tmp_path / "r").glob("_*"))
+
