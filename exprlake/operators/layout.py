@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import index_within
-from ..session import measured_side
+from ..session import materialize, measured_side
 from .matrix import known_gene
 
 # Genes and samples of a release are cut into 2 ** PART_BITS parts each.
@@ -22,8 +22,10 @@ MAX_RANGES = 16
 
 def ranked_parts(keys: DataFrame, group: str, key: str, name: str, bits: int = PART_BITS) -> DataFrame:
     """(group, key, name): the part of its group, by rank, in which each distinct key lies."""
-    numbered = index_within(keys.select(group, key).distinct(), group, key, "__at")
+    numbered = materialize(index_within(keys.select(group, key).distinct(), group, key, "__at"), "ranked")
     sizes = numbered.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(group, "__group")
+    # A few groups hold all keys: joined by a shuffle, each of them would meet in one task.
+    sizes = measured_side(sizes, "group-sizes")
     part = F.expr(f"cast(__at * {1 << bits} div __n as int)").alias(name)
     return numbered.join(sizes, F.col(group).eqNullSafe(F.col("__group"))).select(group, key, part)
 

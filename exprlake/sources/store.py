@@ -71,7 +71,8 @@ def write_matrix_by_parts(sequencing: DataFrame, path: str, parts_path: str, fil
     Serves a choice of samples as well as one of genes (`operators.layout`); files carry the `sample_part` of
     each cell, and ``parts_path`` gets the part of each sample.  Bloom filters answer for single ids.
     """
-    cells = _canonical(sequencing)
+    # Ranks, bounds of ranges and the write each need the cells, which may be dear to make.
+    cells = materialize(_canonical(sequencing), "cells")
     parts = materialize(ranked_parts(cells, "job_id", "sequenced_id", "sample_part"), "sample-parts")
     parts.write.mode("append").parquet(parts_path)
     keys = ["job_id", "__z", "sequenced_id", "gene_id"]
@@ -141,7 +142,7 @@ class Store(ReleaseFrames):
     root: str = ""
 
     def coverage(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:
-        """The coverage of the matrix; the loads of a release are merged, its cells are not read."""
+        """The coverage of the matrix as words; the loads of a release are merged, its cells are not read."""
         return cv.merge(_only(spark.read.schema(cv.COVERAGE).parquet(f"{self.root}/stats/coverage"), job_ids))
 
     def sizes(self, spark: SparkSession, job_ids: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from exprlake import fixtures as fx
 from exprlake.operators import coverage as cv
 from exprlake.operators import validate as vd
-from exprlake.operators.layout import in_parts, interleaved
+from exprlake.operators.layout import in_parts, interleaved, ranked_parts
 from exprlake.plans.experiments import load_experiments
 from exprlake.sources import wide
 from exprlake.sources.frames import ReleaseFrames
@@ -188,6 +188,16 @@ class TestStatistics:
         store = append(spark, frames(second, people(("r", "s2", "B"), ("r", "s3", None), ("q", "s1", "A"))), root)
         for _ in range(2):
             assert {tuple(r) for r in store.sizes(spark).collect()} == {("r", 3, 2, 48), ("q", 2, 1, 16)}
+    def test_keys_of_a_group_do_not_meet_in_a_task(self, spark):
+        keys = spark.range(2000).select(F.lit("r").alias("g"), F.col("id").cast("string").alias("k"))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            parts = ranked_parts(keys, "g", "k", "part", 2)
+            assert "Exchange hashpartitioning" not in physical(parts)
+            assert {tuple(r) for r in parts.groupBy("part").count().collect()} == {(i, 500) for i in range(4)}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
             assert {tuple(r) for r in cv.duplicate_cells(store.coverage(spark)).collect()} == {("r", 1)}
             stats = {r["job_id"]: (r["datapoint_count"], r["metadata_row_count"], r["cell_lines"], r["timepoints"]) for r in store.stats(spark).collect()}
             assert stats == {"r": (4, 3, ["A", "B"], []), "q": (2, 1, ["A"], [])}
