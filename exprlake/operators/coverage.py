@@ -1,9 +1,10 @@
-"""What a matrix covers: for each release and sample the set of its gene rows, as bitmaps.
+"""What a matrix covers: for each release and sample the set of its gene rows, as words of bits.
 
-A cell costs one bit here, and bitmaps of one sample are combined in the map tasks, so the counts that
-validation, size estimates and catalog statistics need come from one pass over the matrix that shuffles a
-small fraction of its rows.  Coverages can be merged: bitmaps are or-ed and counts added, which is how a store
-keeps its statistics up to date without reading the matrix again.
+Gene rows are taken 64 at a time, and those of a sample are the bits of one number.  A full matrix costs a number
+for 64 of its cells, and a sparse one a number for each cell at most, so the counts that validation, size
+estimates and catalog statistics need come from one pass whose shuffle never outgrows the cells.  Coverages can be
+merged: words are or-ed and counts added, which is how a store keeps its statistics up to date without reading
+the matrix again.
 
 A row of a matrix is named by `gene_row`.  Where a matrix has that column it is the ordinal its reader gave to
 each row, so a gene that stands in two rows is told apart from a sample that stands in two columns.  Where it
@@ -20,14 +21,28 @@ from ..functions.ranking import index_within
 from ..session import measured_side
 from .matrix import BYTES_PER_CELL, known_gene
 
-# (job_id, sequenced_id, block): `genes` has a bit for each gene row of the block that the sample has a cell in.
+# Gene rows of a word, and words that a stored row takes together.
+WORD_BITS = 64
+BLOCK_WORDS = 512
+
+# (job_id, sequenced_id, block): the words of a block in which the sample has cells, and how many cells.
 COVERAGE = T.StructType(
     [
         T.StructField("job_id", T.StringType()),
         T.StructField("sequenced_id", T.StringType()),
         T.StructField("block", T.LongType()),
-        T.StructField("genes", T.BinaryType()),
-        T.StructField("n_cells", T.LongType()),
+        T.StructField(
+            "words",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("word", T.LongType()),
+                        T.StructField("genes", T.LongType()),
+                        T.StructField("n_cells", T.LongType()),
+                    ]
+                )
+            ),
+        ),
     ]
 )
 GENE_ROWS = T.StructType([T.StructField("gene_id", T.StringType()), T.StructField("gene_row", T.LongType())])
@@ -63,40 +78,57 @@ def with_gene_rows(sequencing: DataFrame, genes: DataFrame | None = None) -> Dat
     return rows.withColumn("gene_row", F.coalesce("gene_row", "__row")).drop("__gene", "__row")
 
 
-def coverage(sequencing: DataFrame, genes: DataFrame | None = None) -> DataFrame:
-    """COVERAGE of a long matrix.
+def words(sequencing: DataFrame, genes: DataFrame | None = None) -> DataFrame:
+    """(job_id, sequenced_id, word, genes, n_cells): `genes` has a bit for each gene row of the word that the
+    sample has a cell in.
 
-    Each map task sends one row for each sample and 32,768 gene rows that it has cells of, however many.
+    Each map task sends one row for each sample and 64 gene rows that it has cells of, however many.
     """
-    bit = F.col("gene_row") + 1  # bit numbers start at 1
     rows = with_gene_rows(sequencing, genes).select(
         "job_id",
         F.col("sequenced_id").cast("string").alias("sequenced_id"),
-        F.bitmap_bucket_number(bit).alias("block"),
-        F.bitmap_bit_position(bit).alias("bit"),
+        F.expr(f"gene_row div {WORD_BITS}").alias("word"),
+        F.expr(f"shiftleft(1L, cast(gene_row % {WORD_BITS} as int))").alias("bit"),
+    )
+    return rows.groupBy("job_id", "sequenced_id", "word").agg(
+        F.coalesce(F.bit_or("bit"), F.lit(0).cast("long")).alias("genes"), F.count(F.lit(1)).alias("n_cells")
     )
-    return rows.groupBy("job_id", "sequenced_id", "block").agg(
-        F.bitmap_construct_agg("bit").alias("genes"), F.count(F.lit(1)).alias("n_cells")
+
+
+def coverage(sequencing: DataFrame, genes: DataFrame | None = None) -> DataFrame:
+    """COVERAGE of a long matrix: its words, those of a sample and 32,768 gene rows in one row."""
+    return (
+        words(sequencing, genes)
+        .groupBy("job_id", "sequenced_id", F.expr(f"word div {BLOCK_WORDS}").alias("block"))
+        .agg(F.collect_list(F.struct("word", "genes", "n_cells")).alias("words"))
     )
 
 
+def words_of(covered: DataFrame) -> DataFrame:
+    """The words of a COVERAGE, or of a frame that has them as its rows."""
+    return covered.select("job_id", "sequenced_id", F.inline("words")) if "words" in covered.columns else covered
+
+
 def merge(coverages: DataFrame) -> DataFrame:
-    """One COVERAGE of several, stacked."""
-    return coverages.groupBy("job_id", "sequenced_id", "block").agg(
-        F.bitmap_or_agg("genes").alias("genes"), F.sum("n_cells").alias("n_cells")
+    """The words of several coverages, stacked, as those of one.
+
+    Rows move while they are packed; the words of a sample then meet without another shuffle.
+    """
+    return words_of(coverages.repartition("job_id", "sequenced_id")).groupBy("job_id", "sequenced_id", "word").agg(
+        F.bit_or("genes").alias("genes"), F.sum("n_cells").alias("n_cells")
     )
 
 
 def row_counts(covered: DataFrame) -> DataFrame:
     """Gene rows of each release: with repeated genes as often as they are repeated."""
-    any_sample = covered.groupBy("job_id", "block").agg(F.bitmap_or_agg("genes").alias("genes"))
-    return any_sample.groupBy("job_id").agg(F.sum(F.bitmap_count("genes")).alias("n_genes"))
+    any_sample = words_of(covered).groupBy("job_id", "word").agg(F.bit_or("genes").alias("genes"))
+    return any_sample.groupBy("job_id").agg(F.sum(F.bit_count("genes").cast("long")).alias("n_genes"))
 
 
 def sample_counts(covered: DataFrame) -> DataFrame:
     """Samples, cells, and cells beyond the first of their (gene row, sample), of each release."""
-    one = covered.groupBy("job_id", "sequenced_id").agg(
-        F.sum("n_cells").alias("n_cells"), F.sum(F.col("n_cells") - F.bitmap_count("genes")).alias("n_again")
+    one = words_of(covered).groupBy("job_id", "sequenced_id").agg(
+        F.sum("n_cells").alias("n_cells"), F.sum(F.col("n_cells") - F.bit_count("genes")).alias("n_again")
     )
     return one.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("n_samples"),

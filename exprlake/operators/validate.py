@@ -82,7 +82,7 @@ def metadata_counts(metadata: DataFrame) -> DataFrame:
 
 def validate_counts(sequencing: DataFrame, metadata: DataFrame) -> DataFrame:
     """Gene rows, samples on each side and shared samples of each release."""
-    covered = materialize(cv.coverage(sequencing), "coverage")
+    covered = materialize(cv.words(sequencing), "coverage")
     sides = side_counts(reconcile(covered, metadata))
     return one_row_per_release([sides, cv.row_counts(covered), metadata_counts(metadata)]).select(
         "job_id", "n_genes", "n_samples_metadata", "n_samples_parquet", "n_samples_intersection"
@@ -146,11 +146,11 @@ def release_report(
     """One REPORT row for each release of ``catalog``.
 
     ``problems`` names releases whose load or columns failed before any row was read.  The matrix is read
-    once: its coverage, at a bit for each cell, answers for its rows, samples and duplicates.  With a
+    once: its coverage, at most a number for each cell, answers for its rows, samples and duplicates.  With a
     `gene_row` in ``sequencing`` a gene in two rows counts twice and is no duplicate; without one, two cells
     of one gene and sample are.
     """
-    covered = materialize(cv.coverage(sequencing), "coverage")
+    covered = materialize(cv.words(sequencing), "coverage")
     if "sequenced_id" not in metadata.columns:  # no release has it; `problems` says so
         metadata = metadata.withColumn("sequenced_id", F.lit(None).cast("string"))
     sides = reconcile(covered, metadata)

@@ -90,6 +90,23 @@ class TestCoverage:
         finally:
             spark.conf.unset("spark.sql.adaptive.enabled")
 
+    def test_a_sparse_matrix_costs_no_more_than_its_cells(self, spark):
+        """Cells far apart in rank: a row each, and a few bytes, not a bitmap of kilobytes."""
+        cells = spark.range(3000).select(
+            F.lit("r").alias("job_id"),
+            F.col("id").cast("string").alias("gene_id"),
+            F.expr("cast(id % 1500 as string)").alias("sequenced_id"),
+            F.lit(1.0).alias("value"),
+            (F.col("id") * 100_000).alias("gene_row"),
+        )
+        covered = cv.coverage(cells, spark.createDataFrame([], cv.GENE_ROWS))
+        stored = covered.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(F.max("n"), F.count("n")).first()
+        assert stored[0] < 200 and stored[1] == 3000
+        assert tuple(cv.sample_counts(covered).first()) == ("r", 1500, 3000, 0)
+        assert tuple(cv.row_counts(covered).first()) == ("r", 3000)
+        twice = cv.merge(covered.unionByName(covered))
+        assert tuple(cv.sample_counts(twice).first()) == ("r", 1500, 6000, 3000)
+
     def test_an_empty_matrix(self, spark):
         none = spark.createDataFrame([], ROWS)
         assert cv.coverage(none).count() == 0 and cv.estimate_size(cv.coverage(none)).count() == 0
