@@ -68,6 +68,16 @@ def test_cells_are_shuffled_once_and_long(spark):
     assert above.count("Exchange") == 1 and "max(" not in below
 
 
+def test_tasks_of_blocks_follow_the_cells(spark, monkeypatch):
+    """Rows of a sparse matrix are as wide as a block each, which the size of long cells does not tell."""
+    from exprlake.operators import matrix as mx
+
+    monkeypatch.setattr(mx, "BLOCK_CELLS", 100)
+    cells = spark.range(1250).selectExpr("'r' AS job_id", "cast(id AS string) AS gene_id", "'s' AS sequenced_id", "1.0D AS value")
+    blocks = mx.to_blocks(cells).cells
+    assert ", 13), REPARTITION_BY_NUM" in physical(blocks) and blocks.count() == 1250
+
+
 def test_groups_are_cut_before_the_shuffle(spark):
     sequencing, metadata = fx.sequencing_a(spark, SF), fx.metadata_a(spark, SF)
     for df in (
