@@ -21,15 +21,15 @@ SKETCH_ACCURACY = 10_000
 
 
 def order_statistics(
-    rows: DataFrame, targets: DataFrame, sort_rows: int = SORT_ROWS, edges: int = EDGES
+    rows: DataFrame, targets: DataFrame, sort_rows: int = SORT_ROWS, edges: int = EDGES, written: bool = False
 ) -> DataFrame:
     """(g, rank, value, below) for each (g, rank) of ``targets``.
 
     ``rows`` has (g, v), any group and a number that is not NULL.  ``value`` is the one at place ``rank``, from
     0, of the group's values in order, ``below`` how many are less than it.
-    A rank outside the group gives no row.
+    A rank outside the group gives no row.  ``written`` says that ``rows`` are cheap to read again and again.
     """
-    rows = materialize(rows.select("g", "v"), "selection")
+    rows = rows.select("g", "v") if written else materialize(rows.select("g", "v"), "selection")
     grid = F.array(*[F.lit((i + 1) / (edges + 1)) for i in range(edges)])
     kind = rows.schema["v"].dataType
     none = F.lit(None).cast(kind)
@@ -48,7 +48,7 @@ def order_statistics(
         facts = materialize(
             inside.groupBy("g", "b").agg(
                 F.count(F.lit(1)).alias("n"),
-                F.array_distinct(F.percentile_approx("v", grid, SKETCH_ACCURACY)).alias("edges"),
+                F.percentile_approx("v", grid, SKETCH_ACCURACY).alias("edges"),
             ),
             "edges",
         )
@@ -67,24 +67,35 @@ def order_statistics(
                 "g", "rank", F.col("v").alias("value"), "below"
             )
         )
-        many = facts.filter(F.col("n") > sort_rows).select(F.col("g").alias("x"), F.col("b").alias("y"), "edges")
+        # Of the edges only those beside a wanted rank: every row is compared with all that are left.
+        beside = F.floor((F.col("rank") - F.col("b.below")) / F.col("n") * (edges + 1)) - 1
+        near = facts.filter(F.col("n") > sort_rows).join(wanted, same).groupBy("g", "b", "edges")
+        near = near.agg(F.collect_set(beside).alias("near"))
+        many = near.select(
+            F.col("g").alias("x"),
+            F.col("b").alias("y"),
+            F.expr("array_distinct(filter(edges, (e, i) -> exists(near, p -> i >= p - 1 AND i <= p + 2)))").alias("edges"),
+        )
         if many.isEmpty():
             break
+        many = measured_side(many, "many")
         # An edge is a stretch of its own, so equal values end the search; the others lie between two edges.
         cut = inside.join(
-            measured_side(many, "many"), F.col("g").eqNullSafe(F.col("x")) & F.col("b").eqNullSafe(F.col("y"))
+            many, F.col("g").eqNullSafe(F.col("x")) & F.col("b").eqNullSafe(F.col("y"))
         ).withColumn("less", F.size(F.filter("edges", lambda e: e < F.col("v"))))
-        counted = cut.groupBy("g", "b", "less", F.array_contains("edges", F.col("v")).alias("is_edge")).agg(
+        is_edge = F.array_contains("edges", F.col("v")).alias("is_edge")
+        counted = cut.groupBy("g", "b", "less", is_edge).agg(
             F.count(F.lit(1)).alias("n"),
             F.min("v").alias("least"),
             F.max("v").alias("most"),
-            F.first("edges").alias("edges"),
         )
         order = Window.partitionBy("g", "b").orderBy("least")
         before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counted = counted.withColumn("before", before + F.col("b.below"))
         holds = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
-        chosen = materialize(counted.join(wanted, same & holds), "chosen")
+        # The edges come back after the rows are counted: an aggregate that carries a list sorts its input.
+        again = F.col("g").eqNullSafe(F.col("x")) & F.col("b").eqNullSafe(F.col("y"))
+        chosen = materialize(counted.join(wanted, same & holds).join(many, again), "chosen")
         equal = F.col("least") == F.col("most")
         found.append(chosen.filter(equal).select("g", "rank", F.col("least").alias("value"), F.col("before").alias("below")))
         open_ = materialize(
@@ -122,7 +133,7 @@ def exact_quantiles(
     places = places.withColumn("at", F.col("p") * (F.col("n") - 1))
     places = places.select("g", "p", F.floor("at").alias("low"), F.ceil("at").alias("high"), "at")
     ranks = places.select("g", F.explode(F.array("low", "high")).alias("rank"))
-    values = materialize(order_statistics(rows, ranks, sort_rows), "order-statistics")
+    values = materialize(order_statistics(rows, ranks, sort_rows, written=True), "order-statistics")
 
     def at(end: str) -> DataFrame:
         names = [F.col("g").alias(f"g_{end}"), F.col("rank").alias(f"rank_{end}"), F.col("value").alias(f"value_{end}")]
@@ -153,11 +164,13 @@ def stratified_sample(
     rows = materialize(rows, "strata")
     full = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size)
     targets = full.select("g", F.lit(size).cast("long").alias("rank"))
-    limits = order_statistics(rows, targets, sort_rows).select(
+    limits = order_statistics(rows, targets, sort_rows, written=True).select(
         F.col("g").alias("__g"), F.col("value").alias("__limit"), (F.lit(size) - F.col("below")).alias("__more")
     )
     place = F.struct(F.lit(1).alias("__one"), *by)
     judged = df.withColumn("__hash", hashed).join(measured_side(limits, "limits"), place.eqNullSafe(F.col("__g")), "left")
+    # Written, so that the hashes are made once and not for each of the two parts.
+    judged = materialize(judged.filter(F.col("__limit").isNull() | (F.col("__hash") <= F.col("__limit"))), "judged")
     below = judged.filter(F.col("__limit").isNull() | (F.col("__hash") < F.col("__limit")))
     # Keys that share the hash at the limit, one as a rule, fill up what is missing.
     equal = Window.partitionBy(*by).orderBy(*key)

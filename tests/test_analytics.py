@@ -185,6 +185,21 @@ class TestSelection:
                 want[g, q] = a + (b - a) * (at - math.floor(at))
         assert got == want
 
+    def test_rows_are_counted_without_a_sort(self, spark, monkeypatch):
+        """An aggregate that carries the edges would sort all rows, each with the whole list."""
+        plans, kept = [], selection.materialize
+
+        def seen(df, label):
+            plans.append(df._jdf.queryExecution().toString())
+            return kept(df, label)
+
+        monkeypatch.setattr(selection, "materialize", seen)
+        rows = spark.range(5000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 5000).alias("v"))
+        targets = spark.createDataFrame([("g", r) for r in (0, 77, 4999)], "g string, rank long")
+        got = {r["rank"]: (r["value"], r["below"]) for r in order_statistics(rows, targets, 30).collect()}
+        assert got == {r: (r, r) for r in (0, 77, 4999)}
+        assert plans and not any("SortAggregate" in p for p in plans)
+
     def test_ranks(self, spark):
         rows = spark.createDataFrame([("g", v) for v in [5, 1, 5, 5, 9]], "g string, v long")
         targets = spark.createDataFrame([("g", r) for r in range(7)], "g string, rank long")
