@@ -393,6 +393,38 @@ def test_passages(docs, none):
     assert passages.fuzzy_passages(none).count() == 0
 
 
+def test_passages_edited_in_any_way_and_held_in_parts_by_others(spark):
+    rng = random.Random(5)
+    noise = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, want = [], []
+
+    def hold(*passages):
+        for p in passages:
+            rows.append((len(rows), " ".join(noise(20) + p + noise(25))))
+        want.append((len(rows) - 1, len(rows) - 2))
+
+    for size, share in ((36, 0.1), (37, 0.18), (50, 0.15), (100, 0.15)):
+        for _ in range(12):
+            p = noise(size)
+            changed = rng.sample(range(size), int(size * share))
+            hold(p, [f"x{rng.randrange(10**9)}" if i in changed else w for i, w in enumerate(p)])
+    for _ in range(12):
+        p = noise(37)
+        q = [w for i, w in enumerate(p) if i % 5 != 3]  # 30 stay, and 7 others come between
+        for i in range(1, 8):
+            q.insert(5 * i - 2, f"y{rng.randrange(10**9)}")
+        hold(p, q)
+        p = noise(60)
+        hold(p[:28], p[32:], p, p)
+    rows.append((len(rows), rows[0][1].upper()))
+    want.append((len(rows) - 1, 0))
+    found = passages.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert set(want) <= {(r["doc_id"], r["source_id"]) for r in found}
+    for r in found:
+        size = max(r["end"] - r["first"], r["source_end"] - r["source_first"])
+        assert r["n_common"] >= 30 and r["n_common"] >= 0.8 * size and r["identity"] == r["n_common"] / size
+
+
 def test_chains_advance_on_both_sides():
     x, y = np.array([0, 5, 8, 10, 12, 15]), np.array([0, 5, 8, 3, 12, 90])
     assert passages.chain(x, y)[0] == [0, 1, 2, 4]
