@@ -22,6 +22,8 @@ WINDOW = 10
 GRAM = 5
 # Test windows in one block, about 40 bytes each.
 BLOCK_WINDOWS = 1_000_000
+# Bytes of text that a task looks at together; each costs it some 100 in arrays.
+SCAN_BYTES = 1 << 18
 
 _TESTS = "item_id long, size int, fingerprint long, place int, window long"
 
@@ -146,7 +148,7 @@ def _index(block: pa.Table) -> dict[int, tuple[np.ndarray, ...]]:
 def _scan(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in tk.slices(batches):
+        for batch in tk.slices(batches, limit=SCAN_BYTES):
             rows = batch.num_rows
             words, row = _word_hashes(*tk.text_buffer(tk.column(batch, "text")))
             hit = np.zeros(len(words) + 1, np.int64)

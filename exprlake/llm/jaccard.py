@@ -63,6 +63,16 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarra
     return shingle[new], of[new]
 
 
+def sets_of(texts: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """`shingle_sets` of a column `text` of any size, some texts at a time."""
+    parts, rows = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    for batch in tk.slices(texts.select(["text"]).to_batches()):
+        sets, of = shingle_sets(*tk.text_buffer(tk.column(batch, "text")), words)
+        parts.append((sets, of + rows))
+        rows += batch.num_rows
+    return tuple(np.concatenate(column) for column in zip(*parts))
+
+
 def digests(sets: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
     """Digest of each row's set."""
     digest = np.zeros(rows, np.uint64)
@@ -218,7 +228,8 @@ def _search(texts, classes, together, words, share, block_shingles, block_classe
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         table = table.take(pa.array(np.unique(table["class"].to_numpy(), return_index=True)[1]))
         name, chunk, docs = (table[c].to_numpy() for c in ("class", "chunk", "n_docs"))
-        shingle, of = shingle_sets(*tk.text_buffer(table["text"]), words)
+        shingle, of = sets_of(table, words)
+        del table
         a, b = divide_skip(shingle, of, len(name), share, spanning=not count_links)
         if i != j and count_links:
             across = chunk[a] != chunk[b]

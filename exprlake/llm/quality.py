@@ -42,6 +42,9 @@ _MARKS = tk.byte_class(b".,;:!?")
 _LINE = ~tk.byte_class(b"\n")
 WINDOW = 3
 
+# Bytes of text that are measured together; each costs a task some 100 in arrays.
+MEASURE_BYTES = 1 << 18
+
 
 def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
     """(doc_id, counts) of every row of ``docs``; a null or empty text has zero of everything.
@@ -56,7 +59,7 @@ def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
     extra = ["row"] if carry else []
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches):
+        for batch in tk.slices(batches, limit=MEASURE_BYTES):
             raw, at = tk.text_buffer(tk.column(batch, "text"))
             found = text_counts(raw, at)
             yield pa.record_batch(

@@ -8,14 +8,17 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from exprlake.llm import decontaminate, jaccard, licenses, ngram_model, packing, passages, quality, repeats, secrets, sharding
 from exprlake.llm import queries as llm_queries
+from exprlake.llm import textkit as tk
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -393,6 +396,20 @@ def test_passages(docs, none):
     assert passages.fuzzy_passages(none).count() == 0
 
 
+def test_shingles_of_a_block_are_made_some_texts_at_a_time():
+    rng = np.random.default_rng(1)
+    texts = [None, "", *(" ".join(map(str, rng.integers(0, 30_000, 400))) for _ in range(3500))]
+    table = pa.table({"text": pa.chunked_array([texts[:900], texts[900:]])})
+    peaks, found = [], []
+    for make in (lambda: jaccard.shingle_sets(*tk.text_buffer(table["text"]), 5), lambda: jaccard.sets_of(table, 5)):
+        tracemalloc.start()
+        found.append(make())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(*found)) and len(found[1][0]) > 1_000_000
+    assert peaks[1] < 0.6 * peaks[0]
+
+
 def test_passages_edited_in_any_way_and_held_in_parts_by_others(spark):
     rng = random.Random(5)
     noise = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
