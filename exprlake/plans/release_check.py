@@ -64,9 +64,9 @@ def _export(
     good = reports.filter(sound).select("job_id")
     try:
         metadata, order = _ordered_metadata(spark, source, job_ids)
-        matrix = annotated_matrix(
-            sequencing.join(good, "job_id", "left_semi"), metadata.join(good, "job_id", "left_semi"), order
-        )
+        # The tables and the bounds of their ranges read the matrix several times.
+        cells = materialize(sequencing.join(good, "job_id", "left_semi"), "export-matrix")
+        matrix = annotated_matrix(cells, metadata.join(good, "job_id", "left_semi"), order)
     except Exception as exc:
         logger.error("the export could not be built: %s", exc)
         broken = F.when(sound, F.lit(f"export could not be built: {type(exc).__name__}")).otherwise(F.col("fatal"))

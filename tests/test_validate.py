@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from exprlake import (
+    ReleaseFrames,
     export_samples_by_genes,
     obs_table,
     release_report,
@@ -237,3 +238,27 @@ def test_folder_value(spark, tmp_path):
     on_disk = {p.name for p in (tmp_path / "x").iterdir() if p.is_dir()}
     told = {"job_id=" + r["v"] for r in frame.select(folder_value(F.col("job_id")).alias("v")).collect()}
     assert told == on_disk
+
+
+def test_an_export_reads_the_matrix_a_few_times(spark, tmp_path):
+    cells = [("r1", f"g{g}", f"s{s}", 1.0) for g in range(20) for s in range(10)]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    schema = "job_id string, gene_id string, sequenced_id string, value double"
+    samples = [(f"s{s}", "r1") for s in range(10)]
+    source = ReleaseFrames(
+        lambda s: s.createDataFrame([("r1", "one")], "job_id string, job_name string"),
+        lambda s: s.createDataFrame(samples, "sequenced_id string, job_id string"),
+        lambda s: s.createDataFrame([], "job_id string, compound string"),
+        lambda s: s.createDataFrame(cells, schema).mapInArrow(count, schema),
+    )
+    out = str(tmp_path / "out")
+    assert [r["status"] for r in validate_releases(spark, source, output_path=out).reports.collect()] == ["OK"]
+    assert spark.read.parquet(f"{out}/x").count() == len(cells)
+    # Its reports read it to number the genes and to count the cells, the export once.
+    assert read.value <= 3 * len(cells)
