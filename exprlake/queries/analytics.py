@@ -22,6 +22,8 @@ SAMPLE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantit
 # Orders last some days, those of every hundredth customer long.
 SHORT_DAYS, LONG_DAYS = 7, 400
 PROFILED = ["sequenced_id", "job_id", "cell_line", "timepoint", "is_control", "percent_mitochondrial", "total_sequenced_reads"]
+# Cells that one task counts exactly, about.
+CELLS_PER_TASK = 500_000
 
 
 def running_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +105,10 @@ def stored_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = sk.merge_sketches(stored, ["gene_id"]).select(
         "gene_id", "n_cells", sk.n_samples().alias("about"), sk.quantile(0.5).alias("middle")
     )
-    exact = cells.join(merged, "gene_id").groupBy("gene_id", "n_cells", "about").agg(
+    # A task counts the cells of some genes exactly, so tasks follow the number of cells.
+    n_cells = stored.agg(F.coalesce(F.sum("n_cells"), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_cells // CELLS_PER_TASK)
+    exact = cells.repartition(tasks, "gene_id").join(merged.repartition(tasks, "gene_id"), "gene_id").groupBy("gene_id", "n_cells", "about").agg(
         F.count_distinct("sequenced_id").alias("n"),
         F.count_if(F.col("value") < F.col("middle")).alias("below"),
         F.count_if(F.col("value") <= F.col("middle")).alias("upto"),

@@ -6,6 +6,7 @@ import collections
 import datetime as dt
 import math
 import random
+import re
 import statistics
 
 import pytest
@@ -17,6 +18,7 @@ from exprlake.operators import sketches as sk
 from exprlake.operators.intervals import _nodes, interval_join
 from exprlake.operators.ordered import asof_join, running
 from exprlake.operators.selection import exact_quantiles, order_statistics, stratified_sample
+from exprlake.queries import analytics
 
 KINDS = {"n": ("count", None), "known": ("count", "v"), "s": ("sum", "v"), "low": ("min", "v"), "top": ("max", "v"), "last": ("last", "v")}
 
@@ -263,3 +265,15 @@ def test_sketches_merge(spark):
     by_gene = sk.merge_sketches(sk.gene_sketches(cells), ["gene_id"])
     for r in by_gene.select("n_cells", sk.n_samples().alias("n"), sk.quantile(0.5).alias("m")).collect():
         assert r["n_cells"] == 3000 and abs(r["n"] - 250) < 250 * 3 * sk.SAMPLES_ERROR and abs(r["m"] - 3000) < 6000 * 3 * sk.RANK_ERROR
+
+
+def test_tasks_of_sketches_follow_the_number_of_cells(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(analytics, "CELLS_PER_TASK", 20, raising=False)
+        plan = analytics.stored_sketches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Some 2,000 cells: both sides of the join come in as many partitions, and no others are made above.
+    dealt = [int(n) for n in re.findall(r"Exchange hashpartitioning\(gene_id#\d+, (\d+)\)", plan)]
+    assert len(dealt) >= 2 and sorted(dealt)[-2] == max(dealt) >= 90
