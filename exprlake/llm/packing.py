@@ -39,18 +39,25 @@ class _Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as file:
-            self.ranked = _ranked(json.load(file))
+            model = json.load(file)
+        self.special = [t["content"] for t in model.get("added_tokens") or []]
+        self.ranked = _ranked(model)
 
     def encode(self, text: str) -> bytes:
         if self.ranked is None or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self._whole().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return array("I", self.ranked.encode_ordinary(text)).tobytes()
 
+    def _whole(self):
+        """``tokenizers`` itself, which few workers ever need beside the same vocabulary; it is loaded once."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return self.tokenizer
+
 
 def _ranked(model: dict):
     """The same encoding for ``tiktoken``, if the file has byte-level pairs whose ids follow their ranks."""
