@@ -68,6 +68,16 @@ def test_cells_are_shuffled_once_and_long(spark):
     assert above.count("Exchange") == 1 and "max(" not in below
 
 
+def test_cells_do_not_move_to_their_samples(spark):
+    """More samples than Spark would broadcast by itself, but few bytes: the cells are not shuffled as texts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = physical(fx.observed_b(spark, SF))
+        assert "BroadcastHashJoin" in text and "cast(l_suppkey" not in "".join(re.findall(r"Exchange hashpartitioning.*", text))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_tasks_of_blocks_follow_the_cells(spark, monkeypatch):
     """Rows of a sparse matrix are as wide as a block each, which the size of long cells does not tell."""
     from exprlake.operators import matrix as mx
