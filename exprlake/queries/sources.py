@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators.union import concat_chemistry, concat_metadata
 from ..plans.experiments import load_experiment
-from ..session import new_scratch_path
+from ..session import materialize, new_scratch_path
 from ..sources.catalog import catalog_stats, resolve_jobs, select_wanted
 from ..sources.files import ReleaseFiles
 from ..sources.store import (
@@ -97,10 +97,10 @@ def _write_b(spark: SparkSession, sf_dir: str) -> _Store:
     """The same with a folder of wide files per release, the shape releases are handed out in."""
     root = new_scratch_path(spark, "store-b")
     metadata = fx.metadata_b(spark, sf_dir)
-    write_matrix(fx.observed_b(spark, sf_dir), f"{root}/matrix")
+    # The long matrix serves to write the wide one and to describe it, so it is computed once and lies in no order.
+    sequencing = materialize(fx.observed_b(spark, sf_dir), "observed")
     write_metadata(metadata, f"{root}/metadata")
     write_chemistry(fx.chemistry_b(spark, sf_dir), f"{root}/chemistry")
-    sequencing = spark.read.schema(fx.observed_b(spark, sf_dir).schema).parquet(f"{root}/matrix")
     catalog = fx.catalog_b(spark, sf_dir)
     write_wide_parts(sequencing, f"{root}/wide")
     described = fx.described_catalog(catalog, sequencing, metadata)

@@ -3,8 +3,9 @@
 Every wide matrix has columns of its own, so a Spark scan can hold one release alone: ten thousand releases would
 be ten thousand nodes of a plan.  Here the releases are rows of a work list instead.  One stage looks at the
 Parquet footers and cuts each file into parts (a row group and a range of its columns); after these parts are
-dealt out evenly, a second stage reads each part and hands its cells out long.  The plan is the same for one
-release and for ten thousand, and the driver sees paths only.
+dealt out evenly, a second stage reads each part and hands its cells out long.  A release may be a folder of very
+many files, so several tasks share its footers.  The plan is the same for one release and for ten thousand, and the
+driver sees paths only.
 """
 
 from __future__ import annotations
@@ -68,15 +69,24 @@ def read_wide(
     but the gene's are samples and have to be numeric.  A release is a file or a folder of files, which may
     differ in their columns; files whose names start with `_` or `.` are not part of it.
     """
-    listed = small_frame(spark, releases, _LISTED)
-    # A footer is a small read that waits for storage; parts of one file are dealt over all tasks.
+    # Parts of one file are dealt over all tasks.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = listed.repartition(min(len(releases), tasks), "path").mapInArrow(_list_parts, _PARTS)
-    dealt = parts.repartition(tasks, F.xxhash64("path", "row_group", F.element_at("columns", 1)))
+    dealt = list_parts(spark, releases).repartition(tasks, F.xxhash64("path", "row_group", F.element_at("columns", 1)))
     cells = dealt.mapInArrow(_reader(keep_nulls), SEQUENCING_ROWS)
     return cells
 
 
+def list_parts(spark: SparkSession, releases: list[tuple[str, str, bool, str]]) -> DataFrame:
+    """The parts of all given releases, from the footers of their files."""
+    listed = small_frame(spark, releases, _LISTED)
+    # A footer is a small read that waits for storage, and takes its time where a file has many columns.  Where there
+    # are more tasks than releases, each lists a folder and takes its share of the files.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.when(F.col("is_folder"), max(1, tasks // max(1, len(releases)))).otherwise(1)
+    shared = listed.withColumn("shares", shares).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    return shared.repartition(tasks, "path", "share").mapInArrow(_list_parts, _PARTS)
+
+
 @dataclass(frozen=True)
 class Wide:
     """What a source has to know of a wide matrix: its gene column, or why there is none."""
@@ -147,26 +157,27 @@ def _list_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import pyarrow.parquet as pq
 
     for batch in batches:
-        for job, path, is_folder, gene in zip(*(c.to_pylist() for c in batch.columns)):
+        for job, path, is_folder, gene, shares, share in zip(*(c.to_pylist() for c in batch.columns)):
             system, inside = _open(path)
-            rows = []
-            for number, file in enumerate(_files(system, inside, is_folder)):
-                with pq.ParquetFile(system.open_input_file(file)) as opened:
+            files = _files(system, inside, is_folder)
+            for number in range(share, len(files), shares):
+                rows = []
+                with pq.ParquetFile(system.open_input_file(files[number])) as opened:
                     meta = opened.metadata
                     samples = [c for c in opened.schema_arrow.names if c != gene]
                     first = number * ROWS_PER_FILE
+                    at = path.rstrip("/") + "/" + files[number].rsplit("/", 1)[1] if is_folder else path
                     for group in range(meta.num_row_groups):
                         n = meta.row_group(group).num_rows
                         width = max(1, PART_CELLS // max(n, 1))
                         # A file without samples has no cells.
                         for i in range(0, len(samples), width):
-                            at = path.rstrip("/") + "/" + file.rsplit("/", 1)[1] if is_folder else path
                             rows.append((job, at, gene, group, first, n, samples[i : i + width]))
                         first += n
-            columns = list(zip(*rows)) if rows else [()] * 7
-            types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
-            names = ["job_id", "path", "gene_column", "row_group", "first_row", "n_rows", "columns"]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                columns = list(zip(*rows)) if rows else [()] * 7
+                types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+                names = ["job_id", "path", "gene_column", "row_group", "first_row", "n_rows", "columns"]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
 def _reader(keep_nulls: bool):
@@ -181,33 +192,32 @@ def _reader(keep_nulls: bool):
                 names, gene = part["columns"], part["gene_column"]
                 with pq.ParquetFile(system.open_input_file(inside)) as opened:
                     table = opened.read_row_group(part["row_group"], columns=[gene, *names])
-                genes = pc.fill_null(pc.cast(table[gene], pa.string()), NO_GENE_ID)
+                genes = pc.fill_null(pc.cast(table[gene], pa.string()), NO_GENE_ID).combine_chunks()
                 n = table.num_rows
-                wide = max(1, BATCH_CELLS // max(n, 1))
-                rows = np.arange(part["first_row"], part["first_row"] + n)
+                # Places of a part lie column by column, as many columns at a time as may come out as one batch.
+                wide = max(1, BATCH_CELLS // max(n, 1)) if keep_nulls else max(1, len(names))
                 for i in range(0, len(names), wide):
                     some = names[i : i + wide]
-                    values = [pc.cast(table[c], pa.float64()) for c in some]
-                    # Rows that have a cell, column by column: a sparse matrix is mostly without.
-                    if keep_nulls:
-                        at = [np.arange(n)] * len(some)
+                    columns = [table[c] for c in some]
+                    columns = [c if c.type == pa.float64() else pc.cast(c, pa.float64()) for c in columns]
+                    value = pa.concat_arrays([chunk for c in columns for chunk in c.chunks]) if n else pa.array([], pa.float64())
+                    # Rows that have a cell: a sparse matrix is mostly without.
+                    if keep_nulls or not value.null_count:
+                        at = np.arange(len(value))
                     else:
-                        at = [np.flatnonzero(pc.is_valid(v).to_numpy(zero_copy_only=False)) for v in values]
-                        values = [pc.drop_null(v) for v in values]
-                    place, many = np.concatenate(at), [len(a) for a in at]
-                    names_of = pa.DictionaryArray.from_arrays(
-                        pa.array(np.repeat(np.arange(len(some), dtype=np.int32), many)), pa.array(some, pa.string())
-                    )
-                    cells = pa.table(
-                        {
-                            "job_id": pa.repeat(pa.scalar(part["job_id"], pa.string()), len(place)),
-                            "gene_id": genes.take(pa.array(place)),
-                            "sequenced_id": names_of.cast(pa.string()),
-                            "value": pa.chunked_array([c for v in values for c in v.chunks], pa.float64()),
-                            "gene_row": pa.array(rows[place]),
-                        }
-                    )
-                    yield from cells.combine_chunks().to_batches()
+                        at = np.flatnonzero(value.is_valid().to_numpy(zero_copy_only=False))
+                        value = value.drop_null()
+                    for j in range(0, len(at), BATCH_CELLS):
+                        of, place = np.divmod(at[j : j + BATCH_CELLS], n)
+                        names_of = pa.DictionaryArray.from_arrays(pa.array(of.astype(np.int32)), pa.array(some, pa.string()))
+                        data = [
+                            pa.repeat(pa.scalar(part["job_id"], pa.string()), len(place)),
+                            genes.take(pa.array(place)),
+                            names_of.cast(pa.string()),
+                            value.slice(j, len(place)),
+                            pa.array(part["first_row"] + place),
+                        ]
+                        yield pa.record_batch(data, names=SEQUENCING_ROWS.fieldNames())
 
     return read
 
@@ -221,21 +231,27 @@ def write_wide_parts(sequencing: DataFrame, path: str) -> None:
     """
     if not readable_by_arrow(path):
         raise ValueError(f"tasks cannot write to {path} without Spark")
-    keys = ["job_id", "gene_id", "sequenced_id", "value"]
     cells = sequencing.select(
         F.col("job_id").cast("string"),
         F.coalesce(F.col("gene_id").cast("string"), F.lit(NO_GENE_ID)).alias("gene_id"),
         F.col("sequenced_id").cast("string"),
         F.col("value").cast("double"),
     ).filter("job_id IS NOT NULL AND sequenced_id IS NOT NULL")
-    ranged = cells.repartitionByRange(cells.count() // FILE_CELLS + 1, "job_id", "gene_id")
+    ranged = cells.repartitionByRange(sequencing.count() // FILE_CELLS + 1, "job_id", "gene_id")
+    # Genes only have to be whole here, and a number tells them apart sooner than texts that begin alike.
+    keys = [F.xxhash64("job_id", "gene_id"), "job_id", "gene_id"]
     done = ranged.sortWithinPartitions(*keys).mapInArrow(_writer(path), "path string")
     done.agg(F.count(F.lit(1))).collect()
 
 
+def _one_chunk(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
 def _writer(root: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import pyarrow.compute as pc
         import pyarrow.parquet as pq
         from pyspark import TaskContext
 
@@ -243,37 +259,53 @@ def _writer(root: str):
         number = 0
 
         def put(cells: pa.Table) -> Iterator[str]:
-            """Files of the cells of whole genes of one release."""
-            nonlocal number
-            genes, samples = (cells[c].combine_chunks().dictionary_encode() for c in ("gene_id", "sequenced_id"))
+            """Files of the cells of whole genes of one release, in the order of the genes."""
+            genes, samples = (_one_chunk(cells[c]).dictionary_encode() for c in ("gene_id", "sequenced_id"))
             gene, sample = (a.indices.to_numpy(zero_copy_only=False).astype(np.int64) for a in (genes, samples))
+            by_name = pc.array_sort_indices(genes.dictionary)
+            rank = np.empty(len(by_name), np.int64)
+            rank[by_name.to_numpy()] = np.arange(len(by_name))
+            value = _one_chunk(cells["value"])
+            absent = value.is_null().to_numpy(zero_copy_only=False)
+            value = value.fill_null(0.0).to_numpy(zero_copy_only=False)
+            order = np.lexsort((value, ~absent, sample, rank[gene]))
+            gene, sample, value, absent = rank[gene][order], sample[order], value[order], absent[order]
             # The cells are in order: equal ones follow each other, and a place is how far one is from the first.
             new = np.r_[True, (gene[1:] != gene[:-1]) | (sample[1:] != sample[:-1])]
             at = np.arange(len(gene))
             again = at - np.maximum.accumulate(np.where(new, at, 0))
-            _, row = np.unique(np.column_stack([gene, again]), axis=0, return_inverse=True)
-            row = row.reshape(-1)
-            n_rows, n_samples = int(row.max()) + 1, len(samples.dictionary)
-            starts = np.flatnonzero(np.r_[True, gene[1:] != gene[:-1]])
-            if n_rows * n_samples > FILE_PLACES and len(starts) > 1:
-                middle = int(starts[np.searchsorted(starts, len(gene) // 2).clip(1, len(starts) - 1)])
-                yield from put(cells.slice(0, middle))
-                yield from put(cells.slice(middle))
-                return
-            places = np.zeros((n_samples, n_rows))
-            empty = np.ones((n_samples, n_rows), bool)
-            value = cells["value"].combine_chunks()
-            places[sample, row] = value.fill_null(0.0).to_numpy(zero_copy_only=False)
-            empty[sample, row] = value.is_null().to_numpy(zero_copy_only=False)
-            of = np.empty(n_rows, np.int64)
-            of[row] = gene
-            ids = genes.dictionary.take(pa.array(of))
-            known = [None if g == NO_GENE_ID else g for g in ids.to_pylist()]
-            names = samples.dictionary.to_pylist()
+            starts = np.r_[np.flatnonzero(np.r_[True, gene[1:] != gene[:-1]]), len(gene)]
+            # A gene has a row for each repetition, and follows the genes before it.
+            n_rows = np.maximum.reduceat(again, starts[:-1]) + 1
+            job, known, all_names = cells["job_id"][0].as_py(), genes.dictionary.take(by_name), samples.dictionary
+            todo = [(0, len(n_rows))]
+            while todo:
+                low, high = todo.pop()
+                a, b = int(starts[low]), int(starts[high])
+                held = np.flatnonzero(np.bincount(sample[a:b], minlength=len(all_names)))
+                size = int(n_rows[low:high].sum())
+                if size * len(held) > FILE_PLACES and high - low > 1:
+                    middle = int(np.searchsorted(starts, (a + b) // 2).clip(low + 1, high - 1))
+                    todo += [(middle, high), (low, middle)]
+                    continue
+                first = np.cumsum(n_rows[low:high]) - n_rows[low:high]
+                # Genes are numbered in their order, so those of a stretch follow each other too.
+                row = first[gene[a:b] - low] + again[a:b]
+                place = np.searchsorted(held, sample[a:b]) * size + row
+                places, empty = np.zeros(len(held) * size), np.ones(len(held) * size, bool)
+                places[place], empty[place] = value[a:b], absent[a:b]
+                ids = known.take(pa.array(np.repeat(np.arange(low, high), n_rows[low:high])))
+                yield _file(job, ids, all_names.take(pa.array(held)), pa.array(places, mask=empty), size)
+
+        def _file(job: str, ids: pa.Array, samples: pa.Array, places: pa.Array, size: int) -> str:
+            """A file of ``size`` gene rows and the given samples, whose columns follow each other in ``places``."""
+            nonlocal number
+            known = pc.if_else(pc.equal(ids, NO_GENE_ID), pa.scalar(None, pa.string()), ids)
+            names = samples.to_pylist()
             if "gene_id" in names:
                 raise ValueError("a sample is named gene_id, like the column of the genes")
-            columns = [pa.array(known, pa.string()), *[pa.array(v, mask=e) for v, e in zip(places, empty)]]
-            system, inside = _open(f"{root.rstrip('/')}/{cells['job_id'][0].as_py()}")
+            columns = [known, *[places.slice(i * size, size) for i in range(len(names))]]
+            system, inside = _open(f"{root.rstrip('/')}/{job}")
             system.create_dir(inside, recursive=True)
             name = f"part-{task:06d}-{number:06d}.parquet"
             number += 1
@@ -283,14 +315,13 @@ def _writer(root: str):
                     pa.table(columns, names=["gene_id", *names]), out, use_dictionary=["gene_id"], write_statistics=False
                 )
             system.move(f"{inside}/_{attempt}-{name}", f"{inside}/{name}")
-            yield f"{inside}/{name}"
+            return f"{inside}/{name}"
 
         def runs(table: pa.Table) -> Iterator[pa.Table]:
             """The cells of one release after the other."""
-            jobs = table["job_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.r_[True, jobs[1:] != jobs[:-1], True])
-            for a, b in zip(edges[:-1], edges[1:]):
-                yield table.slice(a, b - a)
+            jobs = pc.unique(table["job_id"])
+            for job in jobs:
+                yield table if len(jobs) == 1 else table.filter(pc.equal(table["job_id"], job))
 
         held: list[pa.RecordBatch] = []
         n = 0
@@ -300,8 +331,8 @@ def _writer(root: str):
             table = pa.Table.from_batches(held)
             whole = table.num_rows
             if not last:  # cells of the last gene may follow
-                same = [table[c].to_numpy() == table[c][-1].as_py() for c in ("job_id", "gene_id")]
-                whole = int(np.argmax(same[0] & same[1]))
+                same = pc.and_(*[pc.equal(table[c], table[c][-1]) for c in ("job_id", "gene_id")])
+                whole = pc.index(same, True).as_py()
             for run in runs(table.slice(0, whole)) if whole else ():
                 yield from put(run)
             held = table.slice(whole).to_batches()

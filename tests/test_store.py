@@ -271,6 +271,18 @@ class TestWide:
         }
         assert len({r["gene_row"] for r in rows}) == 3
 
+    def test_footers_of_one_folder_are_shared_by_tasks(self, spark, tmp_path):
+        folder = tmp_path / "r"
+        folder.mkdir()
+        for i in range(40):
+            self.write(folder, f"{i:02d}.parquet", {"gene": [f"g{i}"], "s": [float(i)]})
+        listed = [("r", str(folder), True, "gene")]
+        tasks = wide.list_parts(spark, listed).groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 1 and max(r["count"] for r in tasks) < 40 == sum(r["count"] for r in tasks)
+        rows = wide.read_wide(spark, listed).collect()
+        want = {("r", f"g{i}", "s", float(i), i * wide.ROWS_PER_FILE) for i in range(40)}
+        assert {tuple(r) for r in rows} == want and len(rows) == 40
+
     def test_shapes_are_looked_at_in_one_job(self, spark, tmp_path):
         self.write(tmp_path, "wide.parquet", {"gene": ["g"], "s": [1.0]})
         self.write(tmp_path, "numbers.parquet", {"s": [1.0], "t": [2]})
