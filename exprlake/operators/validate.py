@@ -9,7 +9,6 @@ from ..functions.columns import sample_id
 from ..functions.facts import one_row_per_release
 from ..functions.ranking import first_rows
 from ..schemas import REPORT
-from ..session import materialize
 from . import coverage as cv
 
 PREVIEW_IDS = 5
@@ -82,9 +81,9 @@ def metadata_counts(metadata: DataFrame) -> DataFrame:
 
 def validate_counts(sequencing: DataFrame, metadata: DataFrame) -> DataFrame:
     """Gene rows, samples on each side and shared samples of each release."""
-    covered = materialize(cv.words(sequencing), "coverage")
-    sides = side_counts(reconcile(covered, metadata))
-    return one_row_per_release([sides, cv.row_counts(covered), metadata_counts(metadata)]).select(
+    rows, samples = cv.totals(sequencing)
+    sides = side_counts(reconcile(samples, metadata))
+    return one_row_per_release([sides, rows, metadata_counts(metadata)]).select(
         "job_id", "n_genes", "n_samples_metadata", "n_samples_parquet", "n_samples_intersection"
     )
 
@@ -145,15 +144,15 @@ def release_report(
 ) -> DataFrame:
     """One REPORT row for each release of ``catalog``.
 
-    ``problems`` names releases whose load or columns failed before any row was read.  The matrix is read
+    ``problems`` names releases whose load or columns failed before any row was read.  The matrix is computed
     once: its coverage, at most a number for each cell, answers for its rows, samples and duplicates.  With a
     `gene_row` in ``sequencing`` a gene in two rows counts twice and is no duplicate; without one, two cells
     of one gene and sample are.
     """
-    covered = materialize(cv.words(sequencing), "coverage")
+    rows, samples = cv.totals(sequencing)
     if "sequenced_id" not in metadata.columns:  # no release has it; `problems` says so
         metadata = metadata.withColumn("sequenced_id", F.lit(None).cast("string"))
-    sides = reconcile(covered, metadata)
+    sides = reconcile(samples, metadata)
     previews = (
         issue_previews(sides)
         .groupBy("job_id")
@@ -163,10 +162,10 @@ def release_report(
         )
     )
     parts = [
-        cv.row_counts(covered),
+        rows,
         metadata_counts(metadata),
         side_counts(sides),
-        cv.duplicate_cells(covered),
+        cv.duplicate_cells(samples),
         previews,
     ]
     kinds = [LOAD_FAILED, SAMPLE_COLUMN_MISSING, GENE_COLUMN_MISSING]

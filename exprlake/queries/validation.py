@@ -9,7 +9,7 @@ from .. import fixtures as fx
 from ..operators import export as ex
 from ..operators import validate as vd
 from ..plans.release_check import validate_releases as check
-from ..session import new_scratch_path
+from ..session import measured_side, new_scratch_path
 
 # Genes per block of the vector check; small, so that every sample has several blocks.
 CHECK_BLOCK = 256
@@ -97,7 +97,8 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     have no matrix, nations have no metadata.
     """
     observed, regions = _b(spark, sf_dir)
-    per_nation = observed.join(regions.select("sequenced_id", "compound"), "sequenced_id").select(
+    nation_of = measured_side(regions.select("sequenced_id", "compound"), "nation-of")
+    per_nation = observed.join(nation_of, "sequenced_id").select(
         F.concat(F.lit("nation-"), F.col("compound")).alias("job_id"), "gene_id", "sequenced_id", "value"
     )
     nations = fx.table(spark, sf_dir, "nation").select(

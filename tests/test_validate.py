@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -262,3 +264,39 @@ def test_an_export_reads_the_matrix_a_few_times(spark, tmp_path):
     assert spark.read.parquet(f"{out}/x").count() == len(cells)
     # Its reports read it to number the genes and to count the cells, the export once.
     assert read.value <= 3 * len(cells)
+
+
+def test_scratch_of_validation_is_bounded(spark, monkeypatch, tmp_path):
+    """The samples of a matrix pass in shares, whose tables and shuffles go before the next; any number of passes agrees."""
+    import glob
+    import os
+
+    from exprlake import session
+    from exprlake.operators import coverage as cv
+
+    draw = random.Random(3)
+    cells = [
+        (draw.choice(["a", "b"]), draw.choice([None, "g1", "g2", "g3"]), draw.choice([None, *"stuvw"]), draw.choice([None, 1, 2]))
+        for _ in range(400)
+    ]
+    df = spark.createDataFrame(cells, "job_id string, gene_id string, sequenced_id string, gene_row long").withColumn("value", F.lit(1.0))
+    monkeypatch.setattr(session, "scratch_root", lambda s: str(tmp_path))
+    covered = cv.words(df)
+    want = [{tuple(r) for r in f.collect()} for f in (cv.row_counts(covered), cv.sample_totals(covered))]
+    widest = []
+
+    def watched(table, label, outlives=False, made=cv.materialize):
+        widest.append(len(glob.glob(f"{tmp_path}/**/coverage-*", recursive=True)))
+        return made(table, label, outlives)
+
+    monkeypatch.setattr(cv, "materialize", watched)
+    for at_a_time, passes in ((10**9, 1), (150, 3)):
+        monkeypatch.setattr(cv, "PASS_CELLS", at_a_time)
+        widest.clear()
+        rows, samples = cv.totals(df)
+        assert len(widest) == 3 * passes and max(widest) == 1
+        assert [{tuple(r) for r in f.collect()} for f in (rows, samples)] == want
+        assert samples.count() == len(want[1])
+    left = {os.path.basename(p).rsplit("-", 1)[0] for p in glob.glob(f"{tmp_path}/exprlake/*/*") if os.listdir(p)}
+    assert left >= {"row-words", "sample-totals"} and not left & {"cells", "coverage"}
+    assert spark.conf.get(session.REMOVE_SHUFFLES) == "false"
